@@ -7,28 +7,77 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, simhash, substring_dedup, vector_search
+from . import (
+    language_id,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sentencepiece,
+    simhash,
+    substring_dedup,
+    vector_search,
+)
 from .common import table
 
+#: Where the vocabulary files lie.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words, pairs = secret_scan.dictionary(vocabulary), secret_scan.transitions(docs)
+    model = secret_scan.train(secret_scan.labelled_findings(spark), pairs, words)
+    return secret_scan.scan(docs, model, pairs, words, "source")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.drop("text", "lang", "source", "n_chars")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    found = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepiece.model_bytes(model))
+    ids = F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"))
+    return found.select("doc_id", "n_tokens", ids.alias("ids_md5"), "scores", "exact")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    site = F.concat_ws("/", "source", "lang")
+    found = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), site)
+    return found.drop("text_key")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their language tag is the declaration, their source the host) and pages."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    no = F.lit(None)
+    rows = docs.select(
+        "doc_id", no.cast("long").alias("page_id"), "text", no.cast("string").alias("html"), F.col("lang").alias("declared"),
+        no.cast("string").alias("url"), F.coalesce("source", F.lit("")).alias("host"),
+    ).unionByName(
+        pages.select(
+            no.cast("long").alias("doc_id"), "page_id", no.cast("string").alias("text"), "html", no.cast("string").alias("declared"),
+            "url", no.cast("string").alias("host"),
+        )
+    )
+    return language_id.identify(rows, docs.select("text", "lang"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -41,9 +90,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
 }
