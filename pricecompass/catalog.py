@@ -1,4 +1,6 @@
-"""Registry of the engine's queries and their SQL."""
+"""Registered queries of the library and their SQL; those of the corpus subpackage are added elsewhere."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import search
+
+QUERIES = {**search.QUERIES}
+ORACLES = {**search.ORACLES}
