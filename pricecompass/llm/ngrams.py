@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import staged, words
 
 #: Buckets of the hashed multinomials; a weight table has this many entries whatever the corpus.
 BUCKETS = 65536
@@ -62,6 +62,7 @@ def log_ratio(count: DataFrame, of: str, to: str) -> Column:
     subquery isn't allowed in a higher-order function, and a joined array would be copied into
     each row.)
     """
+    count = staged(count, "n-grams")
     full = count.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(count, "bucket", "left").na.fill(0)
     total = count.agg(F.coalesce(F.sum(of), F.lit(0)).alias("of_all"), F.coalesce(F.sum(to), F.lit(0)).alias("to_all"))
     ratio = F.log((F.col(of) + 1.0) / (F.col("of_all") + float(BUCKETS))) - F.log(

@@ -46,8 +46,8 @@ def repeat_words(w: Column) -> Column:
         s = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(s, repeated))
 
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    for step in (1, 2, 4):
+    hashes = let(w, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))))
+    for step in (2, 4):
         hashes = twice(hashes, step)
     return let(F.slice(hashes, F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))), of)
 
