@@ -15,8 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that the quality rules keep, the trusted target smoothed toward the raw corpus."""
+    labels = table(spark, sf_dir, "labels")
+    return quality_rules.quality_rules(docs, labels, quality_rules.TOWARD_RAW).where("kept").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,9 +55,12 @@ def counts(docs: DataFrame, **flags: Column) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("raw"), *(F.sum(n).cast("long").alias(n) for n in flags))
 
 
-def log_ratio(count: DataFrame, of: str, to: str) -> Column:
+def log_ratio(count: DataFrame, of: str, to: str, toward: int = 0) -> Column:
     """Literal array over all buckets of the log ratio of two smoothed multinomials, in PARTS.
 
+    `of` is smoothed by one n-gram a bucket, or by so many that are dealt as `to` has them (toward):
+    then the weights tend to 0 where `of` has few n-grams.
+
     The table of BUCKETS rows passes through the driver: its size is fixed, not the corpus's. (A
     subquery isn't allowed in a higher-order function, and a joined array would be copied into
     each row.)
@@ -65,9 +68,9 @@ def log_ratio(count: DataFrame, of: str, to: str) -> Column:
     count = staged(count, "n-grams")
     full = count.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(count, "bucket", "left").na.fill(0)
     total = count.agg(F.coalesce(F.sum(of), F.lit(0)).alias("of_all"), F.coalesce(F.sum(to), F.lit(0)).alias("to_all"))
-    ratio = F.log((F.col(of) + 1.0) / (F.col("of_all") + float(BUCKETS))) - F.log(
-        (F.col(to) + 1.0) / (F.col("to_all") + float(BUCKETS))
-    )
+    share = (F.col(to) + 1.0) / (F.col("to_all") + float(BUCKETS))
+    added, added_all = (share * float(toward), float(toward)) if toward else (F.lit(1.0), float(BUCKETS))
+    ratio = F.log((F.col(of) + added) / (F.col("of_all") + added_all)) - F.log(share)
     weighed = full.join(F.broadcast(total)).select("bucket", F.round(ratio * PARTS).cast("long").alias("weight"))
     table = weighed.agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("t"))
     return array_literal(

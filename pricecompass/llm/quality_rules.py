@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words
-from .ngrams import PARTS, counts, let, log_ratio, n_grams, score
+from .ngrams import BUCKETS, PARTS, counts, let, log_ratio, n_grams, score
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -17,6 +17,8 @@ THRESHOLD = -0.1
 #: The target multinomial is fitted on at most this many trusted documents (8 bytes each are
 #: broadcast); the raw one on all.
 TRUSTED_ROWS = 100_000
+#: n-grams that the raw corpus adds to the target where it is smoothed toward it.
+TOWARD_RAW = 4 * BUCKETS
 
 
 def repeat_words(w: Column) -> Column:
@@ -75,13 +77,15 @@ def trusted_sample(labels: DataFrame) -> DataFrame:
     return good.orderBy(key, "doc_id").limit(TRUSTED_ROWS)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, toward: int = 0) -> DataFrame:
     """docs' columns, the measures, score (sum of n-gram log ratios), base_failed and kept.
 
     A NULL text counts as empty and an empty text fails the base rules. A repeated row is judged
-    like the first; a NULL doc_id is judged but never trusted; without trusted documents all log
-    ratios are near a constant and the base rules decide. Columns of docs named like a measure are
-    replaced. Everything runs as built-in expressions; the corpus is read twice and only
+    like the first; a NULL doc_id is judged but never trusted. toward 0 weighs as ORACLE does: the
+    target is smoothed evenly, so with few trusted documents frequent n-grams weigh negative and
+    clean texts are dropped. With toward (TOWARD_RAW) it is smoothed toward the raw corpus: without
+    trusted documents all weights are 0 and the base rules decide. Columns of docs named like a
+    measure are replaced. Everything runs as built-in expressions; the corpus is read twice and only
     n-gram counts (at most BUCKETS rows a task) are shuffled.
     """
     names = {"w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"}
@@ -89,7 +93,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = F.broadcast(trusted_sample(labels).select(F.col("doc_id").alias("_trusted")))
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
     count = counts(marked, target=F.col("_trusted").isNotNull())
-    measured = base_metrics(docs).withColumn("score", score(F.col("w"), log_ratio(count, "target", "raw")))
+    measured = base_metrics(docs).withColumn("score", score(F.col("w"), log_ratio(count, "target", "raw", toward)))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )

@@ -64,6 +64,23 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_held_out_good_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = sorted({r.doc_id for r in labels.where("quality = 1").join(docs, "doc_id").select("doc_id").collect()})
+    bad = {r.doc_id for r in labels.where("quality = 0").select("doc_id").collect()}
+    for n in (0, 40, 150):
+        few = labels.limit(0) if not n else labels.where(F.col("doc_id").isin(good[:n]))
+        few.write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        kept = {r.doc_id for r in corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/{n}").collect()}
+        held = [r.doc_id for r in docs.where(F.col("doc_id").isin(good[n:]) & (F.size(F.split("text", r"\s+")) > 25)).collect()]
+        assert sum(k in kept for k in held) >= 0.7 * len(held), n
+        if n == 150:
+            assert len(bad & kept) < 0.2 * len(bad)
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
