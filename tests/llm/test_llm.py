@@ -174,6 +174,20 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_passages_held_twice(spark):
+    texts = []
+    for k in range(24):
+        notice = prose(100, 1000 + k)
+        once, twice = f"{prose(60, 2000 + k)} {notice}", f"{notice} {prose(150, 3000 + k)} {notice}"
+        texts += [once if k % 2 else f"{notice} {prose(80, 4000 + k)} {notice}", twice]
+    rows = {r.doc_id: r for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    both = [k for k in range(24) if 2 * k in rows and 2 * k + 1 in rows and rows[2 * k].class_id == rows[2 * k + 1].class_id]
+    assert both == list(range(24))
+    # links of two copies in turn: each copy's meet all the same
+    links = [(0, 0, 10, 10, 99, 99), (0, 200, 10, 210, 99, 299), (0, 0, 40, 40, 99, 99), (0, 200, 40, 240, 99, 299)]
+    assert set(substring_dedup._meeting(np.array(links))) == {(0, 99, 0, 99), (0, 99, 200, 299)}
+
+
 def test_mixing(spark):
     docs = frame(spark, [prose(R.randint(0, 90), k) for k in range(200)], AWKWARD)
     rows = mixing.mix(docs).collect()
