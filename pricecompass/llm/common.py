@@ -34,14 +34,21 @@ def text_key(text: Column) -> Column:
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share, as the session names it; one of our own only where it names
+    none and driver and executors are one process (tests). A cluster without one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="staging-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="staging-")
     return base.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and a lost
     executor costs no recomputation of what came before."""
@@ -59,6 +66,46 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """(_k, _salts): keys that hold more than a task's share of df, and over how many salts to deal
+    them; None if there is none.
+
+    A frequent-items sketch names them: as many keys at most as there are shuffle partitions, so the
+    result may be broadcast. What the sketch misses only stays unsalted. df is read once, so it should
+    be staged.
+    """
+    spark = df.sparkSession
+    parts = min(max(shuffle_parts(spark), 2), 4096)
+    n, top = df.where(F.col(key).isNotNull()).agg(F.count("*"), F.expr(f"approx_top_k(`{key}`, {parts}, {16 * parts})")).first()
+    share = max(n // (2 * parts), 64)
+    hot = [(r["item"], -(-r["count"] // share)) for r in top or [] if r["count"] > 2 * share]
+    return F.broadcast(spark.createDataFrame(hot, f"_k {dict(df.dtypes)[key]}, _salts long")) if hot else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
+    """many joined to one on key (a column of both), where `one` has a row a key at most.
+
+    Hot keys of `many` are dealt over salts by the rest of the row, and their row of `one` is copied to
+    each salt. hot_keys() reads `like`, a frame with the same keys (`many` itself if None). NULL keys
+    match nothing.
+    """
+    salts = hot_keys(many if like is None else like, key)
+    if salts is None:
+        return many.join(one, key, how)
+    rest = [F.col(f"`{c}`") for c in many.columns if c != key]
+    dealt = many.join(salts, F.col(key) == F.col("_k"), "left").withColumn(
+        "_salt", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rest), F.col("_salts")))
+    )
+    copied = one.join(salts, F.col(key) == F.col("_k"), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    return dealt.drop("_k", "_salts").join(copied.drop("_k", "_salts"), [key, "_salt"], how).drop("_salt")
+
+
 def sorted_stream(
     df: DataFrame,
     key: str,
