@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bounds, mix, sorted_stream, staged, text_key, whole_groups
+from .common import Forest, bounds, mix, shuffle_parts, sorted_stream, spread_join, staged, text_key, whole_groups
 from .graph import components
 
 #: Generator polynomial of the binary Golay code of 23 bits, 12 of them data.
@@ -187,15 +187,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints(docs), "fingerprints")
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keys = own.select("fp").mapInArrow(_emit_keys, "key long, fp long, own boolean")
+    # in as many tasks as there are: a fingerprint becomes some eighty keys
+    spread = own.select("fp").repartition(shuffle_parts(docs.sparkSession), "fp")
+    keys = spread.mapInArrow(_emit_keys, "key long, fp long, own boolean")
     links = sorted_stream(keys, "key", [], _link_buckets, "a long, b long")
     roots = components(links)
     member = own.join(roots, own.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     top = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(top, "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+    named = spread_join(staged(member, "members"), top, "root").select("fp", "component_id", "root")
+    return spread_join(prints, named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
