@@ -5,7 +5,9 @@ piece's log probability is set by Zipf's law over its rank. No piece holds a spa
 another character, so a text falls into chunks (spaces, then other characters) that no piece
 crosses, and its N-best segmentations are made of those of its chunks. Within a chunk the forward
 Viterbi scores are the exact cost to the start: an A* search from the end back, with them as its
-heuristic, pops complete segmentations best first.
+heuristic, pops complete segmentations best first. Scores are multiples of 2^-20, so their sums are
+exact and equal scores are ties; of those the path nearest the start goes on, so each further
+segmentation costs about a step a character.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ MARK = "▁"
 #: Log probability of a byte of a character outside the vocabulary.
 BYTE_SCORE = -14.0
 N_BEST = 3
-#: Chunks that a worker remembers; forgotten ones are segmented again.
-MEMO = 600_000
+#: Parts of which scores are whole multiples.
+GRAIN = 1 << 20
+#: Chunks that a worker remembers, of so many characters at most; others are segmented again.
+MEMO, MEMO_CHARS = 400_000, 40
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
@@ -46,7 +50,7 @@ class Pieces:
                 if MARK in t.lstrip(MARK):
                     raise ValueError(f"piece {i} holds a space within")
                 self.raw[i] = t.replace(MARK, " ").encode()
-                self.ids[t.replace(MARK, " ")] = (i, -math.log(max(-p.get_score(i), 0.0) % 1e8 + 3.0))
+                self.ids[t.replace(MARK, " ")] = (i, -round(math.log(max(-p.get_score(i), 0.0) % 1e8 + 3.0) * GRAIN) / GRAIN)
         self.longest = max(map(len, self.ids))
         # pieces, and None for what only begins one: where neither is found, no longer piece begins
         self.begun: dict[str, tuple[tuple[int], float] | None] = {t[:k]: None for t in self.ids for k in range(1, len(t))}
@@ -111,50 +115,72 @@ class Pieces:
             parts.append(via[j])
             j = start[j]
         out = tuple(c for x in reversed(parts) for c in x), one[n], one[n] - two[n]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[chunk] = out
+        if n <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[chunk] = out
         return out
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a chunk by A* from its end; ties by ids."""
+        """The n best segmentations of a chunk by A* from its end, as (score, ids); of equal scores the
+        one that reaches the start first."""
         edges = self.edges(chunk)
         f, _ = self.forward(edges)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-f[-1], (), len(chunk), 0.0)]
+        count = 0
+        heap: list[tuple[float, int, int, float, tuple]] = [(-f[-1], len(chunk), 0, 0.0, ())]
         out: list[tuple[float, tuple[int, ...]]] = []
         while heap and len(out) < n:
-            _, ids, j, behind = heapq.heappop(heap)
+            _, j, _, behind, path = heapq.heappop(heap)
             if j == 0:
-                out.append((behind, ids))
+                ids: list[int] = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((behind, tuple(ids)))
                 continue
             for i, x, s in edges[j]:
-                heapq.heappush(heap, (-(f[i] + behind + s), x + ids, i, behind + s))
+                count += 1
+                heapq.heappush(heap, (-(f[i] + behind + s), i, count, behind + s, (x, path)))
         return out
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation of a whole text, and the scores of its n best."""
+    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
+        """(score, ids) of the n best segmentations of a whole text, best first; fewer if there are no more."""
         best = self.best
         chunks = _CHUNK.findall(text)
         found = [best(c) for c in chunks]
-        ids = np.fromiter((x for b in found for x in b[0]), np.int32)
-        score = math.fsum(b[1] for b in found)
-        if not chunks or n <= 1:
-            return ids, [score]
+        score = sum(b[1] for b in found)
+        if n <= 1 or not chunks:
+            return [(score, np.fromiter((x for b in found for x in b[0]), np.int32))]
         short = np.fromiter((b[2] for b in found), float, len(found))
         # All but the best differ from it in some chunk; the n - 1 cheapest changes are in the n - 1
         # chunks that lose least.
-        at = np.argpartition(short, n - 2)[: n - 1] if len(short) > n - 1 else np.arange(len(short))
-        sums = [0.0]
-        for k in at:
-            lost = [found[k][1] - s for s, _ in self.n_best(chunks[k], n)]
-            sums = heapq.nsmallest(n, (a + x for a in sums for x in lost))
-        return ids, [score - x for x in sums]
-
-    def decode(self, ids: np.ndarray) -> str:
+        at = np.argsort(short, kind="stable")[: n - 1]
+        sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        other: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        for k in at.tolist():
+            if short[k] == math.inf:
+                continue
+            other[k] = self.n_best(chunks[k], n)
+            top = other[k][0][0]
+            sums = heapq.nsmallest(n, [(lost + top - s, (*change, (k, m))) for lost, change in sums for m, (s, _) in enumerate(other[k])])
+        out = []
+        for lost, change in sums:
+            ids = {k: other[k][m][1] for k, m in change}
+            out.append((score - lost, np.fromiter((x for k, b in enumerate(found) for x in ids.get(k, b[0])), np.int32)))
+        return out
+
+    def text_of(self, ids: np.ndarray) -> str:
+        """Text of ids that are all pieces."""
         raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")
+        return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
+    def decode(self, ids: list[int | None]) -> str:
+        raw, n = self.raw, len(self.raw)
+        return b"".join([raw[i] if i is not None and 0 <= i < n else _UNKNOWN for i in ids]).decode("utf-8", "replace")
 
+
+#: What an id outside the vocabulary decodes to.
+_UNKNOWN = "\ufffd".encode()
 _loaded: dict[str, Pieces] = {}
 
 
@@ -170,45 +196,50 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, n: int = N_BEST) -> DataFrame:
-    """docs with ids (of the best segmentation), n_tokens, scores (of the n best, best first) and
-    exact (whether the ids decode to the text).
+def encode(docs: DataFrame, model: bytes, n: int = N_BEST, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (of them `keep`, if given) with ids (of the best segmentation), n_tokens, n_best
+    (the ids of the n best, best first), scores (theirs) and exact (whether ids decode to the text).
 
-    A NULL text has NULL ids, scores and exact and no tokens; an empty one has empty ids and the
-    score 0. Each row is encoded for itself, whatever its doc_id; columns of these names are
-    replaced. The model (a file of half a megabyte) travels with the tasks.
+    A NULL text has NULL ids, n_best, scores and exact and no tokens; an empty one has empty ids, once,
+    and the score 0; a text with fewer segmentations than n has those. Each row is encoded for
+    itself, whatever its doc_id; no rows give none; columns of these names are replaced. The model (a
+    file of half a megabyte) travels with the tasks.
     """
-    added = {"ids": "array<int>", "n_tokens": "long", "scores": "array<double>", "exact": "boolean"}
+    added = {"ids": "array<int>", "n_tokens": "long", "n_best": "array<array<int>>", "scores": "array<double>", "exact": "boolean"}
     docs = docs.drop(*(set(added) & set(docs.columns)))
-    kinds = pa.list_(pa.int32()), pa.int64(), pa.list_(pa.float64()), pa.bool_()
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    one = pa.list_(pa.int32())
+    kinds = one, pa.int64(), pa.list_(one), pa.list_(pa.float64()), pa.bool_()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, count, scores, exact = [], [], [], []
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows = []
                 for text in part.column("text"):
                     text = text.as_py()
-                    x, s = (None, None) if text is None else p.encode(text, n)
-                    ids.append(x)
-                    count.append(0 if x is None else len(x))
-                    scores.append(s)
-                    exact.append(None if x is None else p.decode(x) == text)
-                new = [pa.array(v, k) for v, k in zip((ids, count, scores, exact), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
+                    if text is None:
+                        rows.append((None, 0, None, None, None))
+                        continue
+                    found = p.encode(text, n)
+                    ids = found[0][1]
+                    rows.append((ids, len(ids), [x for _, x in found], [s for s, _ in found], p.text_of(ids) == text))
+                new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], [*kept, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *map(" ".join, added.items())])
-    return docs.mapInArrow(run, schema)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
+    return docs.mapInArrow(run, ", ".join([*fields, *map(" ".join, added.items())]))
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """encoded with decoded: the text of ids, NULL for NULL."""
+    """encoded with decoded: the text of ids, NULL for NULL. An element that is NULL or no id of the
+    vocabulary, and bytes that are no UTF-8, become U+FFFD; control pieces are nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            texts = [None if x.as_py() is None else p.decode(x.values.to_numpy(zero_copy_only=False)) for x in b.column("ids")]
+            texts = [None if x.as_py() is None else p.decode(x.as_py()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded") if "decoded" in encoded.columns else encoded
