@@ -3,7 +3,8 @@
 Four sources of evidence meet in a posterior: the likelihood of the text's hashed letter n-grams under
 each language, the language that the markup declares, the suffix of the address, and the languages
 of the host, shrunk towards its domain's and those towards all. How far declarations, suffixes
-and hosts are to be believed is estimated from the texts' own posteriors by grouped aggregation.
+and hosts are to be believed is estimated from the texts' own posteriors by grouped aggregation,
+the document that is judged left out.
 """
 
 from __future__ import annotations
@@ -13,25 +14,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .ngrams import let
 
+#: Buckets of letter n-grams. More than CELLS / BUCKETS languages share out CELLS, in fewer buckets
+#: each, so that the table has a size bound and still every labelled language.
 BUCKETS = 1 << 14
+CELLS = 1 << 22
+LEAST_BUCKETS = 1 << 9
 ORDER = 3
-#: A language is known if it labels at least this share of the labelled documents; so there are at
-#: most 1 / LEAST_SHARE of them, whatever the labels hold.
-LEAST_SHARE = 0.005
+#: n-grams that all languages together lend to each: a rare one isn't flattened by its few texts.
+SMOOTH = 1000.0
 #: n-grams of a text overlap and repeat: so many count as one.
 OVERLAP = 6.0
 #: Documents that the prior of a declaration, a suffix, a domain and a host is worth.
 WORTH = 10.0
 UNKNOWN = "und"
 
-_HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
-_HIDDEN = re.compile(r"<(script|style|noscript|nav|footer)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>")
+_HTML_LANG = re.compile(r"<html\b[^<>]{0,2000}?\blang\s{0,20}=\s{0,20}[\"']?([A-Za-z]{2,8})", re.I)
+_OPEN = re.compile(r"<(script|style|noscript|nav|footer)\b|<!--", re.I)
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "nav", "footer")} | {"": re.compile("-->")}
+_TAG = re.compile(r"<[^<>]*>")
 _ENTITY = re.compile(r"&#?\w{1,31};")
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32  # letters without case
@@ -40,55 +47,78 @@ _FOLD[91:97] = _FOLD[123:128] = 32
 
 
 def visible(html: str) -> str:
-    """Text of a page without scripts, styles, navigation, comments, tags and entities."""
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html)))
+    """Text of a page without scripts, styles, navigation, comments, tags and entities.
 
-
-def grams(text: str) -> np.ndarray:
-    """Buckets of the letter n-grams (1 to ORDER bytes) of a text."""
+    What opens and is never closed hides nothing. Each kind of end that isn't found once isn't sought
+    again, so the time is linear in the page.
+    """
+    parts, at, missing = [], 0, set()
+    for m in _OPEN.finditer(html):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in missing:
+            continue
+        end = _CLOSE[kind].search(html, m.end())
+        if end is None:
+            missing.add(kind)
+            continue
+        parts.append(html[at : m.start()])
+        at = end.end()
+    parts.append(html[at:])
+    return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts)))
+
+
+def grams(text: str, bits: int) -> np.ndarray:
+    """Buckets, 2^bits of them, of the letter n-grams (1 to ORDER bytes) of a text."""
     b = _FOLD[np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)]
     out, h = [], np.zeros(len(b), np.uint64)
     for k in range(ORDER):
         h = h[: len(b) - k] * np.uint64(257) + b[k:]
         keep = h != np.uint64(32) if k == 0 else np.ones(len(h), bool)
         mixed = (h[keep] + np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((mixed >> np.uint64(50)).astype(np.int64))
+        out.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(out)
 
 
 class Languages:
-    """Names and log probabilities of buckets, of fixed size for a number of languages."""
+    """Names of the labelled languages and log probabilities of buckets, CELLS of them at most."""
 
     def __init__(self, labelled: DataFrame) -> None:
-        """labelled: (text, lang). Each task sums its own n-grams; the counts, BUCKETS a language, come
+        """labelled: (text, lang). Each task sums its own n-grams; of the sums, CELLS rows at most come
         to the driver."""
         known = labelled.where("lang is not null and text is not null")
-        sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-        least = (known.count()) * LEAST_SHARE
-        rows = sizes.where(F.col("n") >= F.lit(least)).orderBy("lang").collect()
-        self.names = [r.lang for r in rows]
+        self.names = sorted(r.lang for r in known.select("lang").distinct().collect())
         index = {n: k for k, n in enumerate(self.names)}
+        each = max(min(CELLS // max(len(index), 1), BUCKETS), LEAST_BUCKETS)
+        self.bits = bits = each.bit_length() - 1
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(index), BUCKETS), np.int64)
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
             for b in batches:
-                for text, lang in zip(b.text, b.lang, strict=True):
-                    if lang in index:
-                        total[index[lang]] += np.bincount(grams(text), minlength=BUCKETS)
-            yield pd.DataFrame({"k": np.arange(len(index)), "n": list(total)})
-
-        table = np.zeros((len(index), BUCKETS))
+                for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
+                    k = index[lang.as_py()]
+                    if k not in sums:
+                        sums[k] = np.zeros(1 << bits, np.int64)
+                    sums[k] += np.bincount(grams(text.as_py(), bits), minlength=1 << bits)
+            for k, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], ["k", "bucket", "n"])
+
+        table = np.zeros((len(index), 1 << bits))
         if index:
-            counted = known.select("text", "lang").mapInPandas(count, "k int, n array<long>")
-            place = counted.select("k", F.posexplode("n").alias("bucket", "n")).where("n > 0")
-            for r in place.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-                table[r.k, r.bucket] = r.n
-        self.log = np.log((table + 1) / (table.sum(1, keepdims=True) + BUCKETS)) if index else table
+            counted = known.select("text", "lang").mapInArrow(count, "k long, bucket long, n long")
+            found = counted.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+            k, bucket, n = (c.to_numpy() for c in found.columns)
+            table[k, bucket] = n
+        pooled = (table.sum(0, keepdims=True) + 1) / (table.sum() + (1 << bits))
+        self.log = np.log((table + SMOOTH * pooled) / (table.sum(1, keepdims=True) + SMOOTH)) if index else table
 
     def posterior(self, text: str) -> np.ndarray:
         """Probability of each language by the text alone, all of them alike before."""
-        g = grams(text)
-        s = self.log[:, g].sum(1) / OVERLAP if len(g) else np.zeros(len(self.names))
+        g = grams(text, self.bits)
+        if len(g) > self.log.shape[1]:
+            s = self.log @ np.bincount(g, minlength=self.log.shape[1]) / OVERLAP
+        else:
+            s = self.log[:, g].sum(1) / OVERLAP if len(g) else np.zeros(len(self.names))
         p = np.exp(s - s.max())
         return p / p.sum()
 
@@ -134,55 +164,60 @@ def _grouped(read: DataFrame, keys: list[str], n: int) -> DataFrame:
     return read.groupBy(*keys).agg(F.array(*sums).alias("seen"))
 
 
-def _shrunk(seen: Column, toward: Column) -> Column:
-    """Shares of an array of sums, shrunk towards other shares worth WORTH documents."""
-    total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) + F.lit(WORTH)
-    return F.transform(seen, lambda x, i: (x + F.lit(WORTH) * F.get(toward, i)) / total)
+def _shrunk(seen: Column, own: Column, toward: Column) -> Column:
+    """Shares of an array of sums without a document's own, shrunk towards other shares worth WORTH
+    documents. A document's own shares sum to one."""
+    total = F.greatest(F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0)) + F.lit(WORTH)
+    return F.transform(seen, lambda x, i: (F.greatest(x - F.get(own, i), F.lit(0.0)) + F.lit(WORTH) * F.get(toward, i)) / total)
 
 
 def fuse(read: DataFrame, languages: Languages) -> DataFrame:
-    """read with lang, probability and kept: the best language of the fused posterior."""
+    """read with lang and probability: the best language of the fused posterior.
+
+    A document's own posterior is taken out of what its host, domain, suffix and declaration have seen.
+    """
     n = len(languages.names)
     read = staged(read, "languages")
-    cells = staged(_grouped(read, ["host", "domain", "suffix", "declared"], n), "sites")
+    keys = ["host", "domain", "suffix", "declared"]
+    cells = staged(_grouped(read, keys, n), "sites")
 
-    def level(keys: list[str]) -> DataFrame:
-        summed = cells.groupBy(*keys).agg(F.array(*(F.sum(F.col("seen")[k]) for k in range(n))).alias("seen"))
-        return summed.select(*(F.col(k).alias(f"_{k}") for k in keys), "seen")
+    def level(of: list[str], name: str) -> DataFrame:
+        summed = cells.groupBy(*of).agg(F.array(*(F.sum(F.col("seen")[k]) for k in range(n))).alias(name))
+        return summed.select(*(F.col(k).alias(f"_{k}") for k in of), name)
 
     all_ = cells.agg(*(F.sum(F.col("seen")[k]) for k in range(n))).first()
     total = sum(x or 0.0 for x in all_) or 1.0
     overall = F.array(*(F.lit(((x or 0.0) + 1.0 / n) / (total + 1.0)) for x in all_))
-    domains = level(["domain"]).select("_domain", _shrunk(F.col("seen"), overall).alias("toward"))
-    hosts = level(["domain", "host"]).join(domains, "_domain")
-    hosts = hosts.select("_host", "_domain", _shrunk(F.col("seen"), F.col("toward")).alias("prior"))
-
-    def likelihood(key: str) -> DataFrame:
-        """P(key | language) over P(key): how much more often the language has it than all have."""
-        share = _shrunk(F.col("seen"), overall)
-        return level([key]).select(f"_{key}", F.transform(share, lambda x, i: x / F.get(overall, i)).alias(f"{key}_odds"))
-
-    sites = cells.select("host", "domain", "suffix", "declared")
-    for table, keys in ((hosts, ["domain", "host"]), (likelihood("declared"), ["declared"]), (likelihood("suffix"), ["suffix"])):
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        joined = on[0] if len(on) == 1 else on[0] & on[1]
-        sites = sites.join(table, joined, "left").drop(*(f"_{k}" for k in keys))
-    said = F.col("declared").isNotNull()
-    weight = F.transform(
-        "prior",
-        lambda x, i: F.log(x) + F.when(said, F.log(F.get("declared_odds", i))).otherwise(0.0) + F.when(F.col("suffix") != "", F.log(F.get("suffix_odds", i))).otherwise(0.0),
-    )
-    keys = ["host", "domain", "suffix", "declared"]
-    sites = staged(sites.select(*(F.col(k).alias(f"_{k}") for k in keys), weight.alias("weight")), "weights")
+    sites = cells.select(*keys)
+    for of, name in ((["domain"], "in_domain"), (["domain", "host"], "in_host"), (["declared"], "so_declared"), (["suffix"], "in_suffix")):
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in of]
+        sites = sites.join(level(of, name), on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*(f"_{k}" for k in of))
+    sites = staged(sites.select(*(F.col(k).alias(f"_{k}") for k in keys), "in_domain", "in_host", "so_declared", "in_suffix"), "weights")
     on = F.col("host").eqNullSafe(F.col("_host"))
     for k in keys[1:]:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    fused = read.join(sites, on).withColumn("score", F.transform("p", lambda x, i: F.log(x + F.lit(1e-300)) + F.get("weight", i)))
-    top = F.array_max("score")
+    own = F.col("p")
+    said, dotted = F.col("declared").isNotNull(), F.col("suffix") != ""
+    prior = let(_shrunk(F.col("in_domain"), own, overall), lambda d: _shrunk(F.col("in_host"), own, d))
+
+    def odds(seen: str, known: Column) -> Column:
+        """P(key | language) over P(key): how much more often the language has it than all have."""
+        share = _shrunk(F.col(seen), own, overall)
+        return F.when(known, F.transform(share, lambda x, i: F.log(x / F.get(overall, i)))).otherwise(F.array_repeat(F.lit(0.0), n))
+
+    parts = F.struct(prior.alias("prior"), odds("so_declared", said).alias("declared"), odds("in_suffix", dotted).alias("suffix"))
+    score = let(
+        parts,
+        lambda s: F.transform(
+            "p", lambda x, i: F.log(x + F.lit(1e-300)) + F.log(F.get(s["prior"], i)) + F.get(s["declared"], i) + F.get(s["suffix"], i)
+        ),
+    )
+    fused = read.join(sites, on).withColumn("score", score)
     names = F.array(*map(F.lit, languages.names))
+    top = F.array_max("score")
     rest = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     return fused.withColumns({"lang": F.get(names, F.array_position("score", top).cast("int") - 1), "probability": 1 / rest}).drop(
-        "_host", "_domain", "_suffix", "_declared", "weight", "score"
+        "_host", "_domain", "_suffix", "_declared", "in_domain", "in_host", "so_declared", "in_suffix", "score"
     )
 
 
@@ -192,9 +227,12 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     rows have text, html (used instead of the text where not NULL), declared, url and host (NULL:
     taken from the url). labelled (text, lang) trains the likelihoods. A NULL or empty text leaves
     the decision to the other evidence; NULL declarations and missing hosts are evidence of nothing;
-    repeated rows are judged alike; without labelled documents every language is UNKNOWN.
+    repeated rows are judged alike; without labelled documents every language is UNKNOWN; every
+    labelled language can be found, however rare; no rows give none; a column of rows named like a
+    result (lang, text_lang, probability) is replaced.
     """
     languages = Languages(labelled)
+    rows = rows.drop(*({"lang", "text_lang", "probability", "p", "domain", "suffix", "score"} & set(rows.columns)))
     keep = [c for c in rows.columns if c not in ("text", "html", "declared", "url", "host")]
     if not languages.names:
         none = F.lit(UNKNOWN)
