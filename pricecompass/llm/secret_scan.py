@@ -1,7 +1,7 @@
 """Secret scan: candidates found by their shape, false positives removed by a random forest.
 
-A candidate is a long run of key characters with letters and digits, or a value assigned to a name.
-Its features are its length, how its characters follow each other (class changes, entropy, bigrams
+A candidate is a long run of key characters with a letter, a quoted value assigned to a name, or any
+value assigned to a name that speaks of secrets. Its features are its length, how its characters follow each other (class changes, entropy, bigrams
 against those of the corpus), how much of it dictionary words cover, the path it was found under and
 the words around it. The forest is trained on labelled findings.
 """
@@ -32,8 +32,13 @@ THRESHOLD = 0.5
 AROUND = 64
 
 _RUN = rb"[A-Za-z0-9+/_=.~-]{16,}"
-_ASSIGNED = rb"[A-Za-z0-9_.-]{2,40}[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"']([^\"'\s]{8,256})[\"']"
-_CANDIDATE = re.compile(rb"(?<![A-Za-z0-9_.-])" + _ASSIGNED + rb"|(" + _RUN + rb")")
+_SET = rb"[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}"
+_QUOTED = rb"[A-Za-z0-9_.-]{2,40}[\"']?" + _SET + rb"[\"']([^\"'\s]{8,256})[\"']"
+_NAMED = (
+    rb"[A-Za-z0-9_.-]{0,30}(?i:token|secret|passw|pwd|key|auth|credential|bearer)[A-Za-z0-9_.-]{0,20}[\"']?(?:" + _SET + rb"|(?<=[Bb]earer)[ \t]+)"
+    rb"([^\s\"'<>(){}\[\],;]{8,256})"
+)
+_CANDIDATE = re.compile(rb"(?<![A-Za-z0-9_.-])(?:" + _QUOTED + rb"|" + _NAMED + rb")|(" + _RUN + rb")")
 _WORD = re.compile(rb"[a-z]+")
 _SEPARATED = re.compile(rb"[A-Za-z0-9]+")
 
@@ -132,9 +137,9 @@ def features(value: bytes, before: bytes, after: bytes, path: bytes, table: np.n
 def candidates(text: bytes) -> Iterator[tuple[int, bytes]]:
     """(byte offset, value) of each candidate of a text."""
     for m in _CANDIDATE.finditer(text):
-        value = m[1] or m[2]
-        if m[1] or (any(48 <= c <= 57 for c in value) and any(c >= 65 and c != 95 for c in value)):
-            yield m.start(1 if m[1] else 2), value
+        k = m.lastindex
+        if k < 3 or any(65 <= c <= 90 or 97 <= c <= 122 for c in m[3]):
+            yield m.start(k), m[k]
 
 
 def find(docs: DataFrame, table: np.ndarray, words: frozenset[bytes], path: str | None) -> DataFrame:
@@ -172,34 +177,69 @@ def find(docs: DataFrame, table: np.ndarray, words: frozenset[bytes], path: str
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, path, label): n written texts of one finding each, half of them secrets, for
-    corpora that bring no labelled findings of their own. doc_id counts from 0."""
+def surroundings(docs: DataFrame, n: int = 400) -> list[str]:
+    """Stretches of 300 characters of n documents at most, those with the smallest MD5 of the id: what
+    findings are written into."""
+    some = docs.where("text is not null and doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    return [r[0] for r in some.select(F.substring("text", 1, 300)).limit(n).collect()]
+
+
+def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SEED, around: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, path, start, length, label): n written texts of one finding each, half of them
+    secrets, for corpora that bring no labelled findings of their own. doc_id counts from 0; start and
+    length say where in the text (bytes) the finding is; `around` are texts to write it into."""
     r = random.Random(seed)
     pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
-    hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hexa, lower = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    alnum = lower.upper() + lower + "0123456789"
     plain = "the service reads values from this place and writes them again when users change their settings later".split()
-    prose = lambda: " ".join(r.choice(plain) for _ in range(r.randint(2, 8)))
+    word = lambda: r.choice(plain)
 
-    def secret() -> str:
-        value = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: pick(alnum, r.randint(20, 64)), lambda: pick(alnum + "+/", r.randint(24, 60)) + "=="])()
-        name = r.choice(["token", "secret", "api_key", "password", "auth_token", "access_key", "client_secret"])
-        name, value = (name.upper(), value.upper()) if r.random() < 0.2 else (name, value)
-        quote = r.choice(['"', "'"])
-        return f"{name}{r.choice([' = ', '=', ': '])}{quote}{value}{quote}"
+    def prose() -> str:
+        if not around:
+            return " ".join(word() for _ in range(r.randint(2, 8)))
+        text = r.choice(around)
+        at = r.randint(0, max(len(text) - 60, 0))
+        return text[at : at + r.randint(20, 60)]
+
+    def value() -> str:
+        return r.choice(
+            [
+                lambda: pick(hexa, r.choice([32, 40, 64])),
+                lambda: pick(alnum, r.randint(20, 64)),
+                lambda: pick(alnum + "+/", r.randint(24, 60)) + "==",
+                lambda: pick(lower.upper() + lower, r.randint(20, 48)),
+                lambda: pick(lower + "0123456789", r.randint(9, 16)),
+                lambda: f"{pick(lower, 4)}_{pick(alnum, r.randint(24, 40))}",
+                lambda: f"{word()}{r.randint(10, 9999)}{pick('!#%*', 1)}{pick(alnum, 4)}",
+            ]
+        )()
 
-    def other() -> str:
-        word = lambda: r.choice(plain)
+    def secret() -> tuple[str, str]:
+        v = value()
+        name = r.choice("token secret api_key password auth_token access_key client_secret db.password PRIVATE_KEY pwd".split())
+        name, v = (name.upper(), v.upper()) if r.random() < 0.2 else (name, v)
+        q = r.choice(['"', "'", "", ""])
+        if r.random() < 0.15:
+            return "Authorization: Bearer ", v
+        if r.random() < 0.1 and len(v) >= 20:
+            return "", v
+        return f"{name}{r.choice([' = ', '=', ': ', ' := '])}{q}", v + q
+
+    def other() -> tuple[str, str]:
         return r.choice(
             [
-                lambda: f"{r.choice(['sha256', 'commit', 'md5', 'checksum', 'etag'])}{r.choice([' ', ': ', ' = '])}{pick(hexa, r.choice([32, 40, 64]))}",
-                lambda: f"id {pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}",
-                lambda: f"{word()}{word()}{word()}{r.randint(1, 99)}{word()}",
-                lambda: f"/{word()}/{word()}/{word()}/{r.randint(100, 99999)}.html",
-                lambda: f'{r.choice(["token", "password", "api_key"])} = "{r.choice(["changeme", "your_token_here_1", "example-secret-1", "xxxxxxxxxxxxxxxx1"])}"',
-                lambda: f'{r.choice(["title", "name", "label"])} = "{word()}_{word()}_{word()}"',
-                lambda: f"{word()}.{r.randint(1, 99)}.{word()}@mail{r.randint(1, 9)}.example.com",
-                lambda: f"www.{word()}-{word()}{r.randint(1, 9)}.example.com/{word()}",
+                lambda: (f"{r.choice(['sha256', 'commit', 'md5', 'checksum', 'etag'])}{r.choice([' ', ': ', ' = '])}", pick(hexa, r.choice([32, 40, 64]))),
+                lambda: ("id ", f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"),
+                lambda: ("", f"{word()}{word()}{word()}{r.randint(1, 99)}{word()}"),
+                lambda: ("", f"{word()}{word().title()}{word().title()}{word().title()}"),
+                lambda: ("", f"/{word()}/{word()}/{word()}/{r.randint(100, 99999)}.html"),
+                lambda: (f"{r.choice(['token', 'password', 'api_key'])} = ", r.choice(["changeme", "your_token_here_1", "example-secret-1", "xxxxxxxxxxxxxxxx1"])),
+                lambda: (f"{r.choice(['password', 'token', 'secret_name'])}: ", f"{word()}_{word()}" if r.random() < 0.5 else word() + word()),
+                lambda: (f"{r.choice(['key', 'keyboard', 'author'])} = ", f"{word()}.{word()}.{word()}"),
+                lambda: (f'{r.choice(["title", "name", "label"])} = "', f'{word()}_{word()}_{word()}"'),
+                lambda: ("", f"{word()}.{r.randint(1, 99)}.{word()}@mail{r.randint(1, 9)}.example.com"),
+                lambda: ("", f"www.{word()}-{word()}{r.randint(1, 9)}.example.com/{word()}"),
             ]
         )()
 
@@ -207,16 +247,23 @@ def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SE
     for k in range(n):
         good = k % 2 == 0
         trial = r.random() < (0.1 if good else 0.3)
-        path = f"{r.choice(['src', 'app', 'conf'])}/{'tests/' if trial else ''}{r.choice(plain)}.txt" if r.random() < 0.5 else None
-        rows.append((k, f"{prose()} {secret() if good else other()} {prose()}", path, int(good)))
-    return spark.createDataFrame(rows, "doc_id long, text string, path string, label int")
+        path = f"{r.choice(['src', 'app', 'conf'])}/{'tests/' if trial else ''}{word()}.txt" if r.random() < 0.5 else None
+        before, name, v, after = prose(), *(secret() if good else other()), prose()
+        head = f"{before} {name}"
+        rows.append((k, f"{head}{v} {after}", path, len(head.encode()), len(v.encode()), int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string, path string, start long, length long, label int")
 
 
 def train(labelled: DataFrame, table: np.ndarray, words: frozenset[bytes], path: str | None = "path") -> RandomForestClassificationModel:
-    """Forest over labelled findings (doc_id, text, path, label): a text's candidates have its label.
-    Beyond TRAINING_ROWS, those with the smallest MD5 of the id are taken."""
+    """Forest over labelled findings (doc_id, text, path, label, and start and length in bytes, where
+    known): the candidates that meet a finding have its label, all of a text where start is NULL or no
+    column. Beyond TRAINING_ROWS, those with the smallest MD5 of the id are taken."""
     some = labelled.where("label is not null and text is not null").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRAINING_ROWS)
-    found = find(some, table, words, path).join(some.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id")
+    no = F.lit(None).cast("long")
+    of = [F.col(c) if c in labelled.columns else no for c in ("start", "length")]
+    truth = some.select("doc_id", F.col("label").cast("double").alias("label"), of[0].alias("from"), (of[0] + of[1]).alias("to"))
+    found = find(some, table, words, path).join(truth, "doc_id")
+    found = found.where(F.col("from").isNull() | ((F.col("start") < F.col("to")) & (F.col("start") + F.col("length") > F.col("from"))))
     rows = found.orderBy("doc_id", "start").coalesce(1).select(array_to_vector("x").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(rows)
 
@@ -224,7 +271,7 @@ def train(labelled: DataFrame, table: np.ndarray, words: frozenset[bytes], path:
 def scan(docs: DataFrame, model: RandomForestClassificationModel, table: np.ndarray, words: frozenset[bytes], path: str | None = None) -> DataFrame:
     """(doc_id, start, length, value_md5, probability, is_secret) of every candidate of docs.
 
-    A NULL or empty text has no candidates; a NULL doc_id or path is allowed; a repeated row gives
+    A candidate that runs over another isn't given twice. A NULL or empty text has no candidates; a NULL doc_id or path is allowed; a repeated row gives
     its findings again; no rows give none; other columns are ignored.
     """
     scored = model.transform(find(docs, table, words, path).withColumn("features", array_to_vector("x")))
