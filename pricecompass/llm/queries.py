@@ -32,7 +32,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words, pairs = secret_scan.dictionary(vocabulary), secret_scan.transitions(docs)
-    model = secret_scan.train(secret_scan.labelled_findings(spark), pairs, words)
+    model = secret_scan.train(secret_scan.labelled_findings(spark, around=secret_scan.surroundings(docs)), pairs, words)
     return secret_scan.scan(docs, model, pairs, words, "source")
 
 
@@ -42,13 +42,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    found = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepiece.model_bytes(model))
-    ids = F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"))
-    return found.select("doc_id", "n_tokens", ids.alias("ids_md5"), "scores", "exact")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece.encode(docs, sentencepiece.model_bytes(model), keep=["doc_id"])
+    digest = lambda ids: F.md5(F.array_join(ids.cast("array<string>"), " ").cast("binary"))
+    return found.select(
+        "doc_id", "n_tokens", digest(F.col("ids")).alias("ids_md5"), F.array_join(F.transform("n_best", digest), " ").alias("n_best_md5"),
+        "scores", "exact",
+    )
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words taken, and the positions in training of the first and the last copy."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.round(F.array_min("positions"), 6).alias("first_position"), F.round(F.array_max("positions"), 6).alias("last_position"),
+    )
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
