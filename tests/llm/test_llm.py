@@ -228,8 +228,27 @@ def test_substring_dedup_of_passages_held_twice(spark):
     both = [k for k in range(24) if 2 * k in rows and 2 * k + 1 in rows and rows[2 * k].class_id == rows[2 * k + 1].class_id]
     assert both == list(range(24))
     # links of two copies in turn: each copy's meet all the same
-    links = [(0, 0, 10, 10, 99, 99), (0, 200, 10, 210, 99, 299), (0, 0, 40, 40, 99, 99), (0, 200, 40, 240, 99, 299)]
-    assert set(substring_dedup._meeting(np.array(links))) == {(0, 99, 0, 99), (0, 99, 200, 299)}
+    links = np.array([(0, 0, 10, 10, 99, 99), (0, 200, 10, 210, 99, 299), (0, 0, 40, 40, 99, 99), (0, 200, 40, 240, 99, 299)])
+    assert set(substring_dedup.tight_passages(links)) == {(0, 99, 0, 99), (0, 99, 200, 299)}
+    assert substring_dedup.partners(links).tolist() == [[0, 99, 0, 99], [0, 99, 200, 299]] * 2
+
+
+def test_interval_join_meets_all_links():
+    r = np.random.default_rng(2)
+    least = substring_dedup.LEAST
+    for n in (2, 2, 2, 2, 5, 20, 60):
+        c = np.sort(r.integers(100, 500, n))
+        w = np.stack([c - r.integers(0, 90, n), c + 7 - r.integers(0, 90, n), c, c + 7, c + r.integers(0, 90, n), c + 7 + r.integers(0, 90, n)], 1)
+        want = np.full(n, least - 2)
+        for i in range(n):
+            for j in range(n):
+                l1, l2, r1, r2 = max(w[i, 0], w[j, 0]), max(w[i, 1], w[j, 1]), min(w[i, 4], w[j, 4]), min(w[i, 5], w[j, 5])
+                inside = all(l1 <= w[k, 2] <= r1 and l2 <= w[k, 3] <= r2 for k in (i, j))
+                if i != j and inside and min(r1 - l1, r2 - l2) + 1 >= least:
+                    want[i] = max(want[i], min(r1 - l1, r2 - l2))
+        box = substring_dedup.partners(w)
+        got = np.where(box[:, 0] < 0, least - 2, np.minimum(box[:, 1] - box[:, 0], box[:, 3] - box[:, 2]))
+        assert (got == want).all()
 
 
 def test_substring_dedup_recall_of_planted_pairs(spark):
