@@ -48,9 +48,9 @@ def coverage(tokens: Column, signs: Column, asked: tuple[str, ...]) -> Column:
 
 
 def _ladder(ask: Request, title: Column, low: Column, tokens: Column, signs: Column, brands: Column, cover: Column) -> Column:
-    """(reason, confidence) of a title: the first rule that rejects names the reason."""
+    """(before, after, confidence) of a title: the first rule that rejects it names the reason, of those
+    that come before the bounds on the price and of those after."""
     category = ask.category or "other"
-    floor, ceiling, _ = V.CATEGORIES[category]
     rules: list[tuple[Column, Column]] = []
 
     def reject(when: Column, why: Column | str) -> None:
@@ -73,8 +73,7 @@ def _ladder(ask: Request, title: Column, low: Column, tokens: Column, signs: Col
     elif ask.brand and ask.family in V.COMPONENT_FAMILIES:
         others = [b for b in V.COMPONENT_FAMILIES if b != ask.family]
         reject(_any_of([F.array_contains(brands, b) for b in others]), f"wrong component family (wanted {ask.brand})")
-    reject(F.col("price") < (V.ACCESSORY_FLOOR if ask.accessory else floor), f"price below {category} floor")
-    reject(F.col("price") > ceiling, f"price above {category} ceiling")
+    early = len(rules)
     for i, token in enumerate(ask.tokens):
         if any(c.isdigit() for c in token):
             forms = [token] + ([ask.tokens[i - 1] + token] if i else [])
@@ -96,21 +95,25 @@ def _ladder(ask: Request, title: Column, low: Column, tokens: Column, signs: Col
                 confidence = F.when(have.isNull(), confidence - less).otherwise(F.least(F.lit(1.0), confidence + more))
         if ask.brand:
             confidence = confidence - F.when(F.array_contains(brands, ask.family), 0.0).otherwise(0.08)
-    reason = None
-    for when, why in rules:
-        reason = F.when(when, why) if reason is None else reason.when(when, why)
-    return F.struct(reason.alias("reason"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"))
 
+    def first(some: list[tuple[Column, Column]]) -> Column:
+        reason = F.when(F.lit(False), F.lit(""))
+        for when, why in some:
+            reason = reason.when(when, why)
+        return reason
+
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    return F.struct(first(rules[:early]).alias("before"), first(rules[early:]).alias("after"), sure.alias("confidence"))
 
-def match(listings: DataFrame, ask: Request) -> DataFrame:
-    """listings (title, price, ...) with confidence, rejected and reject_reason.
 
-    Built-in expressions throughout, but for capacities, which are read only if the request states
-    one. A NULL title is too short; a NULL price is neither too low nor too high.
+def judged_titles(titles: DataFrame, ask: Request) -> DataFrame:
+    """(_title, before, after, confidence) of each row of titles (_title).
+
+    Built-in expressions throughout, but for capacities, which are read only if the request states one.
     """
-    title = F.trim(F.coalesce(F.col("title"), F.lit("")))
+    title = F.trim("_title")
     sized = ask.tokens and (ask.storage is not None or ask.ram is not None)
-    frame = listings.withColumn("_size", capacities_of(title, ask.category)) if sized else listings
+    frame = titles.withColumn("_size", capacities_of(title, ask.category)) if sized else titles
     no_cover = F.lit(0.0)
 
     def with_cover(r: Column) -> Column:
@@ -125,15 +128,26 @@ def match(listings: DataFrame, ask: Request) -> DataFrame:
     judged = let(
         F.lower(normalise(title)), lambda low: let(F.struct(low.alias("low"), tokens_of(low).alias("tokens")), with_signs)
     )
-    rejected = F.col("_judged.reason").isNotNull()
-    # as a generator's column, which filters stay above: the ladder is gone through once a row
-    return frame.withColumn("_judged", F.explode(F.array(judged))).withColumns(
-        {
-            "reject_reason": F.col("_judged.reason"),
-            "rejected": rejected,
-            "confidence": F.when(rejected, 0.0).otherwise(F.col("_judged.confidence")),
-        }
-    ).drop("_judged", "_size")
+    # as a generator's column, which filters stay above: the ladder is gone through once a title
+    return frame.select("_title", F.explode(F.array(judged)).alias("j")).select("_title", "j.before", "j.after", F.col("j.confidence").alias("_sure"))
+
+
+def match(listings: DataFrame, ask: Request) -> DataFrame:
+    """listings (title, price, ...) with confidence, rejected and reject_reason.
+
+    All but the price is a matter of the title, so each distinct title is judged once and its verdict
+    joined. A NULL title is too short; a NULL price is neither too low nor too high.
+    """
+    category = ask.category or "other"
+    floor, ceiling, _ = V.CATEGORIES[category]
+    keyed = listings.withColumn("_title", F.coalesce("title", F.lit("")))
+    verdicts = judged_titles(keyed.select("_title").distinct(), ask)
+    low = F.when(F.col("price") < (V.ACCESSORY_FLOOR if ask.accessory else floor), f"price below {category} floor")
+    price = low.when(F.col("price") > ceiling, f"price above {category} ceiling")
+    rejected = F.col("reject_reason").isNotNull()
+    return keyed.join(verdicts, "_title").withColumn("reject_reason", F.coalesce("before", price, "after")).withColumns(
+        {"rejected": rejected, "confidence": F.when(rejected, 0.0).otherwise(F.col("_sure"))}
+    ).drop("_title", "before", "after", "_sure")
 
 
 def accepted(matched: DataFrame) -> DataFrame:

@@ -13,18 +13,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder spark.checkpoint.dir names (one of our own only where it is
-    unset, as in tests) and read again: lineage ends there."""
+    unset and driver and executors are one process, as in tests) and read again: lineage ends there."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="staging-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="staging-"))
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -37,6 +42,18 @@ def pieces(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return staged(ranged.withColumn("piece", F.spark_partition_id()), "pieces")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with pos, their place from 1 in the order of a column: range partitions are numbered each,
+    and start where those before them end."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = staged(rows.repartitionByRange(n, order).withColumn("piece", F.spark_partition_id()), "numbered")
+    sizes = cut.groupBy("piece").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("piece", before.alias("before")))  # a row a partition
+    own = F.row_number().over(Window.partitionBy("piece").orderBy(order))
+    return cut.withColumn("own", own).join(starts, "piece").withColumn("pos", F.col("before") + F.col("own")).drop("piece", "own", "before")
+
+
 def by_piece(frame: DataFrame, key: str, order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """fn over each piece of each key, its rows in order."""
 

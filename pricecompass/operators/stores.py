@@ -30,7 +30,10 @@ def dedupe_pins(stores: DataFrame, most: int | None = None) -> DataFrame:
     The greedy choice is made in rounds: a pin goes that a kept one covers, and one is kept that no
     earlier undecided pin covers. In a fine cell every pin covers every later one, so only its first
     undecided pin can be kept next: a crowd of pins in one place costs a row each, not their square.
+    Stores without a name or a place aren't pins and go; each round keeps at least the first of those
+    left. Names are compared without case.
     """
+    stores = stores.where(F.col("name").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("distance_m").isNotNull())
     fine = V.CELL_DEG / 3  # 19 m at most: the diagonal is well below SAME_PIN_M
     spots = stores.withColumns(
         {

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, matching, query, text
 from ..functions import values as V
-from ..operators import ranking, stores
+from ..operators import listings, ranking, stores
+from ..operators.chunks import numbered, staged
 from ..sources import bindings as B
 
 ASK = "red widget"
@@ -286,10 +287,21 @@ def token_coverage(spark, sf_dir):
 
 # Listings and ranking
 
-@registered(f"WITH {B.listings_sql()} SELECT lower(title) AS title, price, min(pos) IS NOT NULL AS kept, count(*) AS n FROM listings GROUP BY ALL")
+_LISTED = B.listings_sql() + """,
+offered AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'https://' || domain || '/p/' || (price % 50) END AS url FROM listings)"""
+
+
+def offered(spark, sf_dir) -> DataFrame:
+    """Listings with a url for every third, by the order of all (numbered without gathering them)."""
+    return numbered(B.listings(spark, sf_dir), "at").withColumn(
+        "url", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://"), "domain", F.lit("/p/"), (F.col("price") % 50).cast("string")))
+    )
+
+
+@registered(f"""WITH {_LISTED} SELECT pos, title, price, url FROM offered WHERE price > 0 AND length(title) BETWEEN 3 AND 300
+  QUALIFY row_number() OVER (PARTITION BY coalesce(url, lower(title)), price ORDER BY pos) = 1""")
 def listing_dedupe(spark, sf_dir):
-    keyed = B.listings(spark, sf_dir).groupBy(F.lower("title").alias("title"), "price")
-    return keyed.agg(F.min("at").isNotNull().alias("kept"), F.count("*").alias("n"))
+    return listings.deduped(listings.sane(offered(spark, sf_dir)), "pos").select("pos", "title", "price", "url")
 
 
 @registered(f"WITH {B.listings_sql()} SELECT lower(title) AS title, min(price) AS price, arg_min(domain, (price, pos)) AS domain FROM (SELECT * FROM listings WHERE domain IS NOT NULL) GROUP BY 1")
@@ -334,8 +346,8 @@ deals AS (SELECT * EXCLUDE (some_stock), (row_number() OVER (ORDER BY CASE WHEN
 DEALS, DEALS_SIZED = _deals(MATCHED), _deals(MATCHED_SIZED)
 
 
-def deals(spark, sf_dir, sized: bool = False) -> DataFrame:
-    best = ranking.best_by_domain(matched(spark, sf_dir, sized))
+def deals(spark, sf_dir, sized: bool = False, found: DataFrame | None = None) -> DataFrame:
+    best = ranking.best_by_domain(matched(spark, sf_dir, sized) if found is None else found)
     return ranking.deals(best, stores.nearest_branches(near(spark, sf_dir)))
 
 
@@ -420,7 +432,7 @@ def rule_verdict(spark, sf_dir):
   (SELECT count(*) FROM deals) AS deals_found, (SELECT min(price) FROM deals) AS cheapest_sticker, (SELECT min(total) FROM deals) AS cheapest_total"""
 )
 def search_summary(spark, sf_dir):
-    inside, found = near(spark, sf_dir), matched(spark, sf_dir)
+    inside, found = near(spark, sf_dir), staged(matched(spark, sf_dir), "matched")
     by_domain = found.groupBy("domain").agg(
         F.count("*").alias("seen"),
         F.count_if(~F.col("rejected") & (F.col("confidence") >= V.MIN_CONFIDENCE)).alias("matched"),
@@ -432,7 +444,7 @@ def search_summary(spark, sf_dir):
         F.sum("seen").alias("listings_seen"),
         F.sum("matched").alias("listings_matched"),
     )
-    ranked = deals(spark, sf_dir).agg(
+    ranked = deals(spark, sf_dir, found=found).agg(
         F.count("*").alias("deals_found"), F.min("price").alias("cheapest_sticker"), F.min("total").alias("cheapest_total")
     )
     return inside.agg(F.count("*").alias("stores_found")).join(counts).join(ranked)
