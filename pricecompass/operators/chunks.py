@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -136,6 +136,13 @@ def best_listings(rows: DataFrame, tolerance: float) -> DataFrame:
     return picked.drop("piece", "_d", "_at").dropDuplicates(["domain"])
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a time column; of one without zone, as if in UTC."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    return F.unix_micros(F.col(ts))
+
+
 def anchored_windows(events: DataFrame, key: str, ts: str, tie: str, width_us: int) -> DataFrame:
     """events with start (microseconds) of the window each is in, and nth, its place in it from 0.
 
@@ -144,7 +151,7 @@ def anchored_windows(events: DataFrame, key: str, ts: str, tie: str, width_us: i
     begin in it, the last window that follows; pieces then hand on their last window in order.
     Events of a key at the same time are in the order of tie; a NULL time takes no part.
     """
-    rows = events.where(F.col(ts).isNotNull()).withColumn("us", F.unix_micros(F.col(ts)))
+    rows = events.where(F.col(ts).isNotNull()).withColumn("us", micros(events, ts))
     cut = pieces(rows, key, ["us"])
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
