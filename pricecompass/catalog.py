@@ -1,6 +1,6 @@
 """Registered queries of the library and their SQL; those of the corpus subpackage are added elsewhere."""
 
-from .plans import pages, search, web
+from .plans import ingest, pages, search, web
 
-QUERIES = {**search.QUERIES, **web.QUERIES, **pages.QUERIES}
-ORACLES = {**search.ORACLES, **web.ORACLES, **pages.ORACLES}
+QUERIES = {**search.QUERIES, **web.QUERIES, **pages.QUERIES, **ingest.QUERIES}
+ORACLES = {**search.ORACLES, **web.ORACLES, **pages.ORACLES, **ingest.ORACLES}

@@ -13,22 +13,22 @@ from ..sources import bindings as B
 from .search import DEALS, ORACLES, QUERIES, deals, registered  # noqa: F401
 
 
-def _pick(key: Column, choices: list[str | None]) -> Column:
+def pick(key: Column, choices: list[str | None]) -> Column:
     return F.get(F.array(*(F.lit(c).cast("string") for c in choices)), (key % len(choices)).cast("int"))
 
 
-def _pick_sql(key: str, choices: list[str | None]) -> str:
+def pick_sql(key: str, choices: list[str | None]) -> str:
     return f"[{', '.join('NULL' if c is None else quoted(c) for c in choices)}][({key} % {len(choices)} + 1)::INT]"
 
 
-def _golden(cases: list[tuple[str | None, str | bool | None]], name: str) -> str:
+def golden(cases: list[tuple[str | None, str | bool | None]], name: str) -> str:
     """SQL of a table of cases picked by p_partkey."""
     values = ", ".join("NULL" if b is None else str(b).lower() if isinstance(b, bool) else quoted(b) for _, b in cases)
-    return f"SELECT p_partkey, {_pick_sql('p_partkey', [a for a, _ in cases])} AS raw, [{values}][(p_partkey % {len(cases)} + 1)::INT] AS {name} FROM part"
+    return f"SELECT p_partkey, {pick_sql('p_partkey', [a for a, _ in cases])} AS raw, [{values}][(p_partkey % {len(cases)} + 1)::INT] AS {name} FROM part"
 
 
-def _cases(spark, sf_dir, cases: list[tuple[str | None, str | bool | None]]) -> DataFrame:
-    return B.table(spark, sf_dir, "part").select("p_partkey", _pick(F.col("p_partkey"), [a for a, _ in cases]).alias("raw"))
+def cases(spark, sf_dir, cases: list[tuple[str | None, str | bool | None]]) -> DataFrame:
+    return B.table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [a for a, _ in cases]).alias("raw"))
 
 
 @registered(
@@ -52,9 +52,9 @@ AVAILABILITY: list[tuple[str | None, bool | None]] = [
 ]
 
 
-@registered(_golden(AVAILABILITY, "in_stock"))
+@registered(golden(AVAILABILITY, "in_stock"))
 def availability(spark, sf_dir):
-    return _cases(spark, sf_dir, AVAILABILITY).withColumn("in_stock", web.availability(F.col("raw")))
+    return cases(spark, sf_dir, AVAILABILITY).withColumn("in_stock", web.availability(F.col("raw")))
 
 
 DOMAINS: list[tuple[str | None, str | None]] = [
@@ -63,9 +63,9 @@ DOMAINS: list[tuple[str | None, str | None]] = [
 ]
 
 
-@registered(_golden(DOMAINS, "domain"))
+@registered(golden(DOMAINS, "domain"))
 def url_normalise(spark, sf_dir):
-    return _cases(spark, sf_dir, DOMAINS).withColumn("domain", web.normalised_domain(F.col("raw")))
+    return cases(spark, sf_dir, DOMAINS).withColumn("domain", web.normalised_domain(F.col("raw")))
 
 
 URLS: list[tuple[str | None, bool]] = [
@@ -75,9 +75,9 @@ URLS: list[tuple[str | None, bool]] = [
 ]
 
 
-@registered(_golden(URLS, "public"))
+@registered(golden(URLS, "public"))
 def safe_url(spark, sf_dir):
-    return _cases(spark, sf_dir, URLS).withColumn("public", web.public_url(F.col("raw")))
+    return cases(spark, sf_dir, URLS).withColumn("public", web.public_url(F.col("raw")))
 
 
 _NETS = " OR ".join(
@@ -100,7 +100,7 @@ def ipv4_reserved(spark, sf_dir):
 _LATS, _LONS, _RADII = ["43.25", '"43"', "95", "-90", "null"], ["76.9", "181", "true", "-180"], ["2530", "100", "25001", "300", "949.5", '"500"', "25000"]
 _ITEMS = ['"red widget"', '" x "', '"?!"', "7", f'"{"long " * 30}"', '"  PS5 "', '"айфон 15"']
 _BODY = [("lat", 1, _LATS), ("lon", 5, _LONS), ("radiusM", 20, _RADII), ("item", 140, _ITEMS)]
-_BODY_SQL = " || ', ' || ".join(f"""'"{n}": ' || {_pick_sql(f"(o_orderkey // {step})", c)}""" for n, step, c in _BODY)
+_BODY_SQL = " || ', ' || ".join(f"""'"{n}": ' || {pick_sql(f"(o_orderkey // {step})", c)}""" for n, step, c in _BODY)
 _NUMBER = "CASE WHEN json_type(body, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (body->>'$.{0}')::DOUBLE END"
 
 
@@ -119,7 +119,7 @@ SELECT o_orderkey, error, CASE WHEN error IS NULL THEN la END AS lat, CASE WHEN
 )
 def validate_requests(spark, sf_dir):
     k = F.col("o_orderkey")
-    parts = [F.concat(F.lit(f'"{n}": '), _pick(F.floor(k / step), c)) for n, step, c in _BODY]
+    parts = [F.concat(F.lit(f'"{n}": '), pick(F.floor(k / step), c)) for n, step, c in _BODY]
     body = F.when(k % 97 == 0, "[1]").when(k % 89 == 0, "{oops").otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
     return B.table(spark, sf_dir, "orders").select("o_orderkey", web.validated(body).alias("v")).select("o_orderkey", "v.*")
 
@@ -128,15 +128,15 @@ _STATUS, _TYPES, _BODIES = ["200", "204", "301", "403", "404", "429", "500", "50
 
 
 @registered(
-    f"""WITH f AS (SELECT o_orderkey, {_pick_sql("o_orderkey", _STATUS)}::INT AS status, {_pick_sql("(o_orderkey // 9)", _TYPES)} AS kind,
-  {_pick_sql("(o_orderkey // 36)", _BODIES)} AS body, (o_orderkey % 7) * 1500000 AS size FROM orders)
+    f"""WITH f AS (SELECT o_orderkey, {pick_sql("o_orderkey", _STATUS)}::INT AS status, {pick_sql("(o_orderkey // 9)", _TYPES)} AS kind,
+  {pick_sql("(o_orderkey // 36)", _BODIES)} AS body, (o_orderkey % 7) * 1500000 AS size FROM orders)
 SELECT o_orderkey, CASE WHEN status IS NULL THEN 'unreachable' WHEN status IN (403, 429, 503) THEN 'blocked'
   WHEN NOT regexp_matches(coalesce(kind, ''), '(?i)text/html|application/xhtml|application/json') THEN 'no-listings' WHEN size > {web.PAGE_BYTES} THEN 'response-too-large'
   WHEN regexp_matches(substr(body, 1, 4000), '(?i){V.CHALLENGE}') THEN 'blocked' WHEN status NOT BETWEEN 200 AND 299 THEN 'unreachable' END AS failure FROM f"""
 )
 def fetch_classify(spark, sf_dir):
     k = F.col("o_orderkey")
-    found = web.fetch_outcome(_pick(k, _STATUS).cast("int"), _pick(F.floor(k / 9), _TYPES), (k % 7) * 1500000, _pick(F.floor(k / 36), _BODIES))
+    found = web.fetch_outcome(pick(k, _STATUS).cast("int"), pick(F.floor(k / 9), _TYPES), (k % 7) * 1500000, pick(F.floor(k / 36), _BODIES))
     return B.table(spark, sf_dir, "orders").select("o_orderkey", found.alias("failure"))
 
 
@@ -145,9 +145,9 @@ RECORDS: list[tuple[str | None, str | None]] = [
 ]
 
 
-@registered(_golden(RECORDS, "data").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '"))
+@registered(golden(RECORDS, "data").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '"))
 def sse_parse(spark, sf_dir):
-    return _cases(spark, sf_dir, RECORDS).withColumn("data", web.sse_data(F.col("raw")))
+    return cases(spark, sf_dir, RECORDS).withColumn("data", web.sse_data(F.col("raw")))
 
 
 HOUR_US = 3_600_000_000
