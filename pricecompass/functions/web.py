@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,40 @@ def reserved_v4(ip: Column) -> Column:
     return F.coalesce(hit, F.lit(True))
 
 
+def ipv6_digits(ip: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, NULL for what is none. The last two groups may be an IPv4 address."""
+    dotted = F.regexp_extract(ip, r"^[0-9A-Fa-f:]*:(\d+\.\d+\.\d+\.\d+)$", 1)
+    tail = F.lpad(F.hex(ipv4_number(dotted)), 8, "0")
+    text = F.when(dotted == "", ip).otherwise(
+        F.concat(F.regexp_replace(ip, r"[\d.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
+    )
+    group = "[0-9A-Fa-f]{1,4}"
+    some = f"(?:{group}(?::{group})*)?"
+    digits = lambda part: F.aggregate(
+        F.filter(F.split(part, ":"), lambda x: x != ""), F.lit(""), lambda acc, x: F.concat(acc, F.lpad(x, 4, "0"))
+    )
+    head, rest = digits(F.substring_index(text, "::", 1)), digits(F.substring_index(text, "::", -1))
+    full = F.when(text.rlike(f"^(?:{group}:){{7}}{group}$"), digits(text))
+    gap = F.when(text.rlike(f"^{some}::{some}$") & (F.length(head) + F.length(rest) <= 28), F.concat(F.rpad(head, 32 - F.length(rest), "0"), rest))
+    return F.lower(F.coalesce(full, gap))
+
+
+def reserved_ip(ip: Column) -> Column:
+    """Whether an address of either kind is private or reserved; brackets and zone don't count. An IPv4
+    address written as IPv6 and what is no address count as such."""
+    bare = F.get(F.split(F.regexp_replace(ip, r"^\[|\]$", ""), "%"), F.lit(0))
+    digits, hit = ipv6_digits(bare), bare.rlike("(?i)^::ffff:")
+    for net in map(ipaddress.IPv6Network, V.RESERVED_V6):
+        whole, some = divmod(net.prefixlen, 4)
+        want = f"{int(net.network_address):032x}"
+        same = F.substring(digits, 1, whole) == want[:whole]
+        if some:
+            digit = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
+            same = same & (F.shiftright(digit, 4 - some) == int(want[whole], 16) >> (4 - some))
+        hit = hit | same
+    return F.when(ipv4_number(bare).isNotNull(), reserved_v4(bare)).otherwise(F.coalesce(hit, F.lit(True)))
+
+
 def public_url(url: Column) -> Column:
     """Whether an address may be fetched: http(s), no user name, the scheme's own port, a public host."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
