@@ -134,8 +134,8 @@ def public_url(url: Column) -> Column:
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     port = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*?:(\d+)(?:[/?#]|$)", 1)
     own = F.when(url.rlike("(?i)^https://"), "443").otherwise("80")
-    local = (host == "localhost") | host.rlike(r"\.(?:localhost|local|internal)$") | ~host.contains(".")
-    dotted = host.rlike(r"^[0-9.]+$")
+    local = (host == "localhost") | host.rlike(r"\.(?:localhost|local|internal)$") | ~(host.contains(".") | host.startswith("["))
+    address = host.rlike(r"^(?:[0-9.]+|\[.*\])$")
     fine = (
         (F.length(url) <= 4096)
         & url.rlike("(?i)^https?://")
@@ -143,7 +143,7 @@ def public_url(url: Column) -> Column:
         & ((port == "") | (port == own))
         & (host != "")
         & ~local
-        & ~(dotted & reserved_v4(host))
+        & ~(address & reserved_ip(host))
     )
     return F.coalesce(fine, F.lit(False))
 

@@ -72,6 +72,7 @@ URLS: list[tuple[str | None, bool]] = [
     ("https://shop.example/a", True), ("http://shop.example:80/", True), ("https://shop.example:8443/", False), ("http://localhost/", False),
     ("http://x.internal/", False), ("http://router/", False), ("http://10.1.2.3/", False), ("http://8.8.8.8/", True), ("https://u:p@shop.example/", False),
     ("file:///etc/passwd", False), (None, False), ("http://172.20.0.1/x", False), ("http://172.32.0.1/x", True),
+    ("https://[2606:4700:4700::1111]/", True), ("https://[2606:4700:4700::1111]:443/", True), ("https://[::1]/", False), ("http://[fd00::1]/x", False),
 ]
 
 
