@@ -153,3 +153,11 @@ RESERVED_V4 = (
 ).split()
 RESERVED_V6 = "::/96 ::1/128 64:ff9b::/96 64:ff9b:1::/48 100::/64 2001::/32 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8".split()
 CHALLENGE = "just a moment|cf-browser-verification|challenge-platform|access denied|attention required"
+# Cities that a search may start from, and the radii in metres that it offers.
+CITIES = [
+    ("Almaty", 43.238, 76.8829), ("Astana", 51.1282, 71.4304), ("Shymkent", 42.3417, 69.5901), ("Karaganda", 49.8047, 73.1094),
+    ("Aktobe", 50.2839, 57.166), ("Taraz", 42.9, 71.3667), ("Pavlodar", 52.2873, 76.9674), ("Oskemen", 49.9483, 82.6283),
+    ("Semey", 50.4111, 80.2275), ("Atyrau", 47.1167, 51.8833), ("Kostanay", 53.2144, 63.6246), ("Kyzylorda", 44.8488, 65.4823),
+    ("Oral", 51.2333, 51.3667), ("Petropavl", 54.8667, 69.15), ("Aktau", 43.6532, 51.1975), ("Turkistan", 43.2973, 68.2518),
+]
+RADIUS_STOPS = [500, 1000, 2000, 3000, 5000, 7500, 10_000, 15_000, 25_000]

@@ -312,3 +312,23 @@ def extract_listings(pages: DataFrame) -> DataFrame:
     trust = F.struct(F.when(F.col("n") >= ENOUGH, 0).otherwise(1).alias("weak"), F.when(F.col("n") < ENOUGH, -F.col("n")).alias("few"), "rank")
     chosen = counts.groupBy("page_id").agg(F.min(trust).alias("t")).select("page_id", F.col("t.rank").alias("rank"))
     return rows.join(chosen, ["page_id", "rank"], "left_semi").drop("rank")
+
+
+def listings_by_domain(pages: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Columns of extract_listings, read by the parser of a page's domain where it has one.
+
+    A parser takes pages and gives (page_id, at, title, price, old_price, url, in_stock), at a number. A page of which it
+    makes nothing is read like any other, so one that its retailer has redesigned still gives rows. Pages
+    of a domain without a parser, or of none, don't pass the join that finds this out; parsers are few.
+    """
+    if not parsers:
+        return extract_listings(pages)
+    known = F.coalesce(F.col("domain").isin(*parsers), F.lit(False))
+    own = None
+    for domain, read in parsers.items():
+        rows = read(pages.where(F.col("domain") == domain)).withColumns({"domain": F.lit(domain), "via": F.lit("parser")})
+        own = rows if own is None else own.unionByName(rows)
+    own = own.withColumn("at", F.struct(F.col("at").cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    own = staged(own.select("page_id", "domain", "via", "at", "title", "price", "old_price", "url", "in_stock"), "parsed")
+    unread = pages.where(known).join(own.select("page_id").distinct(), "page_id", "left_anti").select(pages.columns)
+    return own.unionByName(extract_listings(pages.where(~known).unionByName(unread)).select(own.columns))

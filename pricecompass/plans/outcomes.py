@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import notices, query, web
+from ..functions import values as V
 from ..functions.text import quoted
 from ..operators import budgets
 from ..sources import bindings as B
@@ -141,3 +142,12 @@ def search_notices(spark, sf_dir):
         "o_orderkey", notices.empty_text(verdict, k % 7, k % 11, asked).alias("empty"),
         notices.coverage_text(k % 13, k % 7, k * 37 % 4000 * 2 + 1, k % 11, k % 5).alias("coverage"),
     )
+
+
+_CITIES = ", ".join(f"('{c}', {lat}::DOUBLE, {lon}::DOUBLE)" for c, lat, lon in V.CITIES)
+
+
+@registered(f"SELECT city, lat, lon, unnest({V.RADIUS_STOPS}) AS radius_m FROM (VALUES {_CITIES}) AS c(city, lat, lon)")
+def search_choices(spark, sf_dir):
+    cities = spark.createDataFrame(V.CITIES, "city string, lat double, lon double")
+    return cities.withColumn("radius_m", F.explode(F.array(*map(F.lit, V.RADIUS_STOPS))))

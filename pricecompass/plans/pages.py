@@ -102,3 +102,34 @@ def strategy_choice(spark, sf_dir):
         of = of if k == 0 else of.withColumn("html", F.concat("html", F.lit(lone)))
         pages = of if pages is None else pages.unionByName(of)
     return extraction.extract_listings(pages).groupBy("page_id", "via").agg(F.count("*").alias("n"))
+
+
+ITEM = "<!--item 7|Own thing|5000-->"
+
+
+def _items(pages: DataFrame) -> DataFrame:
+    """Listings that a shop writes into comments: key, title, price."""
+    found = F.regexp_extract_all("html", F.lit(r"<!--item ([^|>]*\|[^|>]*\|\d+)-->"), 1)
+    rows = pages.select("page_id", F.posexplode(found).alias("at", "item")).withColumn("part", F.split("item", r"\|"))
+    return rows.select(
+        "page_id", F.col("at").cast("long").alias("at"), F.col("part")[1].alias("title"), F.col("part")[2].cast("long").alias("price"), F.lit(None).cast("long").alias("old_price"),
+        F.concat(F.lit(f"{_SHOP}/product/"), F.col("part")[0]).alias("url"), F.lit(None).cast("boolean").alias("in_stock"),
+    )
+
+
+@registered(
+    f"""WITH w AS ({_want("jsonld", stock="true")})
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'own.example' ELSE 'shop.example' END AS domain, via, title, price, url, in_stock FROM w WHERE page_id % 4 <> 0
+UNION ALL SELECT DISTINCT page_id, 'own.example', 'parser', 'Own thing', 5000, '{_SHOP}/product/7', NULL FROM w WHERE page_id % 4 = 0"""
+)
+def parser_fallback(spark, sf_dir):
+    """Every second page is of a shop with a parser, and every second of those isn't as it expects."""
+    k = F.col("page_id")
+    pages = jsonld_pages(spark, sf_dir).withColumns(
+        {
+            "domain": F.when(k % 2 == 0, "own.example").otherwise(F.col("domain")),
+            "html": F.when(k % 2 == 0, F.concat("html", F.when(k % 4 == 0, ITEM).otherwise(""))).otherwise(F.concat("html", F.lit(ITEM))),
+        }
+    )
+    rows = extraction.listings_by_domain(pages, {"own.example": _items})
+    return rows.select("page_id", "domain", "via", "title", "price", "url", "in_stock")
