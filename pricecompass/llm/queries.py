@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
     language_id,
     line_dedup,
     mixing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
     sentencepiece,
     simhash,
     substring_dedup,
+    vector_codes,
     vector_search,
+    warc,
 )
-from .common import table
+from .common import table, words
 
 #: Where the vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -96,6 +99,45 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", n_chars.alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _, text = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.lit(text).cast("binary"), 256)
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the archives that pages were written to, as read back and found in order."""
+    records = warc.page_records(warc.read(warc.write(table(spark, sf_dir, "pages"))))
+    sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat_ws(" ", "path", "offset", "problem")))
+    return records.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the words of documents, of which one in ten repeats a stretch of its own (`_with_cycles`)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_cycles(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.repeated_runs(docs, ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length",
+        (-F.col("longest.period")).alias("period"), F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_cycles(doc_id: Column, text: Column) -> Column:
+    """The text itself, but for ids whose CRC-32 h is a multiple of ten: with g = h / 10 and n words, the
+    words from a = g % n on repeat the first p = 1 + (n - a) / (3 + g % 8) of them. A NULL id has none."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, w = F.floor(h / 10), words(text)
+    n = F.size(w)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    cycles = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), cycles), F.lit(1), n), " ")).otherwise(text)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -107,10 +149,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_warc": op12_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_topk": vector_search.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_warc": warc.ORACLE,
 }
