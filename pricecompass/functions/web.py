@@ -7,6 +7,7 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup
 from . import values as V
 
 # Entities that pages use in prices and titles, and what they stand for.
@@ -39,7 +40,7 @@ def decode_entities(text: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Text of a piece of markup: tags are spaces, entities decoded, runs of white space one space."""
-    text = decode_entities(F.regexp_replace(html, "<[^<>]*>", " "))
+    text = decode_entities(markup.without_tags(html))
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import web
+from ..functions import markup, web
+from ..functions import values as V
 from ..functions.text import let, normalise
-from .extraction import absolute, blocks
+from .extraction import absolute
 
-# Limits of links, forms and templates; variants, which don't tell a family of products;
-# links that lead to no product and those that may; marks of a page that shows results.
+# Limits of links, forms and templates; links that lead to no product and those that may; marks of a page that shows results.
 LINK_CHARS, FORM_ATTRIBUTES, FORM_CHARS, TEMPLATE_CHARS = 300, 2_000, 6_000, 2_048
-VARIANTS = ("pro", "max", "ultra", "plus", "mini", "air", "fe", "lite", "slim", "oled", "fold", "flip", "se")
 NO_PRODUCT = r"(?i)^#|javascript:|/(?:blog|news|article|help|about|search|tag)(?:/|$)"
 PRODUCT_PATH = "(?i)/(?:product|products|p|tovar|tovary|item|goods)/"
 PRICED = r"(?iu)\d[\d\x{A0}\x{202F}\x{2009} .,]{2,14}(?:<[^>]{0,200}>|[\s\p{Z}]|&nbsp;)*+(?:₸|〒|тг(?![\p{L}\p{N}])|тенге)"
@@ -57,13 +56,6 @@ def count_prices(html: Column) -> Column:
     return F.coalesce(F.regexp_count(html, F.lit(PRICED)), F.lit(0))
 
 
-def _element(block: Column, tag: str) -> tuple[Column, Column, Column]:
-    """(attributes, content, whether it is closed) of what follows "<tag"."""
-    attributes = F.substring_index(block, ">", 1)
-    parts = F.split(F.substr(block, F.length(attributes) + 2), rf"(?i)</{tag}\s*>", 2)
-    return attributes, F.get(parts, F.lit(0)), F.size(parts) > 1
-
-
 def _attribute(tag: Column, name: str, least: str = "*") -> Column:
     """A quoted attribute; NULL where it isn't there."""
     pattern = f"(?i){name}=[\"']([^\"']{least})[\"']"
@@ -86,7 +78,7 @@ def relevant_titles(html: Column, terms: tuple[str, ...], url: Column) -> Column
     if not terms:
         return F.lit(ENOUGH_TITLES)
     numbered = [t for t in terms if any(c.isdigit() for c in t)]
-    family = [t for t in terms if t not in numbered and t not in VARIANTS]
+    family = [t for t in terms if t not in numbered and t not in V.VARIANTS]
 
     def names(low: Column) -> Column:
         compact = F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")
@@ -103,18 +95,19 @@ def relevant_titles(html: Column, terms: tuple[str, ...], url: Column) -> Column
             some = some | has(term)
         return ok & some
 
-    def fits(block: Column) -> Column:
-        attributes, content, closed = _element(block, "a")
+    def fits(link: Column) -> Column:
+        attributes, content = link["attributes"], link["content"]
+        closed = attributes.isNotNull() & (link["unclosed"] == "")
         href = _attribute(attributes, "href", "+")
-        link = absolute(href, url)
-        path = _path(link)
+        url_of = absolute(href, url)
+        path = _path(url_of)
         last = F.regexp_extract(path, "([^/]+)/*$", 1)
         product = path.rlike(PRODUCT_PATH) | last.rlike(r"\d") | last.rlike("(?i)[a-z0-9]+(?:-[a-z0-9]+){2,}")
         title = web.strip_tags(content)
-        fine = closed & (F.length(content) <= LINK_CHARS) & ~href.rlike(NO_PRODUCT) & (_host(link) == _host(url)) & product
+        fine = closed & (F.length(content) <= LINK_CHARS) & ~href.rlike(NO_PRODUCT) & (_host(url_of) == _host(url)) & product
         return F.coalesce(fine & (F.length(title) >= 3) & let(F.lower(normalise(title)), names), F.lit(False))
 
-    return F.least(F.size(F.filter(blocks(html, "a"), fits)), F.lit(ENOUGH_TITLES))
+    return F.least(F.size(F.filter(markup.elements(html, "a"), fits)), F.lit(ENOUGH_TITLES))
 
 
 def judged(html: Column, landed: Column, requested: Column, terms: tuple[str, ...]) -> Column:
@@ -145,8 +138,9 @@ def templates(html: Column, origin: Column) -> Column:
     target = absolute(F.replace(target, F.lit("{search_term_string}"), F.lit("SEARCHTERM")), origin)
     action = F.replace(_file(target), F.lit("SEARCHTERM"), F.lit("{q}"))
 
-    def of_form(block: Column) -> Column:
-        attributes, content, closed = _element(block, "form")
+    def of_form(form: Column) -> Column:
+        attributes, content = form["attributes"], form["content"]
+        closed = attributes.isNotNull() & (form["unclosed"] == "")
         goes_to = F.coalesce(_attribute(attributes, "action"), F.lit(""))
         get = F.lower(F.coalesce(_attribute(attributes, "method"), F.lit("get"))) == "get"
         fine = closed & get & (F.length(attributes) <= FORM_ATTRIBUTES) & (F.length(content) <= FORM_CHARS)
@@ -162,7 +156,7 @@ def templates(html: Column, origin: Column) -> Column:
         tags = F.regexp_extract_all(content, F.lit(r"(?i)<input\b[^>]*>"), F.lit(0))
         return F.when(fine, F.transform(tags, of_input)).otherwise(F.array().cast("array<string>"))
 
-    found = F.flatten(F.transform(blocks(html, "form"), of_form))
+    found = F.flatten(F.transform(markup.elements(html, "form"), of_form))
     return F.array_distinct(F.array_compact(F.concat(F.array(action), found)))
 
 

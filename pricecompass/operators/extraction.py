@@ -1,6 +1,6 @@
 """Listings from retailers' pages: JSON-LD, microdata, embedded JSON, and prices next to links.
 
-Pages have page_id, url, domain and html. Markup is cut with splits and anchored patterns, which are
+Pages have page_id, url, domain and html. Markup is cut by the lexer of functions/markup.py, which is
 linear in a page whatever it holds; blocks, prices and links become rows, and what belongs together is
 found by joins and grouping.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import web
+from ..functions import markup, web
 from ..functions.text import let
 from .chunks import staged
 from .listings import deduped, sane
@@ -27,8 +27,12 @@ STRATEGIES = ("jsonld", "microdata", "embedded-json", "proximity")
 #: title's score, weigh in characters.
 REACH, AFTER, POINT = 2200, 1.6, 180
 MOST_NODES = 100_000
+# Listings of a page and strategy, and links of a page that may be titles.
+MOST_LISTINGS, MOST_LINKS = 1_000, 5_000
+#: Characters of a page's tile: above what lies between a link's beginning, its price and what is read around them.
+TILE = 6_144
 # Currencies, words before a range, words of facets, furniture of cards, product and other addresses.
-PRICE = r"(?iu)(\d[\d\x{A0}\x{202F}\x{2009} .,]{2,14}?)(?:\s|&nbsp;|&#160;)*(?:₸|〒|тг(?!\p{L})|тенге|KZT)"
+PRICE = r"(?iu)(\d[\d\x{A0}\x{202F}\x{2009} .,]{2,14}?)[\s\x{A0}\x{202F}\x{2009}]*(?:₸|〒|тг(?!\p{L})|тенге|KZT)"
 RANGE = r"(?iu)(?:до|от|from|to|más|свыше|менее|более)\s*$"
 FACET = "(?iu)filter|facet|range|slider|vueform|диапазон"
 BEFORE_RATE = r"(?iu)(?:рассрочк|кредит|installment|monthly)(?:\s+от|\s+from)?\s*$"
@@ -46,67 +50,41 @@ PRODUCT_LINK = "(?i)/(?:product|products|p|tovar|tovary|item|goods|catalog|shop)
 CHROME = ("script", "style", "noscript", "nav", "footer", "svg")
 
 
-def blocks(html: Column, tag: str) -> Column:
-    """Closed elements of a tag, as the text after "<tag" up to what closes it and on."""
-    return F.slice(F.split(html, rf"(?i)<{tag}\b"), F.lit(2), F.lit(1 << 30))
-
-
 def without_chrome(html: Column) -> Column:
     """Markup without elements that carry prices but no products; what is never closed stays."""
-
-    def cut(tag: str) -> Callable[[Column], Column]:
-        end = rf"(?is)^.*?</{tag}\s*>"
-        rest = lambda x: F.when(x.rlike(end), F.regexp_replace(x, end, " ")).otherwise(F.concat(F.lit(f"<{tag}"), x))
-        return lambda parts: F.array_join(
-            F.concat(F.slice(parts, F.lit(1), F.lit(1)), F.transform(F.slice(parts, F.lit(2), F.lit(1 << 30)), rest)), ""
-        )
-
     for tag in CHROME:
-        html = let(F.split(html, rf"(?i)<{tag}(?=[\s>])"), cut(tag))
+        html = markup.without_elements(html, tag)
     return html
 
 
-def masked(html: Column) -> Column:
-    """Markup with tags as blanks, its length kept."""
-    parts = F.split(html, "<")
-    blank = lambda x: F.regexp_extract(x, "(?s)^[^>]*>", 0)
-    rest = F.transform(
-        F.slice(parts, F.lit(2), F.lit(1 << 30)),
-        lambda x: F.concat(F.lit(" "), F.repeat(F.lit(" "), F.length(blank(x))), F.substr(x, F.length(blank(x)) + 1)),
-    )
-    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.lit(1)), rest), "")
-
-
 def absolute(href: Column, base: Column) -> Column:
-    """Address of a link on its page's own host; NULL for others, other schemes and what is too long."""
-    root = F.regexp_extract(base, "^(?i)https?://[^/?#]+", 0)
-    full = (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^[a-zA-Z]+:", 0), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(~href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.concat(F.regexp_extract(F.concat(base, F.lit("")), "^(?i)https?://[^?#]*/|^(?i)https?://[^/?#]+", 0), href))
+    """Address of a link on its page's own host; NULL for others, other schemes, user names and what is
+    too long. Addresses are tidied (RFC 3986), so that one product has one."""
+    return let(
+        markup.resolved(href, base),
+        lambda url: F.when((web.normalised_domain(url) == web.normalised_domain(base)) & (F.length(url) <= markup.MOST_URL), url),
     )
-    return F.when((web.normalised_domain(full) == web.normalised_domain(base)) & (F.length(full) <= 2048), full)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Objects of JSON texts in the order they are visited: arrays from the front, members of an object
-    from the back. Currency and stock of the objects around come along, nearest first."""
+    from the back. Currency and stock of the objects around come along, nearest first, and the places of
+    the named products around."""
     text = lambda x: x if isinstance(x, str) else None if x is None or isinstance(x, (dict, list)) else json.dumps(x)
     first = lambda o, *names: next((o[n] for n in names if o.get(n) is not None), None)
     for b in batches:
         out: dict[str, list] = {n: [] for n in _NODE}
         for row, content in enumerate(b.column("content").to_pylist()):
             try:
-                todo = [(json.loads(content), None, ())]
+                todo = [(json.loads(content), None, (), ())]
             except (ValueError, RecursionError):
                 continue
             for pos in range(MOST_NODES):
                 if not todo:
                     break
-                node, currency, stock = todo.pop()
+                node, currency, stock, within = todo.pop()
                 if isinstance(node, list):
-                    todo += [(x, currency, stock) for x in reversed(node) if isinstance(x, (dict, list))]
+                    todo += [(x, currency, stock, within) for x in reversed(node) if isinstance(x, (dict, list))]
                 if not isinstance(node, dict):
                     continue
                 kind = node.get("@type")
@@ -118,7 +96,11 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 offers = [o for o in (offers[:100] if isinstance(offers, list) else [offers]) if isinstance(o, dict)] or [node]
                 out["row"].append(row)
                 out["pos"].append(pos)
-                out["product"].append(kind == "Product" or isinstance(kind, list) and "Product" in kind)
+                product = kind == "Product" or isinstance(kind, list) and "Product" in kind
+                out["product"].append(product)
+                out["within"].append(list(within))
+                if product and isinstance(node.get("name"), str):
+                    within = (*within, pos)
                 out["name"].append(next((node[n] for n in ("name", "title", "productName") if isinstance(node.get(n), str) and node[n]), None))
                 out["own_name"].append(node["name"] if isinstance(node.get("name"), str) else None)
                 out["price"].append(text(first(node, "price", "salePrice", "currentPrice", "minPrice", "priceValue")))
@@ -133,7 +115,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for o in offers
                     ]
                 )
-                todo += [(v, currency, stock) for v in node.values() if isinstance(v, (dict, list))]
+                todo += [(v, currency, stock, within) for v in node.values() if isinstance(v, (dict, list))]
         rows = pa.array(out.pop("row"), pa.int32())
         kept = [b.column(c).take(rows) for c in (*PAGE, "block")]
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, _NODE[n]) for n, v in out.items())], [*PAGE, "block", *out])
@@ -141,32 +123,42 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _OFFER = pa.struct([(n, pa.string()) for n in ("price", "own", "currency", "availability", "link")])
 _NODE = {
-    "row": pa.int32(), "pos": pa.int32(), "product": pa.bool_(), "name": pa.string(), "own_name": pa.string(), "price": pa.string(), "old": pa.string(),
+    "row": pa.int32(), "pos": pa.int32(), "product": pa.bool_(), "within": pa.list_(pa.int32()), "name": pa.string(), "own_name": pa.string(), "price": pa.string(), "old": pa.string(),
     "link": pa.string(), "currency": pa.string(), "stock": pa.list_(pa.string()), "offers": pa.list_(_OFFER),
 }
 
 
 def json_nodes(pages: DataFrame, kind: str, least: int = 0) -> DataFrame:
     """Objects of the scripts whose attributes match `kind` and whose content is longer than `least`."""
-    piece = r"(?is)^([^>]{0,4096})>(.*?)</script\s*>"
-    cut = pages.select(*PAGE, F.posexplode(blocks(F.col("html"), "script")).alias("block", "b"))
-    cut = cut.select(*PAGE, "block", F.regexp_extract("b", piece, 1).alias("attributes"), F.trim(F.regexp_extract("b", piece, 2)).alias("content"))
-    wanted = cut.where(F.col("attributes").rlike(kind) & (F.length("content") > least)).drop("attributes")
+    cut = pages.select(*PAGE, F.posexplode(markup.elements(F.col("html"), "script")).alias("block", "b"))
+    cut = cut.select(*PAGE, "block", "b.attributes", F.trim("b.content").alias("content")).where("attributes is not null")
+    wanted = cut.where(F.col("attributes").rlike(kind) & (F.length("attributes") <= 4096) & (F.length("content") > least)).drop("attributes")
     offers = "array<struct<price:string,own:string,currency:string,availability:string,link:string>>"
     page = ", ".join(f"{c} {dict(pages.dtypes)[c]}" for c in PAGE)
-    schema = f"{page}, block int, pos int, product boolean, name string, own_name string, price string, old string, link string, currency string, stock array<string>, offers {offers}"
+    schema = (
+        f"{page}, block int, pos int, product boolean, within array<int>, name string, own_name string, price string, old string, link string, "
+        f"currency string, stock array<string>, offers {offers}"
+    )
     return wanted.mapInArrow(_nodes, schema)
 
 
+def _first_of_page(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each page; a page has a bounded size, so its rows may meet."""
+    place = Window.partitionBy("page_id").orderBy(*order)
+    return rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most).drop("_place")
+
+
 def _listed(rows: DataFrame, via: str, at: Column, title: Column, price: Column, old: Column, link: Column, stock: Column) -> DataFrame:
-    return rows.select(
+    rows = rows.select(
         "page_id", "domain", F.lit(via).alias("via"), at.alias("at"), title.alias("title"), price.alias("price"), old.alias("old_price"), link.alias("url"),
         stock.alias("in_stock"),
     )
+    return _first_of_page(rows, ["at"], MOST_LISTINGS)
 
 
 def from_jsonld(pages: DataFrame) -> DataFrame:
-    """Products of JSON-LD with their best usable offer: not out of stock, then in tenge by name, then cheapest."""
+    """Products of JSON-LD with their best usable offer: not out of stock, then in tenge by name, then
+    cheapest. One without a usable offer hides what it holds."""
     nodes = json_nodes(pages, "(?i)type=[\"']application/ld\\+json[\"']").where("product and own_name is not null")
     best = F.array_min(
         F.filter(
@@ -185,7 +177,12 @@ def from_jsonld(pages: DataFrame) -> DataFrame:
             lambda c: c["supported"] & (c["price"] > 0),
         )
     )
-    rows = nodes.withColumn("best", best).where("best is not null")
+    judged = staged(nodes.withColumn("best", best).drop("offers", "stock"), "products")
+    place = ["page_id", "block", "pos"]
+    useless = judged.where("best is null").select("page_id", "block", F.col("pos").alias("outer"))
+    inner = judged.where("best is not null and size(within) > 0").select(*place, F.explode("within").alias("outer"))
+    hidden = inner.join(useless, ["page_id", "block", "outer"], "left_semi").select(*place)
+    rows = judged.where("best is not null").join(hidden, place, "left_anti")
     link = absolute(F.coalesce("link", "best.link"), F.col("url"))
     no = F.lit(None).cast("long")
     at = F.struct(F.col("block").cast("long").alias("a"), F.col("pos").cast("long").alias("b"))
@@ -221,13 +218,41 @@ def from_microdata(pages: DataFrame) -> DataFrame:
     return _listed(rows, "microdata", at, name, price, F.lit(None).cast("long"), absolute(link, F.col("url")), web.availability(F.col("b")))
 
 
-def _placed(pages: DataFrame, of: str, pattern: str, extra: Column) -> DataFrame:
-    """Matches of a pattern in a text with their offsets, from the lengths of what lies between them."""
-    parts = F.transform(F.split(of, pattern), F.length)
-    found = pages.select("page_id", F.posexplode(F.arrays_zip(parts.alias("gap"), extra.alias("m"))).alias("n", "x")).select("page_id", "n", "x.gap", "x.m")
+def _placed(found: DataFrame, gap: str, whole: str) -> DataFrame:
+    """found (page_id, n, ...) with start: matches in turn, `gap` characters after the one before."""
     before = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.col("gap") + F.coalesce(F.length("m"), F.lit(0))
-    return found.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col("gap")).where(F.col("m").isNotNull())
+    size = F.col(gap) + F.coalesce(F.length(whole), F.lit(0))
+    return found.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col(gap))
+
+
+def tiles(pages: DataFrame) -> DataFrame:
+    """(page_id, tile, text): pages cut into pieces of TILE characters, each with the pieces before and
+    after it, so that what lies around a place is read from one row and not from the page's head."""
+    cut = F.regexp_extract_all("html", F.lit(rf"(?s).{{1,{TILE}}}"), F.lit(0))
+    around = lambda x, i: F.concat(
+        F.coalesce(F.when(i > 0, F.get(F.col("cut"), i - 1)), F.lit("")), x, F.coalesce(F.get(F.col("cut"), i + 1), F.lit(""))
+    )
+    return pages.select("page_id", cut.alias("cut")).select("page_id", F.posexplode(F.transform("cut", around)).alias("tile", "text"))
+
+
+def _piece(start: Column, end: Column) -> Column:
+    """Characters from start to end (places in the page) of the row's text around its tile."""
+    first = F.greatest(F.col("tile") - 1, F.lit(0)) * TILE
+    lo = F.greatest(start - first, F.lit(0))
+    return F.substr(F.col("text"), (lo + 1).cast("int"), F.greatest(end - first - lo, F.lit(0)).cast("int"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, n, start, end, href, text) of the closed links of pages, chrome included: as they are
+    written, href NULL where there is none, text without tags. Links with more than 2,000 characters of
+    attributes or 400 of content are left out."""
+    found = pages.select("page_id", "url", F.posexplode(markup.elements(F.col("html"), "a")).alias("n", "x")).select("page_id", "url", "n", "x.*")
+    placed = _placed(found, "gap", "whole").where("attributes is not null and unclosed = ''")
+    short = (F.length("attributes") <= 2000) & (F.length("content") <= 400)
+    href = F.nullif(F.regexp_extract("attributes", "(?i)href=[\"']([^\"']+)[\"']", 1), F.lit(""))
+    return placed.where(short).select(
+        "page_id", "url", "n", "start", (F.col("start") + F.length("whole")).alias("end"), href.alias("href"), web.strip_tags(F.col("content")).alias("text")
+    )
 
 
 def plausible(title: Column) -> Column:
@@ -248,50 +273,63 @@ def title_score(title: Column, href: Column) -> Column:
     )
 
 
-def from_proximity(pages: DataFrame) -> DataFrame:
-    """Prices with the link within REACH that is near and reads like a title: a band join of offsets by
-    buckets. The price before, if higher, is the old one; of a link the lowest price stays."""
-    clean = pages.select(*PAGE, without_chrome(F.col("html")).alias("html"))
-    clean = staged(clean.withColumn("surface", masked(F.regexp_replace("html", "(?i)&nbsp;|&#160;", "      "))), "surfaces")
-    prices = _placed(clean, "surface", PRICE, F.regexp_extract_all("surface", F.lit(PRICE), F.lit(0)))
-    last = Window.partitionBy("page_id").orderBy("start")
-    prices = prices.withColumn("price", web.parse_price(F.regexp_extract("m", PRICE, 1))).withColumns(
-        {"old": F.when(F.lag("start").over(last) >= F.col("start") - 260, F.lag("price").over(last)), "stop": F.col("start") + F.length("m")}
+def _prices(clean: DataFrame, tiled: DataFrame) -> DataFrame:
+    """(page_id, tile, start, stop, price, old) of the prices to pay: no facets, ranges or rates."""
+    surface = F.concat("surface", F.lit(""))
+    found = F.arrays_zip(
+        F.transform(F.split(surface, PRICE), F.length).alias("gap"),
+        F.regexp_extract_all(surface, F.lit(PRICE), F.lit(0)).alias("m"),
+        F.regexp_extract_all(surface, F.lit(PRICE), F.lit(1)).alias("raw"),
     )
-    around = prices.join(clean.select("page_id", "surface"), "page_id")
-    head = F.substring("surface", F.greatest(F.col("start") - 219, F.lit(1)), F.least(F.lit(220), F.col("start")))
-    tail = web.strip_tags(F.substring("surface", F.col("stop") + 1, F.lit(100)))
-    near = web.strip_tags(F.substr(head, F.lit(-100)))
-    prices = around.where(
-        F.col("price").between(300, 200_000_000) & ~web.strip_tags(head).rlike(RANGE) & ~head.rlike(FACET) & ~near.rlike(BEFORE_RATE) & ~tail.rlike(AFTER_RATE)
-    ).drop("surface", "m")
-    prices = staged(prices, "prices")
-
-    tag = "(?i)<a(?=[\\s>])"
-    links = _placed(clean, "html", tag, F.regexp_extract_all("html", F.lit(tag), F.lit(0))).withColumn("k", F.col("n") + 1)
-    body = clean.select("page_id", "url", F.posexplode(F.split("html", tag)).alias("k", "b"))
-    piece = r"(?is)^([^>]{0,2000})>(.{0,400}?)</a\s*>"
-    links = links.join(body, ["page_id", "k"]).select(
-        "page_id", "start", (F.col("start") + 2 + F.length(F.regexp_extract("b", piece, 0))).alias("end"), "url",
-        F.regexp_extract(F.regexp_extract("b", piece, 1), "(?i)href=[\"']([^\"']+)[\"']", 1).alias("href"), web.strip_tags(F.regexp_extract("b", piece, 2)).alias("text"),
+    rows = clean.select("page_id", markup.masked(F.col("html")).alias("surface")).select("page_id", F.posexplode(found).alias("n", "x"))
+    prices = _placed(rows.select("page_id", "n", "x.*"), "gap", "m").where("m is not null")
+    last = Window.partitionBy("page_id").orderBy("start")
+    price = web.parse_price(F.col("raw"))
+    prices = prices.select(
+        "page_id", "start", (F.col("start") + F.length("m")).alias("stop"), price.alias("price"), F.floor(F.col("start") / TILE).cast("int").alias("tile")
+    ).withColumn("old", F.when(F.lag("start").over(last) >= F.col("start") - 260, F.lag("price").over(last)))
+    near = prices.where(F.col("price").between(300, 200_000_000)).join(tiled, ["page_id", "tile"])
+    start, stop = F.col("start"), F.col("stop")
+    near = near.select(
+        "page_id", "tile", "start", "stop", "price", "old", _piece(start - 220, start).alias("head"),
+        web.strip_tags(_piece(start - 100, start)).alias("before"), web.strip_tags(_piece(stop, stop + 100)).alias("after"),
     )
-    links = links.where((F.col("href") != "") & ~F.col("href").rlike(BAD_LINK) & plausible(F.col("text"))).withColumn("href", absolute(F.col("href"), F.col("url")))
-    links = links.where("href is not null").withColumn("score", title_score(F.col("text"), F.col("href")))
+    facet = web.strip_tags(F.col("head")).rlike(RANGE) | F.col("head").rlike(FACET)
+    return near.where(~facet & ~F.col("before").rlike(BEFORE_RATE) & ~F.col("after").rlike(AFTER_RATE)).drop("head", "before", "after")
+
 
+def _title_links(clean: DataFrame) -> DataFrame:
+    """(page_id, start, end, href, text, score) of the first MOST_LINKS links of a page that may be titles."""
+    links = page_links(clean).where(F.col("href").isNotNull() & ~F.col("href").rlike(BAD_LINK) & plausible(F.col("text")))
+    links = links.withColumn("href", absolute(F.col("href"), F.col("url"))).where("href is not null")
+    return _first_of_page(links.withColumn("score", title_score(F.col("text"), F.col("href"))), ["start"], MOST_LINKS)
+
+
+def from_proximity(pages: DataFrame) -> DataFrame:
+    """Prices with the link within REACH that is near and reads like a title: a band join of offsets by
+    buckets. The price before, if higher, is the old one; of a link the lowest price stays.
+
+    A page's text goes into tiles once; prices and chosen pairs read what lies around them from those.
+    """
+    clean = staged(pages.select(*PAGE, without_chrome(F.col("html")).alias("html")), "clean")
+    tiled = staged(tiles(clean), "tiles")
+    prices, links = staged(_prices(clean, tiled), "prices"), _title_links(clean)
     bucket = lambda c: F.floor(F.col(c) / REACH)
     spots = prices.withColumn("bucket", F.explode(F.sequence(bucket("start") - 3, bucket("start") + 1)))
     a = links.select("page_id", bucket("start").alias("bucket"), F.struct("start", "end", "href", "text", "score").alias("a"))
     pairs = spots.join(a, ["page_id", "bucket"]).where((F.col("a.end") >= F.col("start") - REACH) & (F.col("a.start") <= F.col("start") + REACH))
     gap = F.when(F.col("a.end") <= F.col("start"), F.col("start") - F.col("a.end")).otherwise((F.col("a.start") - F.col("start")) * AFTER)
     cost = pairs.where((F.col("a.end") <= F.col("start")) | (F.col("a.start") >= F.col("start"))).withColumn("cost", gap - F.col("a.score") * POINT)
-    best = cost.groupBy("page_id", "start", "stop", "price", "old").agg(F.min_by("a", F.struct("cost", F.col("a.start"))).alias("a"))
-    first = best.groupBy("page_id", F.col("a.href").alias("_href")).agg(F.min_by(F.struct("start", "stop", "price", "old", "a"), F.struct("price", "start")).alias("x"))
-    rows = first.select("page_id", "x.*").join(clean.select("page_id", "domain", "html"), "page_id")
-    lo = F.greatest(F.least(F.col("a.start"), F.col("start")) - 100, F.lit(0))
-    hi = F.greatest(F.col("a.end"), F.col("stop")) + 160
-    stock = web.availability(F.substring("html", lo + 1, hi - lo))
+    best = cost.groupBy("page_id", "tile", "start", "stop", "price", "old").agg(F.min_by("a", F.struct("cost", F.col("a.start"))).alias("a"))
+    best = _first_of_page(best, ["start"], MOST_LISTINGS)
+    row = F.struct("tile", "start", "stop", "price", "old", "a")
+    first = best.groupBy("page_id", F.col("a.href").alias("_href")).agg(F.min_by(row, F.struct("price", "start")).alias("x"))
+    rows = first.select("page_id", "x.*").join(tiled, ["page_id", "tile"])
+    stock = web.availability(_piece(F.least(F.col("a.start"), F.col("start")) - 100, F.greatest(F.col("a.end"), F.col("stop")) + 160))
     at = F.struct(F.col("start").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    return _listed(rows, "proximity", at, F.col("a.text"), F.col("price"), F.when(F.col("old") > F.col("price"), F.col("old")), F.col("a.href"), stock)
+    old = F.when(F.col("old") > F.col("price"), F.col("old"))
+    rows = rows.join(clean.select("page_id", "domain"), "page_id")
+    return _listed(rows, "proximity", at, F.col("a.text"), F.col("price"), old, F.col("a.href"), stock)
 
 
 def extract_listings(pages: DataFrame) -> DataFrame:
@@ -299,7 +337,7 @@ def extract_listings(pages: DataFrame) -> DataFrame:
     first strategy with ENOUGH, else of the one with most.
 
     NULL and empty pages give no rows; page_id names a page. Broken JSON is no block. A product without
-    a usable offer is none, but what it holds is looked at.
+    a usable offer is none and hides what it holds. At most MOST_LISTINGS rows of a page and strategy count.
     """
     found = None
     for rank, read in enumerate((from_jsonld, from_microdata, from_embedded, from_proximity)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup, web
+from ..functions.text import quoted
 from ..operators import extraction
 from ..sources import bindings as B
 from .search import ORACLES, QUERIES, registered  # noqa: F401
@@ -40,7 +42,9 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", "via", "title", "price", "old_price", "url", "in_stock")
 
 
-JSONLD = """{"@type": ["Thing", "Product"], "name": "{t}", "url": "/product/{k}", "offers": [{"price": "1.00", "priceCurrency": "USD"},
+#: A product with offers of all kinds, and one without a usable offer, which hides the one it holds.
+JSONLD = """{"@type": "Product", "name": "no offer", "offers": [], "isRelatedTo": {"@type": "Product", "name": "hidden {k}", "offers": {"price": 500}}},
+  {"@type": ["Thing", "Product"], "name": "{t}", "url": "./x/../product/{k}", "offers": [{"price": "1.00", "priceCurrency": "USD"},
   {"price": "{p}.00", "priceCurrency": "KZT", "availability": "https://schema.org/InStock"}, {"price": "1", "priceCurrency": "KZT", "availability": "OutOfStock"}]}"""
 
 
@@ -75,12 +79,19 @@ def embedded_roundtrip(spark, sf_dir):
     return _shown(extraction.from_embedded(_pages(spark, sf_dir, _text(EMBEDDED), head, ",", f'], "pad": "{"x" * 200}"}}</script>')))
 
 
-CARD = """<nav><a href="/product/0">menu of this shop 5 000 ₸</a></nav><div><a href="/product/{k}"><b>{t}</b></a><a href="/r/{k}">Нет отзывов</a>
-<s>{p}9 ₸</s> <span>{p}</span>&nbsp;₸ <i>в наличии</i></div>""" + " " * 2300
+#: Cards one after the other, each within reach of its neighbours' prices: quoted ">", furniture, an old price, a rate.
+CARD = """<div class="card" data-note="a > b"><a href="./product/{k}" title='{t} > "more"'><b>{t}</b></a><a href="/r/{k}">Нет отзывов</a>
+<s>{p}9 ₸</s> <span>{p}</span>&#x202f;₸ <i>в наличии</i><em>Рассрочка от {p} ₸ в месяц</em>""" + '<i title="x">.</i>' * 12 + "</div>"
+#: Menu and facets before the cards, whose prices aren't for sale.
+FACETS = (
+    """<nav title="a > b"><a href="/product/0">menu of this shop</a> 5 000 ₸</nav><div class="facet-wrapper slider"><span>50 000 ₸</span> - <span>90 000 ₸</span>"""
+    """<i>до 10 000 ₸</i></div>"""
+    + " " * 230
+)
 
 
 def card_pages(spark, sf_dir) -> DataFrame:
-    return _pages(spark, sf_dir, _text(CARD), "", "\n", "")
+    return _pages(spark, sf_dir, _text(CARD), FACETS, "\n", "")
 
 
 @registered(_want("proximity", old="(round(p_retailprice)::BIGINT * 1000 + 9)", stock="true"))
@@ -88,6 +99,51 @@ def proximity_roundtrip(spark, sf_dir):
     return _shown(extraction.from_proximity(card_pages(spark, sf_dir)))
 
 
+_INSIDE_RE2 = """(?:[\\s/](?:[^>"\'\']|"[^"]*"|\'\'[^\'\']*\'\')*)?"""
+_A_RE2 = f"(?is)<a({_INSIDE_RE2})>(.*?)</a{_INSIDE_RE2}>"
+
+
+def _decoded_sql(text: str) -> str:
+    for entity, plain in web.ENTITIES.items():
+        text = f"regexp_replace({text}, '(?i){entity}', {quoted(plain)}, 'g')"
+    return text
+
+
+_TAG_SQL = quoted(markup.TAG_RE2)
+
+
+@registered(
+    f"""WITH m AS (SELECT page_id, html, regexp_extract_all(html, '{_A_RE2}', 1) AS a, regexp_extract_all(html, '{_A_RE2}', 2) AS c FROM pages),
+u AS (SELECT page_id, generate_subscripts(a, 1) AS place, unnest(a) AS attributes, unnest(c) AS content FROM m)
+SELECT page_id, place, CASE WHEN regexp_matches(attributes, '(?i)href=["''][^"'']+["'']') THEN regexp_extract(attributes, '(?i)href=["'']([^"'']+)["'']', 1) END AS href,
+  trim(regexp_replace({_decoded_sql(f"regexp_replace(content, {_TAG_SQL}, ' ', 'g')")}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS text
+FROM u WHERE length(attributes) <= 2000 AND length(content) <= 400"""
+)
+def page_links(spark, sf_dir):
+    """Links of the raw web pages, in turn."""
+    pages = B.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.page_links(pages).select("page_id", (F.col("n") + 1).cast("long").alias("place"), "href", "text")
+
+
+#: Links from https://shop.example/a/b/list;v?page=2 by the number of a part, and the addresses they have there.
+LINKS = [
+    ("p/{k}", "/a/b/p/{k}"), ("./p/{k}/.", "/a/b/p/{k}/"), ("../p/{k}", "/a/p/{k}"), ("../../../p/{k}", "/p/{k}"), ("/x/./y/../p/{k}", "/x/p/{k}"),
+    ("?id={k}", "/a/b/list;v?id={k}"), ("#part{k}", "/a/b/list;v?page=2#part{k}"), (" /p/{k}\t", "/p/{k}"), ("//SHOP.example:443/p/{k}", "/p/{k}"),
+    ("https://www.other.example/p/{k}", None), ("mailto:{k}@shop.example", None), ("p/синий {k}?q=a b", "/a/b/p/%D1%81%D0%B8%D0%BD%D0%B8%D0%B9%20{k}?q=a%20b"),
+    ("https:p/{k}", "/a/b/p/{k}"), ("http:p/{k}", None), ("p/{k}/../../q?x=/../y", "/a/b/q?x=/../y"), ("https://u@shop.example/{k}", None), ("p\\{k}", "/a/b/p/{k}"),
+]
+
+
+@registered(
+    f"""SELECT p_partkey, replace([{", ".join("NULL" if w is None else quoted(_SHOP + w) for _, w in LINKS)}][(p_partkey % {len(LINKS)} + 1)::INT],
+  '{{k}}', p_partkey::VARCHAR) AS url FROM part"""
+)
+def link_addresses(spark, sf_dir):
+    k = F.col("p_partkey")
+    href = F.replace(F.get(F.array(*(F.lit(h) for h, _ in LINKS)), (k % len(LINKS)).cast("int")), F.lit("{k}"), k.cast("string"))
+    return B.table(spark, sf_dir, "part").select("p_partkey", extraction.absolute(href, F.lit(_SHOP + "/a/b/list;v?page=2")).alias("url"))
+
+
 @registered(
     f"""SELECT page_id, via, count(*) AS n FROM (
   SELECT p_partkey // {ON_PAGE} AS page_id, CASE p_partkey // {ON_PAGE} % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'microdata' ELSE 'proximity' END AS via FROM part) GROUP BY ALL"""

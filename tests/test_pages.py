@@ -3,10 +3,9 @@
 import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from pricecompass.functions import web
+from pricecompass.functions import markup, web
 from pricecompass.operators import events, extraction, stores
 from pricecompass.streaming import windows
 
@@ -30,17 +29,88 @@ def test_currency_and_offers_of_jsonld(spark):
     assert [(r.title, r.price, r.url, r.in_stock) for r in rows] == [("Second one", 443990, None, None)]
 
 
-@pytest.mark.parametrize("piece", ["<a href='/p/x'>", "<script>", "<", "<nav ", "1 000 ", "itemtype='x/Product'"])
-def test_hostile_pages_take_linear_time(spark, piece):
-    times = []
-    for size in (100_000, 400_000):
-        page = pages(spark, piece * (size // len(piece)))
+def test_hostile_pages_take_linear_time(spark):
+    pieces, times = ["<a href='/p/x'>", "<script>", '<a title="', "1 000 ₸ ", "itemtype='x/Product'"], []
+    for size in (100_000, 800_000):
+        page = pages(spark, *(piece * (size // len(piece)) for piece in pieces))
         began = time.time()
-        extraction.from_jsonld(page).count()
-        extraction.from_microdata(page).count()
-        page.select(extraction.masked(extraction.without_chrome(F.col("html"))).alias("x")).agg(F.max(F.length("x"))).collect()
+        assert extraction.extract_listings(page).count() == 0
         times.append(time.time() - began)
-    assert times[1] < 8 * times[0] + 5
+    assert times[1] < 4 * times[0] + 5
+
+
+def test_a_page_of_four_megabytes(spark):
+    card = '<div><a href="/product/{0}">Red widget {0} x</a><s>15 000 ₸</s><span>12 300 ₸</span></div>' + '<i class="x">y</i>' * 20
+    html = "".join(card.format(k) for k in range(4_000_000 // len(card)))
+    began = time.time()
+    rows = extraction.from_proximity(pages(spark, html)).collect()
+    assert time.time() - began < 40  # of which some 10 are planning
+    assert {(r.title, r.price, r.old_price) for r in rows} == {(f"Red widget {k} x", 12_300, 15_000) for k in range(500)}  # 1,000 prices of a page count
+
+
+NEAR_LINKS = [
+    ('<a href="/product/1">Red widget blue</a><div class="facet-wrapper slider"><span>5 000 ₸</span></div>', []),
+    ('<div class="filter"><i>до 50 000 ₸</i></div>' + " " * 230 + '<a href="/p/1">Red widget blue</a><b>443 990 ₸</b>', [("Red widget blue", 443_990)]),
+    ('<a href="/product/1">Red widget blue</a><span>5&#x202f;000&#8239;₸</span>', [("Red widget blue", 5_000)]),
+    ('<a href="/p/1" title="a > b">Red widget blue</a><span>443 <strong>990</strong> ₸</span>', [("Red widget blue", 443_990)]),
+    ('<a href="/p/1">Red widget blue</a><i>Рассрочка от 36 999 ₸ в месяц</i><i>39 999 ₸ — по рассрочке</i><b>443 990 ₸</b>', [("Red widget blue", 443_990)]),
+    ('<a href="/p/1">Red widget blue</a><i>36 999 ₸ (ежемесячно)</i><i>36 999 ₸ / мес</i>', []),
+    ('<a href="https://else.example/p/1">Red widget blue</a><b>443 990 ₸</b><a href="/blog/1">Red widget review</a>', []),
+    ('<a href="/product/ps5">Sony PS5 Console</a>' + "<" * 300_000, []),
+]
+
+
+def test_prices_next_to_links(spark):
+    found = {k: [] for k in range(len(NEAR_LINKS))}
+    for r in extraction.from_proximity(pages(spark, *(h for h, _ in NEAR_LINKS))).collect():
+        found[r.page_id].append((r.title, r.price))
+    assert [found[k] for k in found] == [want for _, want in NEAR_LINKS]
+
+
+def test_markup_is_read_with_its_quotes(spark):
+    html = """<a title="x > y" href='/p'>T <b class="q>">bold</b></a><nav x='>'>n</nav><nav>zz</navigation> rest <a href="/open>never"""
+    row = spark.createDataFrame([(html,)], "h string").select(
+        markup.masked(F.col("h")).alias("m"), markup.without_tags(F.col("h")).alias("t"), markup.elements(F.col("h"), "a").alias("e"), markup.without_elements(F.col("h"), "nav").alias("n")
+    ).first()
+    assert len(row.m) == len(html) and row.m.split() == ["T", "bold", "n", "zz", "rest"]
+    assert [html[k] for k, c in enumerate(row.m) if c != " "] == [c for c in row.m if c != " "]
+    assert row.t.split() == ["T", "bold", "n", "zz", "rest"]
+    assert (row.e[0].attributes, row.e[0].content) == (""" title="x > y" href='/p'""", 'T <b class="q>">bold</b>')
+    assert "<nav>zz</navigation>" in row.n and "n</nav>" not in row.n
+    big = spark.createDataFrame([("<a title=" + '"' * 1_000_001,)], "h string").cache()
+    big.count()
+    began = time.time()
+    assert big.select(F.length(markup.masked(F.col("h")))).first()[0] == 1_000_010
+    assert time.time() - began < 1.5
+
+
+# RFC 3986, 5.4: references on the page http://a/b/c/d;p?q; other schemes have no address here.
+REFERENCES = {
+    "g:h": None, "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q#s", "g#s": "/b/c/g#s",
+    "g?y#s": "/b/c/g?y#s", ";x": "/b/c/;x", "g;x": "/b/c/g;x", "g;x?y#s": "/b/c/g;x?y#s", "": "/b/c/d;p?q", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/",
+    "../g": "/b/g", "../..": "/", "../../": "/", "../../g": "/g", "../../../g": "/g", "../../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", ".g": "/b/c/.g",
+    "g..": "/b/c/g..", "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/./y": "/b/c/g;x=1/y",
+    "g;x=1/../y": "/b/c/y", "g?y/./x": "/b/c/g?y/./x", "g?y/../x": "/b/c/g?y/../x", "g#s/./x": "/b/c/g#s/./x", "g#s/../x": "/b/c/g#s/../x", "http:g": "/b/c/g",
+}
+
+
+def test_addresses_of_links(spark):
+    rows = spark.createDataFrame([(h,) for h in REFERENCES], "h string").select("h", markup.resolved(F.col("h"), F.lit("http://a/b/c/d;p?q")).alias("u")).collect()
+    assert {r.h: r.u for r in rows} == {h: w and "http://a" + w for h, w in REFERENCES.items()}
+    odd = [("//g", "http://g/"), ("HTTP://A.B:80/x", "http://a.b/x"), ("https://u:p@a/x", None), (" /x y ", "http://a/x%20y"), ("x" * 9000, None), (None, None)]
+    rows = spark.createDataFrame(odd, "h string, w string").select("w", markup.resolved(F.col("h"), F.lit("http://a/")).alias("u")).collect()
+    assert all(r.u == r.w for r in rows)
+
+
+def test_products_without_an_offer_hide_what_they_hold(spark):
+    inner = '{"@type": "Product", "name": "inner one", "offers": {"price": 5000}}'
+    block = '<script data-x=">" type="application/ld+json">[{"@type": "Product", "name": "outer one", "offers": [{"price": "x"}], "a": {"b": [%s]}}, %s]</script>'
+    rows = extraction.from_jsonld(pages(spark, block % (inner, inner.replace("inner", "second")))).collect()
+    assert [r.title for r in rows] == ["second one"]
+    many = ",".join(f'{{"@type": "Product", "name": "Model {k}", "offers": {{"price": {100_000 + k}}}}}' for k in range(1_050))
+    assert extraction.extract_listings(pages(spark, f'<script type="application/ld+json">[{many}]</script>')).count() == 1_000
+    links = "".join(f'<a href="/product/model-{k}">Phone model {k}</a>' for k in range(7_000))
+    assert extraction.from_proximity(pages(spark, links + "<b>443 990 ₸</b>")).count() == 0  # the first 5,000 links lie too far from it
 
 
 def test_rate_limit_against_a_plain_fold_and_its_stream(spark, tmp_path):
