@@ -1,6 +1,6 @@
 """Registered queries of the library and their SQL; those of the corpus subpackage are added elsewhere."""
 
-from .plans import ingest, outcomes, pages, search, web
+from .plans import ingest, outcomes, pages, requests, search, web
 
 QUERIES = {**search.QUERIES, **web.QUERIES, **pages.QUERIES, **ingest.QUERIES, **outcomes.QUERIES}
 ORACLES = {**search.ORACLES, **web.ORACLES, **pages.ORACLES, **ingest.ORACLES, **outcomes.ORACLES}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
-from .query import Request, capacities_of, stems
+from .query import Request, capacities, stems
 from .text import has, java, let, named_in, normalise, signatures, tokens_of
 
 
@@ -109,11 +109,11 @@ def _ladder(ask: Request, title: Column, low: Column, tokens: Column, signs: Col
 def judged_titles(titles: DataFrame, ask: Request) -> DataFrame:
     """(_title, before, after, confidence) of each row of titles (_title).
 
-    Built-in expressions throughout, but for capacities, which are read only if the request states one.
+    Capacities are read only if the request states one.
     """
     title = F.trim("_title")
     sized = ask.tokens and (ask.storage is not None or ask.ram is not None)
-    frame = titles.withColumn("_size", capacities_of(title, ask.category)) if sized else titles
+    frame = titles.withColumn("_size", capacities(title, ask.category)) if sized else titles
     no_cover = F.lit(0.0)
 
     def with_cover(r: Column) -> Column:

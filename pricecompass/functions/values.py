@@ -65,6 +65,26 @@ CATEGORIES = {
 }
 ACCESSORY_FLOOR = 300
 
+# Sizes of RAM that come before a slash, sizes of storage that need no unit, both in GB; the largest that
+# counts; units; phone lines whose number may come before a slash; words that say what a capacity is, before and after it
+# (within so many characters); categories whose titles name storage without a unit, and RAM and storage with a slash.
+RAM_GB = (2, 3, 4, 6, 8, 12, 16, 18, 24, 32, 36, 40, 48, 64, 72, 96, 128, 192, 256)
+STORAGE_GB = (64, 128, 256, 512, 1024, 2048)
+MOST_GB = 16_384
+GB, TB = ("gb", "гб"), ("tb", "тб")
+NUMBERED_LINES = r"iphone|ipad|(?:google\s+)?pixel|redmi(?:\s+note)?|xiaomi|oneplus|realme|vivo|honor(?:\s+magic)?"
+RAM_WORDS = ("ram|озу|оперативн[A-Za-z0-9_]*", "ram|озу|оперативн|ddr[345]")
+STORAGE_WORDS = (
+    r"ssd|hdd|storage|накопител[A-Za-z0-9_]*|встроен[A-Za-z0-9_]*\s+памят[A-Za-z0-9_]*",
+    r"ssd|hdd|storage|накопител|встроен[A-Za-z0-9_]*\s+памят",
+)
+WORD_REACH = 28
+UNITLESS = ("smartphone", "tablet", "laptop")
+SLASHED = (*UNITLESS, "component")
+MEMORY_WORDS = "ram|озу|ssd|hdd|storage"
+# RAM at most where two sizes are named without a word, and where a laptop's title names one.
+PLAIN_RAM_GB, LAPTOP_RAM_GB = 128, 64
+
 # Accessories by precedence: stems in a title, stems in a request for the accessory itself.
 ACCESSORIES = {
     "case": ("чехол|чехл|бампер|накладк|книжк|флип|кейс|case$", "чехол|чехл|case$|кейс|бампер|накладк"),

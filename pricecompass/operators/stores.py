@@ -23,6 +23,56 @@ def in_radius(stores: DataFrame, centre: tuple[float, float], radius_m: int) ->
     return with_distance(boxed, centre).where(F.col("distance_m") <= radius_m)
 
 
+#: Metres of a degree of latitude, a little less than there are, and the reach of a cell as a power of two.
+DEGREE_M = 110_000.0
+LEVELS = range(8, 16)
+
+
+def _band(lat: Column, level: Column) -> Column:
+    return F.floor((lat + 90) / (F.pow(F.lit(2.0), level) / DEGREE_M))
+
+
+def _columns(band: Column, level: Column) -> Column:
+    """Cells that a band of latitude is cut into: each at least as wide as the level's reach, all round the earth."""
+    size = F.pow(F.lit(2.0), level) / DEGREE_M
+    furthest = F.least(F.greatest(F.abs(band * size - 90), F.abs((band + 1) * size - 90)), F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(furthest)) / size), F.lit(1))
+
+
+def within_reach(shoppers: DataFrame, stores: DataFrame) -> DataFrame:
+    """Pairs of shoppers (shopper, lat, lon, radius_m) and the stores (lat, lon, ...) within their radius, with
+    distance_m: columns of stores, shopper and distance_m.
+
+    An equi-join on grid cells. A shopper looks into the cells of its radius's level alone, a few in the
+    bands of latitude around it; a store stands in one cell of each level. The cells of a band are as wide as its latitude
+    needs and go round the earth, so pairs across 180 degrees and near the poles are found. Rows without
+    a place on earth and radii that are NULL or not within 0 to 2^15 m reach nothing; repeated rows meet each.
+    """
+    on_earth = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    radius = F.col("radius_m")
+    asking = shoppers.where(on_earth & radius.between(0, 1 << LEVELS[-1])).select("shopper", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), radius.alias("_radius"))
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("_radius"), F.lit(1)).cast("double"))), F.lit(LEVELS[0])).cast("int")
+    asking = asking.withColumn("_level", level)
+    band = _band(F.col("_lat"), F.col("_level"))
+    asking = asking.withColumn("_y", F.explode(F.sequence(band - 1, band + 1)))
+    # the widest a circle gets in longitude; all round where it holds a pole
+    angle = F.radians(F.pow(F.lit(2.0), "_level") / DEGREE_M)
+    wide = F.degrees(F.asin(F.least(F.sin(angle) / F.cos(F.radians("_lat")), F.lit(1.0))))
+    pole = F.abs("_lat") + F.degrees(angle) >= 90
+    n = _columns(F.col("_y"), F.col("_level"))
+    cell = lambda lon: F.floor((lon + 180) * n / 360)
+    span = F.when(pole, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
+        F.array_distinct(F.transform(F.sequence(cell(F.col("_lon") - wide), F.least(cell(F.col("_lon") + wide), cell(F.col("_lon") - wide) + n)), lambda x: F.pmod(x, n)))
+    )
+    asking = asking.withColumn("_x", F.explode(span))
+    standing = stores.where(on_earth).withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("_y", _band(F.col("lat"), F.col("_level")))
+    m = _columns(F.col("_y"), F.col("_level"))
+    standing = standing.withColumn("_x", F.pmod(F.floor((F.col("lon") + 180) * m / 360), m))
+    metres = F.round(geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).cast("long")
+    met = asking.join(standing, ["_level", "_y", "_x"]).withColumn("distance_m", metres).where(F.col("distance_m") <= F.col("_radius"))
+    return met.select("shopper", *(f"`{c}`" for c in stores.columns), "distance_m")
+
+
 def dedupe_pins(stores: DataFrame, most: int | None = None) -> DataFrame:
     """Stores (with distance_m, pos) without pins of a store already kept: of the same name, less than
     SAME_PIN_M away and within two grid cells, in order of distance.

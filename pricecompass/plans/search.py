@@ -174,12 +174,13 @@ def coverage_gaps(spark, sf_dir):
 # Matching
 
 TOKENS = text.tokenize_sql("title")
-ASKED = query.parse(ASK)
+#: Tokens of the two requests used here.
+ASK_TOKENS, SIZED_TOKENS = ("red", "widget"), ("red", "widget", "brand")
 
 
 def _match_sql(sized: bool) -> str:
     """The ladder for the two requests used here: neither names a brand, a variant or a category."""
-    ask = query.parse(ASK_SIZED if sized else ASK)
+    asked = SIZED_TOKENS if sized else ASK_TOKENS
     rules = " ".join(
         f"WHEN regexp_matches(low, {text.quoted(text.re2(s))}) THEN '{prefix}{label}'"
         for prefix, table in (("accessory: ", V.ACCESSORIES), ("", V.CONDITIONS))
@@ -189,14 +190,14 @@ def _match_sql(sized: bool) -> str:
         f"CASE WHEN list_contains(signs, '{t}') THEN 1.0::DOUBLE WHEN len(list_filter(tokens, lambda x: (starts_with(x, '{t}') "
         f"OR starts_with('{t}', x)) AND least(length(x), {len(t)}) >= 4)) > 0 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END"
     )
-    cover = " + ".join(map(one, ask.tokens))
+    cover = " + ".join(map(one, asked))
     size = "regexp_extract(title, '(\\d+)GB', 1)"
     wrong = f"WHEN {size} <> '' AND {size} <> '128' THEN 'wrong storage (' || {size} || 'GB, wanted 128GB)'" if sized else ""
     bonus = f"CASE WHEN {size} = '' THEN c0 - 0.1::DOUBLE ELSE least(1.0::DOUBLE, c0 + 0.1::DOUBLE) END" if sized else "c0"
     return f"""{B.listings_sql(sized)},
 t0 AS (SELECT *, lower({text.normalise_sql("title")}) AS low, {TOKENS} AS tokens FROM listings),
 t1 AS (SELECT *, {text.signatures_sql("tokens")} AS signs FROM t0),
-t2 AS (SELECT *, ({cover}) / {len(ask.tokens)}::DOUBLE AS cover FROM t1),
+t2 AS (SELECT *, ({cover}) / {len(asked)}::DOUBLE AS cover FROM t1),
 t3 AS (SELECT *, 0.5::DOUBLE + 0.4::DOUBLE * cover AS c0, CASE WHEN length(title) < 3 THEN 'title too short' {rules}
   WHEN price < 5000 THEN 'price below other floor' WHEN price > 20000000 THEN 'price above other ceiling'
   WHEN cover < 0.66::DOUBLE THEN 'title does not match query' {wrong} END AS reject_reason FROM t2),
@@ -257,7 +258,7 @@ def brands_in(spark, sf_dir):
 )
 def capacities(spark, sf_dir):
     size = F.when(F.col("p_size") % 3 == 0, " 8/256GB").when(F.col("p_size") % 3 == 1, " 16 GB RAM 512 GB SSD").otherwise(" 32GB RAM")
-    found = B.table(spark, sf_dir, "part").select("p_partkey", query.capacities_of(F.concat(F.lit("laptop "), "p_name", size), "laptop").alias("c"))
+    found = B.table(spark, sf_dir, "part").select("p_partkey", query.capacities(F.concat(F.lit("laptop "), "p_name", size), "laptop").alias("c"))
     return found.select("p_partkey", F.coalesce("c.storage", F.lit(0)).alias("storage"), "c.ram")
 
 
@@ -281,7 +282,7 @@ def token_coverage(spark, sf_dir):
     rows = B.listings(spark, sf_dir).select("title").distinct()
     tokens = text.tokenize(F.col("title"))
     rows = rows.withColumn("tokens", tokens).withColumn("signs", text.signatures(F.col("tokens")))
-    cover = matching.coverage(F.col("tokens"), F.col("signs"), ASKED.tokens)
+    cover = matching.coverage(F.col("tokens"), F.col("signs"), ASK_TOKENS)
     return rows.select("title", F.round(cover, 6).alias("coverage"))
 
 

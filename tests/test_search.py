@@ -41,9 +41,11 @@ def test_match(spark, ask, title, price, reason):
         ("MacBook Pro M3 36/512", 512, 36, None),
         ("please find the cheapest iPhone 15 near me", None, None, "iphone 15"),
         ("16GB RAM", None, 16, "ram"),
+        ("laptop 99999999999999999999GB 16GB", None, 16, "laptop"),
+        ("ноутбук озу 8 гб встроенная память 2тб", 2048, 8, None),
     ],
 )
-def test_parse(text, storage, ram, search):
+def test_parse(spark, text, storage, ram, search):
     found = query.parse(text)
     assert (found.storage, found.ram) == (storage, ram)
     assert search is None or found.search_term == search
