@@ -1,7 +1,7 @@
 """Secret scan: candidates found by their shape, false positives removed by a random forest.
 
-A candidate is a long run of key characters with a letter, a quoted value assigned to a name, or any
-value assigned to a name that speaks of secrets. Its features are its length, how its characters follow each other (class changes, entropy, bigrams
+A candidate is a long run of key characters with a letter, a quoted value of eight characters or more
+assigned to a name, any value assigned to a name that speaks of secrets, or the password in an address. Its features are its length, how its characters follow each other (class changes, entropy, bigrams
 against those of the corpus), how much of it dictionary words cover, the path it was found under and
 the words around it. The forest is trained on labelled findings.
 """
@@ -31,14 +31,17 @@ THRESHOLD = 0.5
 #: Bytes of context looked at on either side.
 AROUND = 64
 
-_RUN = rb"[A-Za-z0-9+/_=.~-]{16,}"
-_SET = rb"[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}"
-_QUOTED = rb"[A-Za-z0-9_.-]{2,40}[\"']?" + _SET + rb"[\"']([^\"'\s]{8,256})[\"']"
-_NAMED = (
-    rb"[A-Za-z0-9_.-]{0,30}(?i:token|secret|passw|pwd|key|auth|credential|bearer)[A-Za-z0-9_.-]{0,20}[\"']?(?:" + _SET + rb"|(?<=[Bb]earer)[ \t]+)"
-    rb"([^\s\"'<>(){}\[\],;]{8,256})"
-)
-_CANDIDATE = re.compile(rb"(?<![A-Za-z0-9_.-])(?:" + _QUOTED + rb"|" + _NAMED + rb")|(" + _RUN + rb")")
+# A candidate is written in one of four ways. Names and values may be of any length; repeats that give nothing
+# back, from a name's first character on, keep the search linear.
+_NAME = rb"[A-Za-z0-9_.-]++[\"']?+"
+_SET = rb"[ \t]{0,3}+(?::=|=>|[:=])[ \t]{0,3}+"
+_SPEAKS = rb"(?=[A-Za-z0-9_.-]*?(?i:token|secret|passw|pwd|key|auth|credential|bearer))"
+_QUOTED = _NAME + _SET + rb"[\"']([^\"'\s]{8,}+)[\"']"
+_NAMED = _SPEAKS + _NAME + rb"(?:" + _SET + rb"(?:(?i:bearer|basic)[ \t]++)?+|(?<=[Bb]earer)[ \t]++)(?:[\"']([^\"'\s]++)[\"']|([^\s\"'<>(){}\[\],;]++))"
+_ADDRESS = rb"://[^\s/@:\"'<>]*+:([^\s/@\"'<>]++)@"
+_RUN = rb"[A-Za-z0-9+/_=.~-]{16,}+"
+_CANDIDATE = re.compile(rb"(?<![A-Za-z0-9_.-])(?:" + _NAMED + rb"|" + _QUOTED + rb")|" + _ADDRESS + rb"|(" + _RUN + rb")")
+_IN_ADDRESS = re.compile(_ADDRESS)
 _WORD = re.compile(rb"[a-z]+")
 _SEPARATED = re.compile(rb"[A-Za-z0-9]+")
 
@@ -50,7 +53,7 @@ TRIAL_PATHS = (b"test", b"example", b"fixture", b"sample", b"doc", b"mock")
 
 FEATURES = (
     "length", "entropy", "distinct", "digits", "uppers", "symbols", "changes", "hex", "bigram", "coverage", "quoted",
-    "assigned", "secret_word", "digest_word", "placeholder", "trial_path", "path_depth", "words_near",
+    "assigned", "secret_word", "digest_word", "placeholder", "trial_path", "path_depth", "words_near", "in_address",
 )
 _CLASS = np.full(256, 3, np.int8)  # 0 lower, 1 upper, 2 digit, 3 else
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -131,21 +134,29 @@ def features(value: bytes, before: bytes, after: bytes, path: bytes, table: np.n
         float(any(x in path.lower() for x in TRIAL_PATHS)),
         float(path.count(b"/")),
         float(sum(w.lower() in words for w in near + follow)),
+        float(after[:1] == b"@" and b"://" in before[-40:]),
     ]
 
 
 def candidates(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """(byte offset, value) of each candidate of a text."""
+    """(byte offset, value) of each candidate of a text. Of a named value that is an address with a
+    password in it, the password is the candidate."""
     for m in _CANDIDATE.finditer(text):
         k = m.lastindex
-        if k < 3 or any(65 <= c <= 90 or 97 <= c <= 122 for c in m[3]):
+        if k == 5 and not any(65 <= c <= 90 or 97 <= c <= 122 for c in m[5]):
+            continue
+        inner = list(_IN_ADDRESS.finditer(m[k])) if k < 4 and b"://" in m[k] else []
+        if inner:
+            for x in inner:
+                yield m.start(k) + x.start(1), x[1]
+        else:
             yield m.start(k), m[k]
 
 
 def find(docs: DataFrame, table: np.ndarray, words: frozenset[bytes], path: str | None) -> DataFrame:
     """(doc_id, start, length, value_md5, x): candidates of whole texts with their features.
 
-    start counts bytes of UTF-8; the value itself isn't returned.
+    start counts bytes of UTF-8; the value itself isn't returned. A very long value is one candidate like others.
     """
     from hashlib import md5
 
@@ -212,19 +223,26 @@ def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SE
                 lambda: pick(lower + "0123456789", r.randint(9, 16)),
                 lambda: f"{pick(lower, 4)}_{pick(alnum, r.randint(24, 40))}",
                 lambda: f"{word()}{r.randint(10, 9999)}{pick('!#%*', 1)}{pick(alnum, 4)}",
+                lambda: f"{pick(lower, 3)}{r.randint(1, 999)}{pick(lower, 2)}{pick('!#%*', r.randint(0, 1))}",
+                lambda: pick(alnum, r.randint(257, 600)),
             ]
         )()
 
-    def secret() -> tuple[str, str]:
+    def secret() -> tuple[str, str, str]:
         v = value()
         name = r.choice("token secret api_key password auth_token access_key client_secret db.password PRIVATE_KEY pwd".split())
         name, v = (name.upper(), v.upper()) if r.random() < 0.2 else (name, v)
+        if r.random() < 0.15:
+            name = "_".join([word() for _ in range(r.randint(3, 9))] + [name])
+        if r.random() < 0.1:
+            v = v.replace("/", "-")
+            return f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{word()}:", v, f"@{word()}.example.com/{word()}"
         q = r.choice(['"', "'", "", ""])
         if r.random() < 0.15:
-            return "Authorization: Bearer ", v
+            return "Authorization: Bearer ", v, ""
         if r.random() < 0.1 and len(v) >= 20:
-            return "", v
-        return f"{name}{r.choice([' = ', '=', ': ', ' := '])}{q}", v + q
+            return "", v, ""
+        return f"{name}{r.choice([' = ', '=', ': ', ' := '])}{q}", v, q
 
     def other() -> tuple[str, str]:
         return r.choice(
@@ -233,9 +251,12 @@ def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SE
                 lambda: ("id ", f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"),
                 lambda: ("", f"{word()}{word()}{word()}{r.randint(1, 99)}{word()}"),
                 lambda: ("", f"{word()}{word().title()}{word().title()}{word().title()}"),
+                lambda: ("", r.choice([str.upper, str.lower, str.title])("".join(re.findall("[A-Za-z]+", prose())))[: r.randint(16, 30)] or word()),
                 lambda: ("", f"/{word()}/{word()}/{word()}/{r.randint(100, 99999)}.html"),
                 lambda: (f"{r.choice(['token', 'password', 'api_key'])} = ", r.choice(["changeme", "your_token_here_1", "example-secret-1", "xxxxxxxxxxxxxxxx1"])),
                 lambda: (f"{r.choice(['password', 'token', 'secret_name'])}: ", f"{word()}_{word()}" if r.random() < 0.5 else word() + word()),
+                lambda: (f"{r.choice(['password', 'token', 'secret', 'api_key', 'auth'])}{r.choice([': ', ' = ', '='])}", r.choice([word(), "none", "true", "required", "null"])),
+                lambda: (f"{r.choice(['postgres', 'mysql', 'https'])}://{word()}:", f"{r.choice(['password', 'changeme', 'xxxxxxxx', 'your_password'])}@{word()}.example.com/"),
                 lambda: (f"{r.choice(['key', 'keyboard', 'author'])} = ", f"{word()}.{word()}.{word()}"),
                 lambda: (f'{r.choice(["title", "name", "label"])} = "', f'{word()}_{word()}_{word()}"'),
                 lambda: ("", f"{word()}.{r.randint(1, 99)}.{word()}@mail{r.randint(1, 9)}.example.com"),
@@ -248,9 +269,9 @@ def labelled_findings(spark: SparkSession, n: int = WRITTEN_ROWS, seed: int = SE
         good = k % 2 == 0
         trial = r.random() < (0.1 if good else 0.3)
         path = f"{r.choice(['src', 'app', 'conf'])}/{'tests/' if trial else ''}{word()}.txt" if r.random() < 0.5 else None
-        before, name, v, after = prose(), *(secret() if good else other()), prose()
+        before, (name, v, tail), after = prose(), secret() if good else (*other(), ""), prose()
         head = f"{before} {name}"
-        rows.append((k, f"{head}{v} {after}", path, len(head.encode()), len(v.encode()), int(good)))
+        rows.append((k, f"{head}{v}{tail} {after}", path, len(head.encode()), len(v.encode()), int(good)))
     return spark.createDataFrame(rows, "doc_id long, text string, path string, start long, length long, label int")
 
 
@@ -271,7 +292,8 @@ def train(labelled: DataFrame, table: np.ndarray, words: frozenset[bytes], path:
 def scan(docs: DataFrame, model: RandomForestClassificationModel, table: np.ndarray, words: frozenset[bytes], path: str | None = None) -> DataFrame:
     """(doc_id, start, length, value_md5, probability, is_secret) of every candidate of docs.
 
-    A candidate that runs over another isn't given twice. A NULL or empty text has no candidates; a NULL doc_id or path is allowed; a repeated row gives
+    A candidate that runs over another isn't given twice. Names and values may be of any length, and so may
+    texts: the search is linear in them. A NULL or empty text has no candidates; a NULL doc_id or path is allowed; a repeated row gives
     its findings again; no rows give none; other columns are ignored.
     """
     scored = model.transform(find(docs, table, words, path).withColumn("features", array_to_vector("x")))

@@ -387,6 +387,32 @@ def test_secret_candidates(text):
     assert [v for _, v in secret_scan.candidates(text.encode())]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("my_extremely_long_configuration_setting_name_password = hunter2abc", "hunter2abc"),
+        ("password: s3cr3t!", "s3cr3t!"),
+        ("pwd=abc123", "abc123"),
+        ("token = '" + "a1B2" * 75 + "'", "a1B2" * 75),
+        ("postgres://u:Pa55word!@host/db", "Pa55word!"),
+        ("AUTH_URL=postgres://u:Pa55word!@host/db", "Pa55word!"),
+        ('{"password": "hunter2"}', "hunter2"),
+        ("n" * 5000 + "_token=" + "v7" * 5000, "v7" * 5000),
+    ],
+)
+def test_secret_candidates_of_any_length(text, want):
+    assert [(text[at : at + len(want)], v.decode()) for at, v in secret_scan.candidates(text.encode())] == [(want, want)]
+
+
+def test_secret_candidates_are_found_in_linear_time():
+    import time
+
+    for piece in ("a=", "key=", "key", "://a:", "'a'=\"", "a_token=://b:", "Bearer ", "a.b-c", "key:=\t"):
+        began = time.time()
+        assert sum(1 for _ in secret_scan.candidates((piece * (2_000_000 // len(piece))).encode())) >= 0
+        assert time.time() - began < 5, piece
+
+
 def test_quality_classifier(spark):
     texts = [prose(40, k) if k % 3 else " ".join(w + "###" for w in prose(40, k).split()) for k in range(240)]
     docs = frame(spark, texts, AWKWARD)
