@@ -13,26 +13,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder spark.checkpoint.dir names (one of our own only where it is
-    unset and driver and executors are one process, as in tests) and read again: lineage ends there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and driver and
+    executors are one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="staging-"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pieces(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
