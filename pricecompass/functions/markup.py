@@ -94,25 +94,30 @@ def resolved(href: Column, base: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
     parts = r"^(?i)(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?"
 
+    def bare_of(h: Column) -> Column:
+        """Without the scheme where it is the page's own and no host follows, and with slashes as they go."""
+        same = F.lower(F.regexp_extract(h, r"^(?i)(https?):(?![/\\])", 1)) == F.lower(F.regexp_extract(base, parts, 1))
+        plain = F.when(same, F.regexp_replace(h, r"^(?i)https?:", "")).otherwise(h)
+        return let(plain, lambda p: F.concat(F.translate(F.regexp_extract(p, r"^([^?#]*)", 1), "\\", "/"), F.regexp_extract(p, r"^[^?#]*(.*)$", 1)))
+
     def absolute(h: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(base, parts, 1))
-        origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, parts, 2))
-        path = F.translate(F.regexp_extract(base, parts, 3), "\\", "/")
-        path = F.when(path == "", "/").otherwise(path)
-        query = F.regexp_extract(base, parts, 4)
-        own = F.regexp_replace(h, r"^(?i)https?:(?![/\\])", "")  # "http:g" is "g" where the scheme is the same
-        same = F.lower(F.regexp_extract(h, r"^(?i)(https?):(?![/\\])", 1)) == scheme
-        h = F.when(same, own).otherwise(h)
-        mark = F.regexp_extract(h, r"^([^?#]*)", 1)
-        back = F.concat(F.translate(mark, "\\", "/"), F.substr(h, F.length(mark) + 1))
+        page = F.struct(
+            F.lower(F.regexp_extract(base, parts, 1)).alias("scheme"), F.regexp_extract(base, parts, 2).alias("host"),
+            F.translate(F.regexp_extract(base, parts, 3), "\\", "/").alias("path"), F.regexp_extract(base, parts, 4).alias("query"),
+        )
+        return let(page, lambda b: onto(h, b))
+
+    def onto(h: Column, b: Column) -> Column:
+        origin = F.concat(b["scheme"], F.lit("://"), b["host"])
+        path = F.when(b["path"] == "", "/").otherwise(b["path"])
         return (
-            F.when(back.rlike(r"^(?i)https?:/"), back)
-            .when(back.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), F.lit(None).cast("string"))
-            .when(back.startswith("//"), F.concat(scheme, F.lit(":"), back))
-            .when(back.startswith("/"), F.concat(origin, back))
-            .when(back.startswith("?"), F.concat(origin, path, back))
-            .when(back.startswith("#") | (back == ""), F.concat(origin, path, query, back))
-            .otherwise(F.concat(origin, F.regexp_extract(path, "^(.*/)", 1), back))
+            F.when(h.rlike(r"^(?i)https?:/"), h)
+            .when(h.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), F.lit(None).cast("string"))
+            .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(origin, path, h))
+            .when(h.startswith("#") | (h == ""), F.concat(origin, path, b["query"], h))
+            .otherwise(F.concat(origin, F.regexp_extract(path, "^(.*/)", 1), h))
         )
 
     def tidy(url: Column) -> Column:
@@ -124,4 +129,4 @@ def resolved(href: Column, base: Column) -> Column:
         return F.when(fine, F.concat(F.lower(part(1)), F.lit("://"), host, _encoded(_without_dots(path)), _encoded(part(4)), part(5)))
 
     fine = base.rlike(r"^(?i)https?:[/\\]*[^/\\?#]") & (F.length(href) <= MOST_HREF)
-    return F.when(fine, let(bare, lambda h: let(absolute(h), tidy)))
+    return F.when(fine, let(let(let(bare, bare_of), absolute), tidy))
