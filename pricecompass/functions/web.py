@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import markup
 from . import values as V
+from .text import let
 
 # Entities that pages use in prices and titles, and what they stand for.
 ENTITIES = {
@@ -86,14 +87,17 @@ def ipv4_number(ip: Column) -> Column:
 
 def reserved_v4(ip: Column) -> Column:
     """Whether an address is private or reserved; what is no IPv4 address counts as such."""
-    n, hit = ipv4_number(ip), F.lit(False)
-    for net in V.RESERVED_V4:
-        base, bits = net.split("/")
-        a, b, c, d = map(int, base.split("."))
-        size = 1 << (32 - int(bits))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        hit = hit | n.between(low, low + size - 1)
-    return F.coalesce(hit, F.lit(True))
+
+    def among(n: Column) -> Column:
+        hit = F.lit(False)
+        for net in V.RESERVED_V4:
+            base, bits = net.split("/")
+            a, b, c, d = map(int, base.split("."))
+            low = ((a * 256 + b) * 256 + c) * 256 + d
+            hit = hit | n.between(low, low + (1 << (32 - int(bits))) - 1)
+        return F.coalesce(hit, F.lit(True))
+
+    return let(ipv4_number(ip), among)
 
 
 def ipv6_digits(ip: Column) -> Column:
@@ -117,17 +121,23 @@ def ipv6_digits(ip: Column) -> Column:
 def reserved_ip(ip: Column) -> Column:
     """Whether an address of either kind is private or reserved; brackets and zone don't count. An IPv4
     address written as IPv6 and what is no address count as such."""
-    bare = F.get(F.split(F.regexp_replace(ip, r"^\[|\]$", ""), "%"), F.lit(0))
-    digits, hit = ipv6_digits(bare), bare.rlike("(?i)^::ffff:")
-    for net in map(ipaddress.IPv6Network, V.RESERVED_V6):
-        whole, some = divmod(net.prefixlen, 4)
-        want = f"{int(net.network_address):032x}"
-        same = F.substring(digits, 1, whole) == want[:whole]
-        if some:
-            digit = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
-            same = same & (F.shiftright(digit, 4 - some) == int(want[whole], 16) >> (4 - some))
-        hit = hit | same
-    return F.when(ipv4_number(bare).isNotNull(), reserved_v4(bare)).otherwise(F.coalesce(hit, F.lit(True)))
+
+    def among(digits: Column, hit: Column) -> Column:
+        for net in map(ipaddress.IPv6Network, V.RESERVED_V6):
+            whole, some = divmod(net.prefixlen, 4)
+            want = f"{int(net.network_address):032x}"
+            same = F.substring(digits, 1, whole) == want[:whole]
+            if some:
+                digit = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
+                same = same & (F.shiftright(digit, 4 - some) == int(want[whole], 16) >> (4 - some))
+            hit = hit | same
+        return F.coalesce(hit, F.lit(True))
+
+    def judged(bare: Column) -> Column:
+        v6 = let(ipv6_digits(bare), lambda digits: among(digits, bare.rlike("(?i)^::ffff:")))
+        return F.when(bare.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$") & ipv4_number(bare).isNotNull(), reserved_v4(bare)).otherwise(v6)
+
+    return let(F.get(F.split(F.regexp_replace(ip, r"^\[|\]$", ""), "%"), F.lit(0)), judged)
 
 
 def public_url(url: Column) -> Column:
