@@ -95,3 +95,9 @@ def format_age(ms: Column) -> Column:
         .when(hours < 48, F.format_string("%d h", hours))
         .otherwise(F.format_string("%d days", days))
     )
+
+
+def map_url(lat: Column, lon: Column) -> Column:
+    """Address of a map with a mark at a place; its form is a fixed value."""
+    lat, lon = lat.cast("string"), lon.cast("string")
+    return F.concat(F.lit("https://www.openstreetmap.org/?mlat="), lat, F.lit("&mlon="), lon, F.lit("#map=18/"), lat, F.lit("/"), lon)

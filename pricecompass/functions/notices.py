@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Below this confidence a match is doubted.
+# Below this confidence a match is doubted; the texts of this module are fixed as well, they are what is shown.
 DOUBTED = 0.6
 
 

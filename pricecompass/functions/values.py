@@ -150,7 +150,6 @@ MAX_BRANCHES = 50
 MAX_UNKNOWN, MAX_DOMAINS = 6, 16
 SHOP_TYPES = ("electronics", "computer", "mobile_phone", "hifi", "video_games", "camera", "appliance")
 MAX_GAPS = 50
-SEARCH_BUDGET_MS = 52_000
 
 # Failures that leave a gap in coverage, as a shopper reads them; "no-listings" and
 # "no-match" are answers.

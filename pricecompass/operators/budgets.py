@@ -15,6 +15,8 @@ KNOWN_MS, UNKNOWN_MS, SEARCH_MS = 28_000, 16_000, 52_000
 DAY_MS = 86_400_000
 # Lifetimes of a search template that was found, and of none found.
 FOUND_MS, NONE_MS = 30 * DAY_MS, 3 * DAY_MS
+# The same in memory, where what is blocked or rendered by the client counts as none found.
+FOUND_IN_MEMORY_MS, NONE_IN_MEMORY_MS = 6 * 3_600_000, 30 * 60_000
 # Age, number and bytes of the files that a directory keeps.
 FILE_AGE_MS, MOST_FILES, MOST_BYTES = 90 * DAY_MS, 300, 32 * 1024 * 1024
 
@@ -28,6 +30,14 @@ def template_fresh(template: Column, age_ms: Column) -> Column:
     return F.coalesce(age_ms <= F.when(template.isNull(), NONE_MS).otherwise(FOUND_MS), F.lit(False))
 
 
+def template_in_memory(template: Column, blocked: Column, age_ms: Column) -> Column:
+    """What is done with a template in memory: `use` it, `skip` the retailer (none was found, or it was blocked, and
+    that isn't long ago), or `ask` again."""
+    none = template.isNull() | F.coalesce(blocked, F.lit(False))
+    young = F.coalesce(age_ms <= F.when(none, NONE_IN_MEMORY_MS).otherwise(FOUND_IN_MEMORY_MS), F.lit(False))
+    return F.when(~young, "ask").when(none, "skip").otherwise("use")
+
+
 def partial_results(attempts: DataFrame) -> DataFrame:
     """attempts (search_id, domain, known, queued_ms, took_ms, found, failure) as they end: found,
     failure and took_ms as told, in_time, and search_failed where a search ran out of time with nothing.

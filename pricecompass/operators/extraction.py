@@ -263,6 +263,7 @@ def plausible(title: Column) -> Column:
 
 
 def title_score(title: Column, href: Column) -> Column:
+    """How much a link reads like a product's title; its points and bounds, as those of plausible(), are fixed values."""
     words = F.size(F.split(title, r"\s+"))
     return (
         F.when(href.rlike(PRODUCT_LINK), 3.0).otherwise(0.0)

@@ -49,3 +49,8 @@ def reduced(events: DataFrame) -> DataFrame:
         own("took_ms", F.lit(None).cast("long")).alias("took_ms"), F.col("end.kind").alias("ended"),
     )
 
+
+
+def counts(progress: DataFrame) -> DataFrame:
+    """(search_id, done, total): how many retailers of each search have answered or been closed."""
+    return progress.groupBy("search_id").agg(F.count_if(F.col("state") == "done").alias("done"), F.count("*").alias("total"))

@@ -130,6 +130,7 @@ def verdict(deals: DataFrame) -> DataFrame:
 
 
 def badge(in_stock: Column) -> Column:
+    # What a deal's badge says, and above the sentences of the verdict.
     return (
         F.when(in_stock.isNull(), "Best listed option").when(in_stock, "Best overall").otherwise("Best unavailable listing")
     )

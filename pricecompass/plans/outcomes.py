@@ -92,6 +92,20 @@ def template_freshness(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", budgets.template_fresh(template, k * 104729 % (40 * budgets.DAY_MS)).alias("fresh"))
 
 
+_MINUTES = "(o_orderkey * 7919) % 600"
+
+
+@registered(
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 7 = 0 THEN CASE WHEN {_MINUTES} <= 30 THEN 'skip' ELSE 'ask' END
+  WHEN {_MINUTES} <= 360 THEN 'use' ELSE 'ask' END AS action FROM orders"""
+)
+def template_memory(spark, sf_dir):
+    k = F.col("o_orderkey")
+    template = F.when(k % 4 != 0, F.concat(F.lit("https://shop.example/s?q={q}&n="), k.cast("string")))
+    blocked = F.when(k % 3 != 0, k % 7 == 0).when(k % 7 == 0, True)
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", budgets.template_in_memory(template, blocked, k * 7919 % 600 * 60_000).alias("action"))
+
+
 _STAYS = f"e.size <= {budgets.MOST_BYTES} - w.held AND w.n < {budgets.MOST_FILES}"
 
 

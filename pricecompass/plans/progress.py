@@ -50,6 +50,11 @@ def search_progress(spark, sf_dir):
     return progress.reduced(told(B.table(spark, sf_dir, "events")))
 
 
+@registered(f"SELECT search_id, count(*) FILTER (WHERE state = 'done') AS done, count(*) AS total FROM ({_REDUCED}) GROUP BY search_id")
+def progress_counts(spark, sf_dir):
+    return progress.counts(progress.reduced(told(B.table(spark, sf_dir, "events"))))
+
+
 def _as_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(_EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 

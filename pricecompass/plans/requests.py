@@ -54,6 +54,13 @@ def request_matches(spark, sf_dir):
     return fits.select("request", "title", F.round("confidence", 6).alias("confidence"))
 
 
+@registered(
+    f"""WITH {B.STORES} SELECT id, 'https://www.openstreetmap.org/?mlat=' || lat || '&mlon=' || lon || '#map=18/' || lat || '/' || lon AS map_url FROM stores"""
+)
+def store_maps(spark, sf_dir):
+    return B.stores(spark, sf_dir).select("id", geo.map_url(F.col("lat"), F.col("lon")).alias("map_url"))
+
+
 _SPOT = "(({0} * 37) % 3401) / 20.0::DOUBLE - 85.0::DOUBLE AS {1}lat, (({0} * 91) % 7201) / 20.0::DOUBLE - 180.0::DOUBLE AS {1}lon"
 
 
