@@ -73,6 +73,28 @@ def within_reach(shoppers: DataFrame, stores: DataFrame) -> DataFrame:
     return met.select("shopper", *(f"`{c}`" for c in stores.columns), "distance_m")
 
 
+# Metres that a cell's answer reaches further than it was asked for, and parts of a degree a cell has.
+BUFFER_M, CELL_PARTS = 100, 1000
+
+
+def within_cells(shoppers: DataFrame, stores: DataFrame) -> DataFrame:
+    """The same rows as within_reach, of answers that shoppers in one cell share: stores are sought once for each
+    cell (place to three decimals) and radius, BUFFER_M further, and what a shopper gets of them is cut to the
+    shopper's own radius. Nothing is lost: a place lies less than BUFFER_M from its cell's."""
+    near = lambda c: F.round(F.col(c) * CELL_PARTS) / CELL_PARTS
+    asking = shoppers.where(F.col("radius_m").between(0, (1 << LEVELS[-1]) - BUFFER_M)).select(
+        F.struct(near("lat").alias("y"), near("lon").alias("x"), F.col("radius_m").cast("long").alias("r")).alias("_cell"), F.col("shopper").alias("_shopper"),
+        F.col("lat").alias("_from_lat"), F.col("lon").alias("_from_lon"),
+    )
+    cells = asking.select("_cell").distinct().select(
+        F.col("_cell").alias("shopper"), F.col("_cell.y").alias("lat"), F.col("_cell.x").alias("lon"), (F.col("_cell.r") + BUFFER_M).alias("radius_m")
+    )
+    answers = staged(within_reach(cells, stores).drop("distance_m"), "cells")
+    metres = F.round(geo.haversine(F.col("_from_lat"), F.col("_from_lon"), F.col("lat"), F.col("lon"))).cast("long")
+    met = asking.join(answers, F.col("_cell") == F.col("shopper")).withColumn("distance_m", metres).where(F.col("distance_m") <= F.col("_cell.r"))
+    return met.select(F.col("_shopper").alias("shopper"), *(f"`{c}`" for c in stores.columns), "distance_m")
+
+
 def dedupe_pins(stores: DataFrame, most: int | None = None) -> DataFrame:
     """Stores (with distance_m, pos) without pins of a store already kept: of the same name, less than
     SAME_PIN_M away and within two grid cells, in order of distance.

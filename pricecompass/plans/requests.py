@@ -72,15 +72,29 @@ def _turned(lon):
     return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
 
 
-@registered(
-    f"""WITH s AS (SELECT s_suppkey, {_SPOT.format("(s_suppkey % 200)", "")} FROM supplier),
+_REACH = f"""WITH s AS (SELECT s_suppkey, {_SPOT.format("(s_suppkey % 200)", "")} FROM supplier),
 b AS (SELECT c_custkey, {V.RADIUS_STOPS}[c_custkey % {len(V.RADIUS_STOPS)} + 1] AS radius_m, {_SPOT.format("(c_custkey % 200)", "b")} FROM customer),
 c AS (SELECT c_custkey, radius_m, blat + ((c_custkey * 13) % 201 - 100) * 0.001::DOUBLE AS clat, blon + ((c_custkey * 29) % 201 - 100) * 0.002::DOUBLE AS l FROM b),
 d AS (SELECT c_custkey, radius_m, clat, CASE WHEN l > 180 THEN l - 360 WHEN l < -180 THEN l + 360 ELSE l END AS clon FROM c)
 SELECT c_custkey AS shopper, s_suppkey, round({geo.haversine_sql("clat", "clon", "lat", "lon")})::BIGINT AS distance_m FROM d, s WHERE distance_m <= radius_m"""
-)
+
+
+@registered(_REACH)
 def shoppers_reach(spark, sf_dir):
     """All customers, each with a radius of their own, against all suppliers, spread over the earth."""
+    asking, standing = spread(spark, sf_dir)
+    return stores.within_reach(asking, standing).select("shopper", "s_suppkey", "distance_m")
+
+
+@registered(_REACH)
+def cells_reach(spark, sf_dir):
+    """The same from answers that customers of one cell share."""
+    asking, standing = spread(spark, sf_dir)
+    return stores.within_cells(asking, standing).select("shopper", "s_suppkey", "distance_m")
+
+
+def spread(spark, sf_dir):
+    """Customers who ask and suppliers who stand, all over the earth."""
     k = F.col("s_suppkey")
     lat, lon = _spot(k % 200)
     standing = B.table(spark, sf_dir, "supplier").select("s_suppkey", lat.alias("lat"), lon.alias("lon"))
@@ -90,4 +104,4 @@ def shoppers_reach(spark, sf_dir):
     asking = B.table(spark, sf_dir, "customer").select(
         k.alias("shopper"), (lat + ((k * 13) % 201 - 100) * F.lit(0.001)).alias("lat"), _turned(lon + ((k * 29) % 201 - 100) * F.lit(0.002)).alias("lon"), radius.alias("radius_m")
     )
-    return stores.within_reach(asking, standing).select("shopper", "s_suppkey", "distance_m")
+    return asking, standing

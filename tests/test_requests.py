@@ -72,4 +72,6 @@ def test_shoppers_and_stores_within_their_radius(spark):
     got = sorted((x.shopper, x.store, x.distance_m) for x in met.collect())
     want = sorted((i, j, d) for i, p, q, rad in a for j, s, t in b if (d := math.floor(metres(p, q, s, t) + 0.5)) <= rad)
     assert [x[:2] for x in got] == [x[:2] for x in want] and len(want) > 300
+    shared = stores.within_cells(asking, standing.drop("_x")).collect()
+    assert sorted((x.shopper, x.store, x.distance_m) for x in shared) == got
     assert "NestedLoop" not in met._jdf.queryExecution().toString()
