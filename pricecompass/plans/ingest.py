@@ -10,7 +10,7 @@ from ..operators import discovery, ingestion
 from ..operators.chunks import micros
 from ..sources import bindings as B
 from .search import NEAR, ORACLES, QUERIES, registered  # noqa: F401
-from .web import cases, golden, pick, pick_sql
+from .web import pick, pick_sql
 
 #: Elements of a response; each fourth response remarks on a failure.
 ON_RESPONSE = 50
@@ -127,84 +127,101 @@ def relevance_terms(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms, ",").alias("terms"))
 
 
-PRICES: list[tuple[str | None, str | None]] = [
-    ("<b>12 990</b><i>&nbsp;</i>₸ 5 000 тг, 700 тенге", "3"), ("5 000 тгк", "0"), ("12 ₸", "1"), ("7₸", "0"), ("1.000 KZT", "0"), ("", "0"), (None, "0"),
-    ("100 000 〒", "1"),
-]
+#: What stands after a price, and whether it makes it one in tenge.
+AFTER_PRICE = {"₸": True, "&nbsp;₸": True, "</b><i> </i>тг": True, " тенге": True, " KZT": False, " тгк": False, "$": False}
+_IN_TENGE = tuple(k for k, counts in enumerate(AFTER_PRICE.values()) if counts)
 
 
-@registered(golden(PRICES, "prices"))
+@registered(f"SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber % {len(AFTER_PRICE)} IN {_IN_TENGE}) AS prices FROM lineitem GROUP BY l_orderkey")
 def price_counts(spark, sf_dir):
-    return cases(spark, sf_dir, PRICES).withColumn("prices", discovery.count_prices(F.col("raw")).cast("string"))
-
+    """A page for each order, its lines as tiles that write their currency in seven ways."""
+    line = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    price = F.translate(F.format_number(F.round("l_extendedprice").cast("long"), 0), ",", "\u00a0")
+    tile = F.concat(F.lit("<div><b>"), price, pick(F.col("l_linenumber"), list(AFTER_PRICE)), F.lit("</b></div>"))
+    page = line.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(tile)), "").alias("html"))
+    return page.select("l_orderkey", discovery.count_prices(F.col("html")).cast("long").alias("prices"))
 
-FORMS: list[tuple[str | None, str | None]] = [
-    ('<form action="/find"><input name="q"><input type="hidden" name="search"></form>', "/find?q={q}"),
-    ('<form method="POST"><input name="q"></form><form><input name="s" type=""></form>', "/?s={q}"),
-    ('{"target": "https://shop.example/s?text={search_term_string}"} <form action="/s"><input name="text"></form>', "/s?text={q}"),
-    ('<form action="/a?b=1"><input name="what now" placeholder="Поиск"><input name="mail"></form>', "/a?b=1&what%20now={q}"),
-    ('<form action="/search"><input name="one"><input name="two"></form>', "/search?one={q}|/search?two={q}"),
-    ('<form action="/find"><input name="q">', ""), ("", ""), (None, ""),
-]
 
-
-@registered(golden(FORMS, "templates"))
+@registered(
+    """WITH p AS (SELECT p_partkey AS k, p_name, p_size FROM part)
+SELECT k AS p_partkey, CASE k % 7 WHEN 0 THEN '/find/' || k || '?q={q}' WHEN 1 THEN '/?s={q}' WHEN 2 THEN '/s?text={q}&n=' || k || '|/s?text={q}'
+  WHEN 3 THEN '/a?b=' || p_size || '&' || replace(p_name, ' ', '%20') || '={q}'
+  WHEN 4 THEN '/search/' || p_size || '?' || string_split(p_name, ' ')[1] || '={q}|/search/' || p_size || '?' || string_split(p_name, ' ')[2] || '={q}'
+  ELSE '' END AS templates FROM p"""
+)
 def form_templates(spark, sf_dir):
-    found = discovery.templates(F.coalesce("raw", F.lit("")), F.lit("https://shop.example"))
-    return cases(spark, sf_dir, FORMS).withColumn("templates", F.array_join(found, "|"))
-
-
-def _cards(link: str, *titles: str) -> str:
-    return "".join(f'<div><a href="{link}{k}">{t}</a> {k + 1}0 000 ₸</div>' for k, t in enumerate(titles))
+    """Home pages with forms of each part: by the input's name, its hint, the form's address, a published action; posted, unclosed."""
+    k, n, name = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_name")
+    word = lambda at: F.get(F.split(name, " "), F.lit(at))
+    forms = [
+        ('<form action="/find/%s"><input name="q"><input type="hidden" name="search"></form>', k),
+        ('<form method="POST" action="/%s"><input name="q"></form><form><input name="s" type=""></form>', k),
+        ('{"target": "https://shop.example/s?text={search_term_string}&n=%s"} <form action="/s"><input name="text"></form>', k),
+        ('<form action="/a?b=%s"><input name="%s" placeholder="Поиск"><input name="mail"></form>', n, name),
+        ('<form action="/search/%s"><input name="%s"><input name="%s"></form>', n, word(0), word(1)),
+        ('<form action="/find/%s"><input name="q">', k), ('<form action="/order/%s"><input name="%s"></form>', k, name),
+    ]
+    html = F.get(F.array(*(F.format_string(form, *parts) for form, *parts in forms)), (F.col("p_partkey") % len(forms)).cast("int"))
+    found = discovery.templates(html, F.lit("https://shop.example"))
+    return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "|").alias("templates"))
 
 
-_THREE = ("Red Widget 15", "Widget-15 blue", "widget 16")
-LANDED: list[tuple[str, str, str]] = [
-    (_cards("/product/", *_THREE), "https://shop.example/search?q=x", "accepted"), (_cards("/product/", *_THREE), "https://other.example/search", ""),
-    (_cards("/product/", *_THREE), "https://shop.example/", ""), ('<div class="filter">', "https://shop.example/search", "client_rendered"),
-    (_cards("/blog/", *_THREE), "https://shop.example/search", ""), (_cards("/product/", "Widget 15", "Gadget 15", "15"), "https://shop.example/search", ""),
-    (_cards("https://www.shop.example/p/", *_THREE), "https://shop.example/search", "accepted"), (_cards("https://far.example/p/", *_THREE), "https://shop.example/search", ""),
+#: Where a search may land: address, whether that is the place asked for, and where its links lead to.
+LANDINGS = [
+    ("https://shop.example/search?q=x", True, "/product/"), ("https://other.example/search", False, "/product/"), ("https://shop.example/", False, "/product/"),
+    ("https://shop.example/search", True, "/blog/"), ("https://www.shop.example/find?q=x", True, "https://www.shop.example/p/"),
+    ("https://shop.example/search", True, "https://far.example/p/"),
 ]
 
 
-@registered(f"SELECT p_partkey, {pick_sql('p_partkey', [v for *_, v in LANDED])} AS verdict FROM part")
+@registered(
+    f"""WITH o AS (SELECT l_orderkey AS k, l_orderkey % {len(LANDINGS)} AS kind, count(*) AS prices,
+    count(*) FILTER (WHERE p_name LIKE '%widget' AND l_linenumber % 3 > 0) AS fitting FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT k AS l_orderkey, CASE WHEN kind IN {tuple(k for k, (_, there, link) in enumerate(LANDINGS) if there and "/p" in link and "far" not in link)} AND prices >= 3 AND fitting >= 2 THEN 'accepted'
+  WHEN kind IN {tuple(k for k, (_, there, _) in enumerate(LANDINGS) if there)} AND k // {len(LANDINGS)} % 3 = 0 AND prices < 3 THEN 'client_rendered' ELSE '' END AS verdict FROM o"""
+)
 def search_judged(spark, sf_dir):
-    html, landed = (pick(F.col("p_partkey"), [case[k] for case in LANDED]) for k in (0, 1))
+    """A page for each order, its lines as cards, two in three of them a "15"; who asked for widget 15 may have landed elsewhere."""
+    part = B.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    line = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    k, number = F.col("l_orderkey"), F.when(F.col("l_linenumber") % 3 > 0, 15).otherwise(16)
+    link, price = pick(k, [to for *_, to in LANDINGS]), F.translate(F.format_number(F.round("l_extendedprice").cast("long"), 0), ",", " ")
+    card = F.format_string('<div><a href="%sred-%d-a-%d">%s %d</a> %s ₸</div>', link, "l_linenumber", "l_linenumber", "p_name", number, price)
+    pages = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards"))
+    html = F.concat(F.when(F.floor(k / len(LANDINGS)) % 3 == 0, '<div class="filter"></div>').otherwise(""), "cards")
+    landed = pick(k, [url for url, *_ in LANDINGS])
     v = discovery.judged(html, landed, F.lit("https://www.shop.example/search?q=x"), ("widget", "15"))
     shown = F.when(v["accepted"], "accepted").when(v["client_rendered"], "client_rendered").otherwise("")
-    return B.table(spark, sf_dir, "part").select("p_partkey", shown.alias("verdict"))
-
-
-ANSWERS: list[str | None] = [
-    '{"searchTerm": " iPhone 15 PRO ", "brand": "Apple", "storageGb": 128, "ramGb": 1024, "category": "smartphone"}',
-    'Sure: ```json {"searchTerm": "iphone", "storageGb": 1.5, "category": "spaceship", "ramGb": 8}``` {done}',
-    "no object",
-    'so {"brand": 7, "model": " A1 ", "storageGb": "128", "ramGb": 12.0} it is',
-    None,
-    "} {",
-]
-_FILLED: dict[str, list[str | None]] = {
-    "search_term": ["iphone 15 pro", "phone", "phone", "phone", "phone", "phone"],
-    "model": [None, None, None, "a1", None, None],
-    "storage_gb": ["128", None, None, None, None, None],
-    "ram_gb": [None, "8", None, "12", None, None],
-    "category": ["smartphone", None, None, None, None, None],
-    "via": ["llm", "llm", "rules", "llm", "rules", "rules"],
-}
+    return pages.select("l_orderkey", shown.alias("verdict"))
+
+
+_OBJECT, _TERM = "p_partkey % 5 < 3", "p_partkey // 5 % 2 = 0"
 
 
 @registered(
-    f"""SELECT p_partkey, CASE WHEN p_partkey // 6 % 2 = 0 THEN 'samsung' WHEN p_partkey % 6 = 0 THEN 'apple' END AS brand,
-  {", ".join(f"{pick_sql('p_partkey', c)}{'::INT' if n.endswith('_gb') else ''} AS {n}" for n, c in _FILLED.items())} FROM part"""
+    f"""SELECT p_partkey, CASE WHEN {_OBJECT} AND {_TERM} THEN p_name || ' new' ELSE 'phone' END AS search_term,
+  CASE WHEN p_partkey // 10 % 2 = 0 THEN 'samsung' WHEN {_OBJECT} THEN lower(p_brand) END AS brand, CASE WHEN {_OBJECT} AND p_size % 4 > 0 THEN lower(p_type) END AS model,
+  CASE WHEN {_OBJECT} AND p_partkey // 20 % 3 = 0 AND p_size * 400 <= 16384 THEN p_size * 400 END::INT AS storage_gb, CASE WHEN {_OBJECT} AND p_size * 20 <= 512 THEN p_size * 20 END::INT AS ram_gb,
+  CASE WHEN {_OBJECT} AND p_size % 2 = 0 THEN 'laptop' END AS category, CASE WHEN {_OBJECT} THEN 'llm' ELSE 'rules' END AS via FROM part"""
 )
 def query_enrichment(spark, sf_dir):
-    none = F.lit(None)
+    """Answers on each part, bare, fenced and in prose, or none; sizes too large, broken or quoted, terms that lack a word."""
+    k, size, none = F.col("p_partkey"), F.col("p_size"), F.lit(None)
+    said = F.struct(
+        F.concat(F.lit(" "), F.when(F.floor(k / 5) % 2 == 0, F.initcap("p_name")).otherwise(F.reverse("p_name")), F.lit(" NEW ")).alias("searchTerm"),
+        F.col("p_brand").alias("brand"), F.when(size % 4 > 0, F.concat(F.lit(" "), "p_type")).otherwise(" ").alias("model"),
+        F.when(size % 2 == 0, "laptop").otherwise("spaceship").alias("category"), (size * 20).alias("ramGb"),
+    )
+    storage = F.when(F.floor(k / 20) % 3 == 0, (size * 400).cast("string")).when(F.floor(k / 20) % 3 == 1, F.concat(size.cast("string"), F.lit(".5")))
+    storage = F.coalesce(storage, F.concat(F.lit('"'), size.cast("string"), F.lit('"')))
+    whole = F.concat(F.regexp_replace(F.to_json(said), r"\}$", ""), F.lit(', "storageGb": '), storage, F.lit("}"))
+    fenced, prose = F.concat(F.lit("Sure:\n```json\n"), whole, F.lit("\n``` {done}")), F.concat(F.lit("so "), whole, F.lit(" it is"))
+    answer = F.when(k % 5 == 0, whole).when(k % 5 == 1, fenced).when(k % 5 == 2, prose).when(k % 5 == 3, F.concat("p_name", F.lit(": } no object {")))
     base = {
-        "search_term": F.lit("phone"), "brand": F.when(F.floor(F.col("p_partkey") / 6) % 2 == 0, "samsung"), "model": none.cast("string"),
-        "storage_gb": none.cast("int"), "ram_gb": none.cast("int"), "category": none.cast("string"),
-        "required_tokens": F.array(F.lit("iphone"), F.lit("15")),
+        "search_term": F.lit("phone"), "brand": F.when(F.floor(k / 10) % 2 == 0, "samsung"), "model": none.cast("string"),
+        "storage_gb": none.cast("int"), "ram_gb": none.cast("int"), "category": none.cast("string"), "required_tokens": F.split("p_name", " "),
     }
-    filled = answers.enriched(base, pick(F.col("p_partkey"), ANSWERS))
+    filled = answers.enriched(base, answer)
     return B.table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in filled.items()))
 
 
@@ -235,15 +252,26 @@ def verdict_grounding(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", answers.grounded(said, deals).alias("grounded"))
 
 
-CLIENTS: list[tuple[str | None, str | None]] = [
-    ("8.8.8.8, 10.0.0.1", "8.8.8.8"), (" 2001:db8::1 ", "2001:db8::1"), ("::1", "::1"), ("256.1.1.1", "anonymous"), ("host", "anonymous"), ("", "anonymous"),
-    (None, "anonymous"), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8"), ("1::2::3", "anonymous"), ("1:2:3:4:5:6:7::8", "anonymous"),
-]
+_V4 = "(n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256)"
 
 
-@registered(golden(CLIENTS, "client"))
+@registered(
+    f"""WITH a AS (SELECT o_orderkey AS k, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 7 = 0 THEN {_V4} WHEN k % 7 = 1 THEN printf('2001:db8::%x', n % 65536) WHEN k % 7 = 2 THEN printf('%x:%x:3:4:5:6:7:8', n // 65536, n % 65536)
+  WHEN k // 7 % 2 = 0 THEN {_V4} ELSE 'anonymous' END AS client FROM a"""
+)
 def client_keys(spark, sf_dir):
-    return cases(spark, sf_dir, CLIENTS).withColumn("client", guards.client_key(F.col("raw"), F.lit("not an address")))
+    """Two headers for each order: addresses of both kinds first in a list, or none there and perhaps one in the second."""
+    k = F.col("o_orderkey")
+    n = (k * F.lit(2654435761)) % F.lit(4294967296)
+    parts = [F.shiftright(n, s) % 256 for s in (24, 16, 8, 0)]
+    v4 = F.concat_ws(".", *(p.cast("string") for p in parts))
+    named = [
+        F.concat(v4, F.lit(", 10.0.0.1")), F.format_string(" 2001:db8::%x ", n % 65536), F.format_string("%x:%x:3:4:5:6:7:8,x", F.floor(n / 65536), n % 65536),
+        F.format_string("%d.%d.%d.%d", parts[0] + 256, *parts[1:]), F.format_string("host%d", k), F.format_string("1:2:3:%x:5:6:7::8", n % 65536), F.lit(None).cast("string"),
+    ]
+    second = F.when(F.floor(k / 7) % 2 == 0, F.concat(v4, F.lit(" "))).otherwise("not an address")
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", guards.client_key(F.get(F.array(*named), (k % 7).cast("int")), second).alias("client"))
 
 
 _KINDS, _DECLARED = ["application/json; charset=utf-8", "text/plain", "application/ld+json", None, "application/jsonp"], [None, "12", "5000", "-1", "x", ""]
@@ -262,9 +290,11 @@ def request_status(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", guards.request_status(*read, F.floor(k / 90) % 2 * 5001).alias("status"))
 
 
-LABELS: list[tuple[str | None, str | None]] = [*guards.FAILURE_LABEL.items(), ("odd", None), (None, None)]
+_LABELS = " ".join(f"WHEN {text.quoted(why)} THEN {text.quoted(shown)}" for why, shown in guards.FAILURE_LABEL.items())
 
 
-@registered(golden(LABELS, "label"))
+@registered(f"SELECT failure, CASE failure {_LABELS} END AS label, count(*) AS fetches FROM ({ORACLES['fetch_classify']}) GROUP BY failure")
 def failure_labels(spark, sf_dir):
-    return cases(spark, sf_dir, LABELS).withColumn("label", guards.failure_label(F.col("raw")))
+    """How the failures of all fetches are shown, and how many there are of each."""
+    failed = QUERIES["fetch_classify"](spark, sf_dir).groupBy("failure").agg(F.count("*").alias("fetches"))
+    return failed.select("failure", guards.failure_label(F.col("failure")).alias("label"), "fetches")

@@ -4,54 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import notices, query, web
+from ..functions import geo, notices, query, web
 from ..functions import values as V
 from ..functions.text import quoted
-from ..operators import budgets
+from ..operators import budgets, stores
 from ..sources import bindings as B
 from .search import ORACLES, QUERIES, registered  # noqa: F401
-from .web import cases, golden, pick, pick_sql
+from .web import pick, pick_sql
 
-IPS: list[tuple[str | None, bool]] = [
-    ("8.8.8.8", False), ("10.0.0.1", True), ("2606:4700:4700::1111", False), ("::1", True), ("::", True), ("fd00::1", True), ("fe80::1%eth0", True),
-    ("febf::1", True), ("fec0::1", False), ("ff02::1", True), ("2001::5", True), ("2001:1::5", False), ("2001:db8::1", True), ("2001:DB9::1", False),
-    ("2002:808:808::", True), ("64:ff9b::8.8.8.8", True), ("64:ff9b:1:ffff::", True), ("64:ff9b:2::1", False), ("100::1", True), ("100:0:0:1::", False),
-    ("::ffff:8.8.8.8", True), ("::FFFF:808:808", True), ("::192.168.1.1", True), ("[2a00:1450:4001:800::200e]", False), ("2a00:1450", True), ("shop", True),
-    ("1:2:3:4:5:6:7:8", False), ("1:2:3:4:5:6:7:8:9", True), ("1::2::3", True), ("fbff::1", False), ("1:2:3:4:5:6:8.8.8.8", False), ("", True), (None, True),
-    ("100.63.255.255", False), ("100.127.0.1", True),
-]
+#: First 32 bits of IPv6 networks and of some neighbours, which addresses are taken around.
+V6_HEADS = (0, 0x64FF9B, 0x1000000, 0x20010000, 0x20010DB8, 0x20020000, 0x2002FFFF, 0xFC000000, 0xFE000000, 0xFE800000, 0xFEC00000, 0xFF000000, 0x2A001450)
 
 
-@registered(golden(IPS, "reserved"))
-def ip_reserved(spark, sf_dir):
-    return cases(spark, sf_dir, IPS).withColumn("reserved", web.reserved_ip(F.col("raw")))
-
-
-#: Requests, and what they ask for: search term, brand, storage, RAM, category, tokens, accessory.
-ASKED: list[tuple[str | None, tuple]] = [
-    ("iPhone 15 Pro 256GB", ("iphone 15 pro", "apple", 256, None, "smartphone", "iphone 15 pro", None)),
-    ("Samsung Galaxy S24 12/256", ("samsung galaxy s24", "samsung", 256, 12, "smartphone", "samsung galaxy s24", None)),
-    ("чехол для iPhone 15", ("чехол iphone 15", "apple", None, None, "other", "чехол iphone 15", "case")),
-    ("RTX 4070 12GB", ("rtx 4070", None, 12, None, "component", "rtx 4070", None)),
-    ("ноутбук Lenovo 16GB 512GB", ("ноутбук lenovo", "lenovo", 512, 16, "laptop", "ноутбук lenovo", None)),
-    ("iphone 12/128", ("iphone 12", "apple", 128, None, "smartphone", "iphone 12", None)),
-    ("  PS5 ", ("ps5", None, None, None, "console", "ps5", None)),
-    ("робот пылесос", ("робот пылесос", None, None, None, None, "робот пылесос", None)),
-    (None, ("", None, None, None, None, "", None)),
-]
-_FIELDS = ("search_term", "brand", "storage", "ram", "category", "tokens", "accessory")
-_PICKED = ", ".join(
-    f"{pick_sql('p_partkey', [None if a[k] is None else str(a[k]) for _, a in ASKED])}{'::INT' if n in ('storage', 'ram') else ''} AS {n}"
-    for k, n in enumerate(_FIELDS)
+@registered(
+    f"""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey * 2654435761) % 4294967296
+    ELSE greatest({list(V6_HEADS)}[o_orderkey % {len(V6_HEADS)} + 1]::BIGINT + (o_orderkey // 52) % 3 - 1, 0) END AS h FROM orders),
+g AS (SELECT *, k // 156 % 3 AS g2, k // 468 % 2 AS g5 FROM a)
+SELECT k AS o_orderkey, CASE k % 3 WHEN 0 THEN printf('%x:%x:%x:0:0:%x:%x:%x', h // 65536, h % 65536, g2, g5, k % 65536, k % 9 + 1)
+    WHEN 1 THEN printf('%x:%x:%x::%x:%x:%x', h // 65536, h % 65536, g2, g5, k % 65536, k % 9 + 1)
+    ELSE printf('[%X:%04X:%X::%X:%X:%X]', h // 65536, h % 65536, g2, g5, k % 65536, k % 9 + 1) END AS ip,
+  (h = 0 AND g2 = 0 AND g5 = 0) OR (h = 6619035 AND (g2 = 1 OR g2 = 0 AND g5 = 0)) OR (h = 16777216 AND g2 = 0) OR h IN (536936448, 536939960)
+    OR h // 65536 = 8194 OR h // 33554432 = 126 OR h // 4194304 = 1018 OR h // 16777216 = 255 AS reserved FROM g"""
 )
+def ip_reserved(spark, sf_dir):
+    """IPv6 addresses all over the space and at the edges of the reserved networks, in full, shortened and in brackets."""
+    k = F.col("o_orderkey")
+    around = F.greatest(F.get(F.array(*(F.lit(h).cast("long") for h in V6_HEADS)), (k % len(V6_HEADS)).cast("int")) + F.floor(k / 52) % 3 - 1, F.lit(0))
+    h = F.when(k % 4 == 0, (k * F.lit(2654435761)) % F.lit(4294967296)).otherwise(around)
+    groups = [F.floor(h / 65536), h % 65536, F.floor(k / 156) % 3, F.floor(k / 468) % 2, k % 65536, k % 9 + 1]
+    short = lambda form: F.format_string(form, *groups)
+    ip = F.when(k % 3 == 0, short("%x:%x:%x:0:0:%x:%x:%x")).when(k % 3 == 1, short("%x:%x:%x::%x:%x:%x")).otherwise(short("[%X:%04X:%X::%X:%X:%X]"))
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", ip.alias("ip"), web.reserved_ip(ip).alias("reserved"))
+
+
+_LEADS = ["Apple", "Samsung", "lenovo", "XIAOMI", "Bosch"]
+_RAMS, _STORAGES = (4, 8, 12, 16), (64, 128, 256, 512)
 
 
-@registered(f"SELECT p_partkey, {_PICKED} FROM part")
+@registered(
+    f"""WITH r AS (SELECT p_partkey, p_partkey % 6 AS kind, replace(p_name, 'new ', '') AS name, lower({pick_sql("(p_partkey // 6)", _LEADS)}) AS lead,
+  {list(_RAMS)}[p_size % 4 + 1] AS r, {list(_STORAGES)}[p_size // 4 % 4 + 1] AS s, (p_size % 3 + 1) * 1024 AS t FROM part)
+SELECT p_partkey, CASE kind WHEN 0 THEN lead || ' ' || name WHEN 1 THEN lead || ' smartphone ' || name WHEN 2 THEN 'чехол ' || name
+    WHEN 3 THEN 'ноутбук ' || name WHEN 4 THEN 'rtx 4070 ' || name ELSE lead || ' ' || name END AS search_term,
+  CASE WHEN kind IN (0, 1, 5) THEN lead END AS brand, CASE kind WHEN 4 THEN r WHEN 5 THEN t ELSE s END::INT AS storage, CASE WHEN kind IN (1, 3) THEN r END::INT AS ram,
+  CASE kind WHEN 1 THEN 'smartphone' WHEN 2 THEN 'other' WHEN 3 THEN 'laptop' WHEN 4 THEN 'component' END AS category, search_term AS tokens,
+  CASE WHEN kind = 2 THEN 'case' END AS accessory FROM r"""
+)
 def parse_requests(spark, sf_dir):
-    rows = cases(spark, sf_dir, ASKED)
-    each = rows.select("raw").distinct().select(F.col("raw").alias("_raw"), query.parsed(F.col("raw")).alias("r"))
-    joined = rows.join(each, F.col("raw").eqNullSafe(F.col("_raw")))
-    return joined.select("p_partkey", *(F.concat_ws(" ", "r.tokens").alias(n) if n == "tokens" else F.col(f"r.{n}") for n in _FIELDS))
+    """Requests for each part in six manners: with a brand, as a phone, a case, a laptop, a component, with terabytes."""
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    of = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    lead, r, s = pick(F.floor(k / 6), _LEADS), of(_RAMS, size), of(_STORAGES, F.floor(size / 4))
+    asked = [
+        ("  Купить %s %s %dGB ", lead, name, s), ("%s smartphone %s %d/%d", lead, name, r, s), ("чехол для %s %d гб", name, s),
+        ("ноутбук %s %dGB RAM %dGB SSD", name, r, s), ("RTX 4070 %s %d GB", name, r), ("%s %s %dTB", lead, name, size % 3 + 1),
+    ]
+    raw = F.get(F.array(*(F.format_string(form, *parts) for form, *parts in asked)), (k % 6).cast("int"))
+    rows = B.table(spark, sf_dir, "part").select("p_partkey", query.parsed(raw).alias("r"))
+    fields = ("search_term", "brand", "storage", "ram", "category", "accessory")
+    return rows.select("p_partkey", F.concat_ws(" ", "r.tokens").alias("tokens"), *(F.col(f"r.{n}") for n in fields))
 
 
 FAILURES = [None, "blocked", None, "no-listings"]
@@ -161,7 +172,22 @@ def search_notices(spark, sf_dir):
 _CITIES = ", ".join(f"('{c}', {lat}::DOUBLE, {lon}::DOUBLE)" for c, lat, lon in V.CITIES)
 
 
-@registered(f"SELECT city, lat, lon, unnest({V.RADIUS_STOPS}) AS radius_m FROM (VALUES {_CITIES}) AS c(city, lat, lon)")
+_CITY_M = geo.haversine_sql("c.lat", "c.lon", "s.lat", "s.lon")
+
+
+@registered(
+    f"""WITH {B.STORES}, c AS (SELECT * FROM (VALUES {_CITIES}) AS v(city, lat, lon)),
+d AS (SELECT city, round({_CITY_M})::BIGINT AS m FROM c, stores s)
+SELECT city, c.lat, c.lon, radius_m, (SELECT count(*) FROM d WHERE d.city = c.city AND d.m <= radius_m) AS stores
+FROM c, (SELECT unnest({V.RADIUS_STOPS}) AS radius_m)"""
+)
 def search_choices(spark, sf_dir):
+    """Where a search may start and how far it may go, with the stores that each choice reaches: a range join on cells, then
+    partial sums of a row for each city and radius."""
     cities = spark.createDataFrame(V.CITIES, "city string, lat double, lon double")
-    return cities.withColumn("radius_m", F.explode(F.array(*map(F.lit, V.RADIUS_STOPS))))
+    asking = cities.select(F.col("city").alias("shopper"), "lat", "lon", F.lit(max(V.RADIUS_STOPS)).alias("radius_m"))
+    met = stores.within_reach(asking, B.stores(spark, sf_dir).select("id", "lat", "lon"))
+    reached = met.groupBy("shopper").agg(*(F.count_if(F.col("distance_m") <= r).alias(f"r{r}") for r in V.RADIUS_STOPS))
+    counts = F.array(*(F.struct(F.lit(r).alias("radius_m"), F.coalesce(f"r{r}", F.lit(0)).alias("stores")) for r in V.RADIUS_STOPS))
+    joined = cities.join(reached, F.col("city") == F.col("shopper"), "left")
+    return joined.select("city", "lat", "lon", F.inline(counts))

@@ -21,16 +21,6 @@ def pick_sql(key: str, choices: list[str | None]) -> str:
     return f"[{', '.join('NULL' if c is None else quoted(c) for c in choices)}][({key} % {len(choices)} + 1)::INT]"
 
 
-def golden(cases: list[tuple[str | None, str | bool | None]], name: str) -> str:
-    """SQL of a table of cases picked by p_partkey."""
-    values = ", ".join("NULL" if b is None else str(b).lower() if isinstance(b, bool) else quoted(b) for _, b in cases)
-    return f"SELECT p_partkey, {pick_sql('p_partkey', [a for a, _ in cases])} AS raw, [{values}][(p_partkey % {len(cases)} + 1)::INT] AS {name} FROM part"
-
-
-def cases(spark, sf_dir, cases: list[tuple[str | None, str | bool | None]]) -> DataFrame:
-    return B.table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [a for a, _ in cases]).alias("raw"))
-
-
 @registered(
     """WITH n AS (SELECT o_orderkey, round(o_totalprice)::BIGINT AS n, printf('%.2f', o_totalprice) AS d FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(d::DOUBLE + 0.5)::BIGINT WHEN 2 THEN n + 1 ELSE n END AS price FROM n"""
@@ -46,39 +36,47 @@ def parse_price(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", web.parse_price(raw).alias("price"))
 
 
-AVAILABILITY: list[tuple[str | None, bool | None]] = [
-    ("https://schema.org/InStock", True), ("OutOfStock", False), ("нет в наличии", False), ("Есть в наличии", True), ("data-available='false'", False),
-    ("available: true", True), ("unavailable", False), ("now available", True), ("", None), (None, None), ("не в наличии", False), ("soon", None),
-]
+#: What a listing may say of its stock, and what that means.
+STOCK_PHRASES: dict[str, bool | None] = {
+    "https://schema.org/InStock": True, "https://schema.org/OutOfStock": False, "нет в наличии": False, "Есть в наличии": True, "data-available='false'": False,
+    "available: true": True, "unavailable": False, "now available": True, "soon": None, "не в наличии": False, "SoldOut": False, "LimitedAvailability": True,
+    "ask in the shop": None,
+}
+_STATES = f"[{', '.join('NULL' if s is None else str(s).lower() for s in STOCK_PHRASES.values())}]"
 
 
-@registered(golden(AVAILABILITY, "in_stock"))
+@registered(
+    f"""WITH p AS (SELECT o_orderkey, {_STATES}[o_orderkey % {len(STOCK_PHRASES)} + 1] AS a, {_STATES}[o_orderkey // {len(STOCK_PHRASES)} % {len(STOCK_PHRASES)} + 1] AS b FROM orders)
+SELECT o_orderkey, CASE WHEN a IS FALSE OR b IS FALSE THEN false WHEN a OR b THEN true END AS in_stock FROM p"""
+)
 def availability(spark, sf_dir):
-    return cases(spark, sf_dir, AVAILABILITY).withColumn("in_stock", web.availability(F.col("raw")))
+    """Texts with two phrases around an order's priority: a denial outweighs a statement."""
+    k, phrases = F.col("o_orderkey"), list(STOCK_PHRASES)
+    raw = F.concat_ws(" | ", pick(k, phrases), F.lower("o_orderpriority"), pick(F.floor(k / len(phrases)), phrases))
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", web.availability(raw).alias("in_stock"))
 
 
-DOMAINS: list[tuple[str | None, str | None]] = [
-    ("https://www.Shop.example/path?x=1", "shop.example"), ("shop.example", "shop.example"), ("http://user@shop.example", None), ("ftp://shop.example", None),
-    ("HTTPS://A.B.example", "a.b.example"), (None, None), ("", None), ("www.www.example", "www.example"),
-]
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 
-@registered(golden(DOMAINS, "domain"))
-def url_normalise(spark, sf_dir):
-    return cases(spark, sf_dir, DOMAINS).withColumn("domain", web.normalised_domain(F.col("raw")))
+def _host(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
 
 
-URLS: list[tuple[str | None, bool]] = [
-    ("https://shop.example/a", True), ("http://shop.example:80/", True), ("https://shop.example:8443/", False), ("http://localhost/", False),
-    ("http://x.internal/", False), ("http://router/", False), ("http://10.1.2.3/", False), ("http://8.8.8.8/", True), ("https://u:p@shop.example/", False),
-    ("file:///etc/passwd", False), (None, False), ("http://172.20.0.1/x", False), ("http://172.32.0.1/x", True),
-    ("https://[2606:4700:4700::1111]/", True), ("https://[2606:4700:4700::1111]:443/", True), ("https://[::1]/", False), ("http://[fd00::1]/x", False),
-]
-
-
-@registered(golden(URLS, "public"))
-def safe_url(spark, sf_dir):
-    return cases(spark, sf_dir, URLS).withColumn("public", web.public_url(F.col("raw")))
+@registered(
+    rf"""SELECT page_id, kind, CASE WHEN kind < 4 THEN regexp_replace(lower({_HOST}), '^www\.', '') END AS domain
+FROM pages, (SELECT unnest(range(7)) AS kind)"""
+)
+def url_normalise(spark, sf_dir):
+    """Website tags in seven spellings of each page's address, the last three of them no website."""
+    url, host = F.col("url"), _host(F.col("url"))
+    spelt = [
+        url, F.concat(F.lit("  "), host, F.lit(" ")), F.concat(F.lit("HTTPS://WWW."), F.upper(F.regexp_replace(host, r"^www\.", "")), F.lit("/X?y=1")),
+        F.concat(host, F.lit(":8080/a")), F.concat(F.lit("ftp://"), host), F.concat(F.lit("http://user@"), host, F.lit("/")),
+        F.concat(F.lit("https://"), host, F.lit("/"), F.repeat(F.lit("x"), F.lit(4096))),
+    ]
+    each = B.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*spelt)).alias("kind", "raw"))
+    return each.select("page_id", F.col("kind").cast("long").alias("kind"), web.normalised_domain(F.col("raw")).alias("domain"))
 
 
 _NETS = " OR ".join(
@@ -88,6 +86,28 @@ _NETS = " OR ".join(
 )
 
 
+_PUBLIC_KINDS = (0, 1, 2)
+
+
+@registered(
+    f"""WITH a AS (SELECT page_id, kind, (page_id * 2654435761 + 12345) % 4294967296 AS n FROM pages, (SELECT unnest(range(12)) AS kind))
+SELECT page_id, kind, CASE WHEN kind >= 10 THEN NOT ({_NETS}) ELSE kind IN {_PUBLIC_KINDS} END AS public FROM a"""
+)
+def safe_url(spark, sf_dir):
+    """Each page's address as it is and with its scheme's port, then in ways that may not be fetched, then under IPv4 hosts."""
+    n = (F.col("page_id") * F.lit(2654435761) + 12345) % F.lit(4294967296)
+    ip = F.concat_ws(".", *((F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)))
+    host = _host(F.col("url"))
+    at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    forms = [
+        F.col("url"), at("http://", host, ":80/x"), at("HTTPS://", host, ":443"), at("https://", host, ":8443/x"), at("https://u:p@", host, "/"),
+        at("ftp://", host, "/x"), at("http://", host, ".internal/x"), at("http://shop", F.col("page_id").cast("string"), "/"), at("http://localhost/?", host),
+        at("https://", host, "/", F.repeat(F.lit("x"), F.lit(4096))), at("http://", ip, "/x"), at("https://", ip, ":443/"),
+    ]
+    each = B.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*forms)).alias("kind", "raw"))
+    return each.select("page_id", F.col("kind").cast("long").alias("kind"), web.public_url(F.col("raw")).alias("public"))
+
+
 @registered(
     f"""WITH a AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders)
 SELECT o_orderkey, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS ip, ({_NETS}) AS reserved FROM a"""
@@ -141,14 +161,21 @@ def fetch_classify(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", found.alias("failure"))
 
 
-RECORDS: list[tuple[str | None, str | None]] = [
-    ('data: {"a": 1}', '{"a": 1}'), ("data:x\ndata:  y", "x\n y"), (": comment", None), ("event: tick\r\ndata: z\r\nid: 4", "z"), ("data", ""), ("database: 1", None),
-]
-
-
-@registered(golden(RECORDS, "data").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '"))
+@registered(
+    """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 4 OR text IS NULL THEN NULL WHEN turn % 2 = 1 THEN text
+  ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^ ', '')), chr(10)) END AS data FROM conversations"""
+)
 def sse_parse(spark, sf_dir):
-    return cases(spark, sf_dir, RECORDS).withColumn("data", web.sse_data(F.col("raw")))
+    """Each turn of a conversation as a server-sent record with a data line a line, under all three line ends; one in five has no data."""
+    k = F.col("conv_id") + F.col("turn")
+    mark = F.when(F.col("turn") % 2 == 1, "data: ").otherwise("data:")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(mark, x))
+    none = F.array().cast("array<string>")
+    head = F.array(F.lit(": a comment"), F.concat(F.lit("event: "), "role"), F.concat(F.lit("id: "), F.col("turn").cast("string")), F.lit("database: 1"))
+    kept = F.when(k % 5 == 4, none).otherwise(F.coalesce(lines, none))
+    end = F.when(k % 3 == 0, "\n").when(k % 3 == 1, "\r\n").otherwise("\r")
+    record = F.aggregate(F.concat(head, kept), F.lit(""), lambda acc, x: F.concat(acc, x, end))
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", web.sse_data(record).alias("data"))
 
 
 HOUR_US = 3_600_000_000
