@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Confidences that the fold in pieces tries, at most.
+MOST_LEVELS = 1_000
 
 _own: dict[str, str] = {}
 
@@ -80,18 +82,53 @@ def best_of(confidence: np.ndarray, price: np.ndarray, start: int, tolerance: fl
         at += 1 + int(beats.argmax())
 
 
+def _streamed(rows: DataFrame, fields: list[str], tolerance: float) -> DataFrame:
+    """The fold's best row of each domain, each domain read in order by one task that holds a batch at a time."""
+    plain = rows.select("domain", "confidence", "price", *(F.col(f"at.{f}").alias(f"_{f}") for f in fields))
+    names = [f"_{f}" for f in fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for batch in batches:
+            for _, group in batch.groupby("domain", dropna=False, sort=False):
+                if best is not None:
+                    if _same(best.domain.iloc[0], group.domain.iloc[0]):
+                        group = pd.concat([best, group])
+                    else:
+                        yield best[["domain", *names]]
+                at = best_of(group.confidence.to_numpy(), group.price.to_numpy(), 0, tolerance)
+                best = group.iloc[[at]]
+        if best is not None:
+            yield best[["domain", *names]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    sorted_ = plain.repartition("domain").sortWithinPartitions("domain", *names)
+    ends = sorted_.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("domain", *names)))
+    at = F.struct(*(F.col(n).alias(f) for n, f in zip(names, fields, strict=True)))
+    ends = ends.select(F.col("domain").alias("_d"), at.alias("_at"))
+    picked = rows.join(ends, F.col("domain").eqNullSafe(F.col("_d")) & (F.col("at") == F.col("_at")))
+    return picked.drop("_d", "_at").dropDuplicates(["domain"])
+
+
+def _same(a: str | None, b: str | None) -> bool:
+    return (pd.isna(a) and pd.isna(b)) or a == b
+
+
 def best_listings(rows: DataFrame, tolerance: float) -> DataFrame:
     """The fold's best row of each domain: rows have domain, at (struct of their order), confidence,
     price and others.
 
     A piece meets an incoming best of each confidence that occurs at all (a small set: it comes of
     few tokens): either a much surer row replaces it, whatever it costs, or one of the ever cheaper
-    rows within the tolerance, the first that is cheaper than the incoming one. Ties in price keep
-    the earlier row; a NULL domain is a domain; at holds no NULL; no rows give none.
+    rows within the tolerance, the first that is cheaper than the incoming one. Where more than
+    MOST_LEVELS confidences occur, each domain is one sorted stream instead. Ties in price keep the
+    earlier row; a NULL domain is a domain; at holds no NULL; no rows give none.
     """
     fields = [f.name for f in rows.schema["at"].dataType.fields]
     keyed = pieces(rows, "domain", [f"at.{f}" for f in fields])
-    levels = [float(r[0]) for r in keyed.select("confidence").distinct().orderBy("confidence").collect()]
+    levels = [float(r[0]) for r in keyed.select("confidence").distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        return _streamed(keyed.drop("piece"), fields, tolerance)
     flat = keyed.select("domain", "piece", "confidence", "price", *(F.col(f"at.{f}").alias(f"_{f}") for f in fields))
     names = [f"_{f}" for f in fields]
     kinds = ", ".join(f"_{f.name} {f.dataType.simpleString()}" for f in rows.schema["at"].dataType.fields)
@@ -161,9 +198,9 @@ def anchored_windows(events: DataFrame, key: str, ts: str, tie: str, width_us: i
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         us = pdf.us.to_numpy()
         nxt = np.searchsorted(us, us + width_us)
-        last = np.arange(len(us))
-        for i in range(len(us) - 1, -1, -1):
-            last[i] = last[nxt[i]] if nxt[i] < len(us) else i
+        last = np.where(nxt < len(us), nxt, np.arange(len(us)))
+        while (further := last[last] != last).any():  # twice as many windows ahead each time
+            last = np.where(further, last[last], last)
         first = int(np.searchsorted(us, us[0] + width_us))  # a window from before ends by then
         may = np.flatnonzero(np.concatenate([[True], us[1:] != us[:-1]]))
         may = may[may <= first]

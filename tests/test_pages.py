@@ -115,7 +115,7 @@ def test_products_without_an_offer_hide_what_they_hold(spark):
 
 def test_rate_limit_against_a_plain_fold_and_its_stream(spark, tmp_path):
     r = random.Random(3)
-    rows = [(k, r.randint(0, 4), k * 1_000_000 * r.randint(1, 30)) for k in range(300)]
+    rows = [(k, r.randint(0, 4), (k + 1) * 1_000_000 * r.randint(1, 30)) for k in range(300)]  # a watermark starts at 1970: nothing lies there
     table = spark.createDataFrame(rows, "id long, key long, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
     state, want = {}, {}
     for i, key, us in sorted(rows, key=lambda x: (x[2], x[0])):
@@ -140,6 +140,32 @@ def test_rate_limit_against_a_plain_fold_and_its_stream(spark, tmp_path):
     assert {x.key: x.n for x in streamed} == plain
 
 
+def test_rate_limit_forgets_keys_whose_window_is_over(spark, tmp_path):
+    day = 86_400
+    for part in range(4):  # other keys each day
+        rows = [(part * 10 + k % 5, part * day + k) for k in range(40)]
+        table = spark.createDataFrame(rows, "key long, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+        table.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = windows.rate_limited(source, "key", "ts", 3, 60_000_000).writeStream.format("memory").queryName("forgotten").outputMode("append")
+    query = query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 10 and held[-1] <= 5  # of twenty keys
+    assert spark.table("forgotten").where("allowed").count() == 4 * 5 * 3
+
+
+def test_latest_event_of_a_stream(spark, tmp_path):
+    rows = [(k % 3, (k * 7) % 50, f"v{k}") for k in range(50)]
+    table = spark.createDataFrame(rows, "key long, at long, v string")
+    table.repartition(4).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = windows.latest(source, "key", "at", ["v"]).writeStream.format("memory").queryName("latest_of").outputMode("complete")
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
+    want = {key: max((at, v) for k, at, v in rows if k == key)[1] for key in range(3)}
+    assert {r.key: r.v for r in spark.table("latest_of").collect()} == want
+
+
 def test_stores_without_a_name_end_the_dedupe(spark):
     rows = [(1, "a", 43.0, 76.0, 10), (2, None, 43.0, 76.0, 5), (3, "A", 43.0001, 76.0, 12), (4, "a", None, 76.0, 3)]
     table = spark.createDataFrame(rows, "pos long, name string, lat double, lon double, distance_m long")

@@ -75,6 +75,20 @@ def test_fold_is_the_sequential_one(spark):
     assert chunks.best_listings(frame.limit(0), V.TOLERANCE).count() == 0
 
 
+def test_fold_of_many_confidences(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", None]), k, r.random(), r.randint(1, 400)) for k in range(3000)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "domain string, k long, confidence double, price long").select("domain", F.struct("k").alias("at"), "confidence", "price")
+    want = {d: _fold(sorted(x[1:] for x in rows if x[0] == d))[0] for d in ("a", "b", None)}
+    assert {x.domain: x["at"].k for x in chunks.best_listings(frame, V.TOLERANCE).collect()} == want  # more than MOST_LEVELS of them
+    few = frame.withColumn("confidence", F.round("confidence", 1))
+    want = {x.domain: x["at"].k for x in chunks.best_listings(few, V.TOLERANCE).collect()}
+    monkeypatch.setattr(chunks, "MOST_LEVELS", 3)
+    assert {x.domain: x["at"].k for x in chunks.best_listings(few, V.TOLERANCE).collect()} == want
+    assert chunks.best_listings(few.limit(0), V.TOLERANCE).count() == 0
+
+
 def test_anchored_windows_are_the_sequential_ones(spark):
     r = random.Random(5)
     events = [(r.choice("aaab"), k, r.randint(0, 5000)) for k in range(2000)]
