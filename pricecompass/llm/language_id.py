@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
 from .ngrams import let
 
-#: Buckets of letter n-grams. More than CELLS / BUCKETS languages share out CELLS, in fewer buckets
-#: each, so that the table has a size bound and still every labelled language.
-BUCKETS = 1 << 14
-CELLS = 1 << 22
-LEAST_BUCKETS = 1 << 9
+#: Buckets of letter n-grams of every language, however many there are.
+BITS = 14
+BUCKETS = 1 << BITS
 ORDER = 3
 #: n-grams that all languages together lend to each: a rare one isn't flattened by its few texts.
 SMOOTH = 1000.0
@@ -67,87 +65,105 @@ def visible(html: str) -> str:
     return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts)))
 
 
-def grams(text: str, bits: int) -> np.ndarray:
-    """Buckets, 2^bits of them, of the letter n-grams (1 to ORDER bytes) of a text."""
+def grams(text: str) -> np.ndarray:
+    """Buckets of the letter n-grams (1 to ORDER bytes) of a text."""
     b = _FOLD[np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)]
     out, h = [], np.zeros(len(b), np.uint64)
     for k in range(ORDER):
         h = h[: len(b) - k] * np.uint64(257) + b[k:]
         keep = h != np.uint64(32) if k == 0 else np.ones(len(h), bool)
         mixed = (h[keep] + np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
+        out.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
     return np.concatenate(out)
 
 
 class Languages:
-    """Names of the labelled languages and log probabilities of buckets, CELLS of them at most."""
-
-    def __init__(self, labelled: DataFrame) -> None:
-        """labelled: (text, lang). Each task sums its own n-grams; of the sums, CELLS rows at most come
-        to the driver."""
-        known = labelled.where("lang is not null and text is not null")
-        self.names = sorted(r.lang for r in known.select("lang").distinct().collect())
-        index = {n: k for k, n in enumerate(self.names)}
-        each = max(min(CELLS // max(len(index), 1), BUCKETS), LEAST_BUCKETS)
-        self.bits = bits = each.bit_length() - 1
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
-                    k = index[lang.as_py()]
-                    if k not in sums:
-                        sums[k] = np.zeros(1 << bits, np.int64)
-                    sums[k] += np.bincount(grams(text.as_py(), bits), minlength=1 << bits)
-            for k, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], ["k", "bucket", "n"])
-
-        table = np.zeros((len(index), 1 << bits))
-        if index:
-            counted = known.select("text", "lang").mapInArrow(count, "k long, bucket long, n long")
-            found = counted.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-            k, bucket, n = (c.to_numpy() for c in found.columns)
-            table[k, bucket] = n
-        pooled = (table.sum(0, keepdims=True) + 1) / (table.sum() + (1 << bits))
-        self.log = np.log((table + SMOOTH * pooled) / (table.sum(1, keepdims=True) + SMOOTH)) if index else table
+    """Names of languages and how much likelier each makes a bucket than what all languages lend it.
+
+    Only buckets that a language's texts hold are kept, bucket by bucket: a language adds what its own
+    texts have, and no other language's weights depend on how many there are.
+    """
+
+    def __init__(self, names: list[str], k: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
+        """Counts n of a bucket in the texts of language k, each pair once."""
+        self.names = names
+        pooled = (np.bincount(bucket, n, BUCKETS) + 1) / (n.sum() + BUCKETS)
+        order = np.lexsort((k, bucket))
+        self.lang, at, n = k[order], bucket[order], n[order]
+        self.start = np.searchsorted(at, np.arange(BUCKETS + 1))
+        self.gain = np.log1p(n / (SMOOTH * pooled[at]))
+        size = np.bincount(self.lang, n, len(names))
+        self.size = np.log(size + SMOOTH)
+        self.unseen = (size == 0) & size.any()  # nothing was learned of them, so no text is theirs
 
     def posterior(self, text: str) -> np.ndarray:
         """Probability of each language by the text alone, all of them alike before."""
-        g = grams(text, self.bits)
-        if len(g) > self.log.shape[1]:
-            s = self.log @ np.bincount(g, minlength=self.log.shape[1]) / OVERLAP
-        else:
-            s = self.log[:, g].sum(1) / OVERLAP if len(g) else np.zeros(len(self.names))
+        c = np.bincount(grams(text), minlength=BUCKETS)
+        at = np.flatnonzero(c)
+        first, many = self.start[at], self.start[at + 1] - self.start[at]
+        cell = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        gain = np.bincount(self.lang[cell], np.repeat(c[at], many) * self.gain[cell], len(self.names))
+        s = np.where(self.unseen, -np.inf, (gain - c.sum() * self.size) / OVERLAP)
         p = np.exp(s - s.max())
         return p / p.sum()
 
 
-def read_texts(rows: DataFrame, languages: Languages) -> DataFrame:
+def learned(labelled: DataFrame, half: str | None = None) -> list[Languages]:
+    """Languages of (text, lang). With half, a column of 0 and 1, two of them over the same names: the
+    first has learned from the texts of half 1 and judges those of half 0, the second the other way.
+
+    Each task sums its own n-grams; of the sums, BUCKETS rows a language and half at most come to the
+    driver. A language that only one half has is found in the other alone.
+    """
+    known = labelled.where("lang is not null and text is not null")
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    index = {n: k for k, n in enumerate(names)}
+    of = known.select("text", "lang", (F.lit(0) if half is None else 1 - F.coalesce(half, F.lit(0))).cast("int").alias("model"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for text, lang, model in zip(b.column("text"), b.column("lang"), b.column("model").to_pylist(), strict=True):
+                key = (model, index[lang.as_py()])
+                if key not in sums:
+                    sums[key] = np.zeros(BUCKETS, np.int64)
+                sums[key] += np.bincount(grams(text.as_py()), minlength=BUCKETS)
+        for (model, k), n in sums.items():
+            at = np.flatnonzero(n)
+            columns = [np.full(len(at), model), np.full(len(at), k), at, n[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["model", "k", "bucket", "n"])
+
+    counted = of.mapInArrow(count, "model long, k long, bucket long, n long").groupBy("model", "k", "bucket").agg(F.sum("n").alias("n"))
+    model, k, bucket, n = (c.to_numpy() for c in counted.toArrow().columns)
+    return [Languages(names, *(x[model == m] for x in (k, bucket, n))) for m in range(1 if half is None else 2)]
+
+
+def read_texts(rows: DataFrame, languages: list[Languages], half: str | None = None) -> DataFrame:
     """(id columns..., declared, host, domain, suffix, p): rows have text or html, url or host, declared.
 
-    p is the text's posterior over the languages.
+    p is the text's posterior over the languages, as the model of the row's half has it (NULL: 0).
     """
     shared = rows.sparkSession.sparkContext.broadcast(languages)
-    ids = [c for c in rows.columns if c not in ("text", "html", "declared", "url", "host")]
+    rows = rows.withColumn("_model", (F.lit(0) if half is None else F.coalesce(half, F.lit(0))).cast("int"))
+    ids = [c for c in rows.columns if c not in ("text", "html", "declared", "url", "host", "_model")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for b in batches:
             p, declared = [], []
-            for text, html, said in zip(b.text, b.html, b.declared, strict=True):
+            for text, html, said, model in zip(b.text, b.html, b.declared, b._model, strict=True):
                 if html is not None:
                     text = visible(html)
                     m = _HTML_LANG.search(html)
                     said = m[1] if m else said
-                p.append(known.posterior(text or ""))
+                p.append(known[model].posterior(text or ""))
                 declared.append(None if said is None else said.lower())
             yield b[[*ids, "host"]].assign(declared=declared, p=p)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     host = F.coalesce(F.col("host"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), "host string", "declared string", "p array<double>"])
-    read = rows.withColumn("host", host).select(*ids, "text", "html", "declared", "host").mapInPandas(run, schema)
+    read = rows.withColumn("host", host).select(*ids, "text", "html", "declared", "host", "_model").mapInPandas(run, schema)
     labels = F.split("host", r"\.")
     dotted = F.size(labels) > 1
     return read.withColumns(
@@ -171,14 +187,16 @@ def _shrunk(seen: Column, own: Column, toward: Column) -> Column:
     return F.transform(seen, lambda x, i: (F.greatest(x - F.get(own, i), F.lit(0.0)) + F.lit(WORTH) * F.get(toward, i)) / total)
 
 
-def fuse(read: DataFrame, languages: Languages) -> DataFrame:
+def fuse(read: DataFrame, names: list[str]) -> DataFrame:
     """read with lang and probability: the best language of the fused posterior.
 
     A document's own posterior is taken out of what its host, domain, suffix and declaration have seen.
+    Rows meet what their site has seen in a join that deals hot sites over salts.
     """
-    n = len(languages.names)
-    read = staged(read, "languages")
+    n = len(names)
     keys = ["host", "domain", "suffix", "declared"]
+    site = F.to_json(F.struct(*keys))  # names what is there, so NULL and empty differ
+    read = staged(read.withColumn("_site", site), "languages")
     cells = staged(_grouped(read, keys, n), "sites")
 
     def level(of: list[str], name: str) -> DataFrame:
@@ -192,10 +210,7 @@ def fuse(read: DataFrame, languages: Languages) -> DataFrame:
     for of, name in ((["domain"], "in_domain"), (["domain", "host"], "in_host"), (["declared"], "so_declared"), (["suffix"], "in_suffix")):
         on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in of]
         sites = sites.join(level(of, name), on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*(f"_{k}" for k in of))
-    sites = staged(sites.select(*(F.col(k).alias(f"_{k}") for k in keys), "in_domain", "in_host", "so_declared", "in_suffix"), "weights")
-    on = F.col("host").eqNullSafe(F.col("_host"))
-    for k in keys[1:]:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    sites = staged(sites.select(site.alias("_site"), "in_domain", "in_host", "so_declared", "in_suffix"), "weights")
     own = F.col("p")
     said, dotted = F.col("declared").isNotNull(), F.col("suffix") != ""
     prior = let(_shrunk(F.col("in_domain"), own, overall), lambda d: _shrunk(F.col("in_host"), own, d))
@@ -212,33 +227,34 @@ def fuse(read: DataFrame, languages: Languages) -> DataFrame:
             "p", lambda x, i: F.log(x + F.lit(1e-300)) + F.log(F.get(s["prior"], i)) + F.get(s["declared"], i) + F.get(s["suffix"], i)
         ),
     )
-    fused = read.join(sites, on).withColumn("score", score)
-    names = F.array(*map(F.lit, languages.names))
+    fused = spread_join(read, sites, "_site").withColumn("score", score)
+    known = F.array(*map(F.lit, names))
     top = F.array_max("score")
     rest = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return fused.withColumns({"lang": F.get(names, F.array_position("score", top).cast("int") - 1), "probability": 1 / rest}).drop(
-        "_host", "_domain", "_suffix", "_declared", "in_domain", "in_host", "so_declared", "in_suffix", "score"
+    return fused.withColumns({"lang": F.get(known, F.array_position("score", top).cast("int") - 1), "probability": 1 / rest}).drop(
+        "_site", "in_domain", "in_host", "so_declared", "in_suffix", "score"
     )
 
 
-def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+def identify(rows: DataFrame, labelled: DataFrame, half: str | None = None) -> DataFrame:
     """rows' other columns, declared, host, lang, text_lang (by the text alone) and probability.
 
     rows have text, html (used instead of the text where not NULL), declared, url and host (NULL:
-    taken from the url). labelled (text, lang) trains the likelihoods. A NULL or empty text leaves
+    taken from the url). labelled (text, lang) trains the likelihoods. With half, a column of 0 and 1 in
+    both (NULL: 0), a row is judged by what was learned from the other half alone. A NULL or empty text leaves
     the decision to the other evidence; NULL declarations and missing hosts are evidence of nothing;
     repeated rows are judged alike; without labelled documents every language is UNKNOWN; every
     labelled language can be found, however rare; no rows give none; a column of rows named like a
     result (lang, text_lang, probability) is replaced.
     """
-    languages = Languages(labelled)
-    rows = rows.drop(*({"lang", "text_lang", "probability", "p", "domain", "suffix", "score"} & set(rows.columns)))
+    languages = learned(labelled, half)
+    names = languages[0].names
+    rows = rows.drop(*({"lang", "text_lang", "probability", "p", "domain", "suffix", "score", "_site", "_model"} & set(rows.columns)))
     keep = [c for c in rows.columns if c not in ("text", "html", "declared", "url", "host")]
-    if not languages.names:
+    if not names:
         none = F.lit(UNKNOWN)
         host = F.coalesce("host", F.lit(""))
         return rows.select(*keep, "declared", host.alias("host"), none.alias("lang"), none.alias("text_lang"), F.lit(0.0).alias("probability"))
-    fused = fuse(read_texts(rows, languages), languages)
-    names = F.array(*map(F.lit, languages.names))
-    alone = F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)
+    fused = fuse(read_texts(rows, languages, half), names)
+    alone = F.get(F.array(*map(F.lit, names)), F.array_position("p", F.array_max("p")).cast("int") - 1)
     return fused.select(*keep, "declared", "host", "lang", alone.alias("text_lang"), "probability")

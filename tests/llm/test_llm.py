@@ -460,6 +460,38 @@ def test_language_id_keeps_rare_languages(spark):
     assert language_id.identify(table.limit(0), spark.createDataFrame(labelled, "text string, lang string")).count() == 0
 
 
+def test_language_weights_do_not_depend_on_how_many_there_are(spark):
+    r = random.Random(12)
+    rows = [(" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(30)), f"l{k % 400:03d}", k % 2) for k in range(900)]
+    table = spark.createDataFrame(rows, "text string, lang string, half int")
+    (all_,) = language_id.learned(table)
+    assert len(all_.names) == 400
+    dense = np.zeros((400, language_id.BUCKETS))
+    for text, lang, _ in rows:
+        np.add.at(dense[all_.names.index(lang)], language_id.grams(text), 1)
+    pooled = (dense.sum(0) + 1) / (dense.sum() + language_id.BUCKETS)
+    log = np.log((dense + language_id.SMOOTH * pooled) / (dense.sum(1, keepdims=True) + language_id.SMOOTH))
+    for text in (rows[0][0], rows[7][0], "", "zz äöü 你好", rows[3][0] * 50):
+        s = log[:, language_id.grams(text)].sum(1) / language_id.OVERLAP
+        p = np.exp(s - s.max())
+        np.testing.assert_allclose(all_.posterior(text), p / p.sum(), rtol=1e-6, atol=1e-12)
+
+
+def test_language_id_by_halves(spark):
+    rows = [(k, "the cat sat on the mat and then it ran" if k % 4 < 2 else "le chat dort sur la table et puis il mange", "en" if k % 4 < 2 else "fr", k % 2) for k in range(80)]
+    rows += [(100, "zq xq zq xq " * 40, "only", 0), (101, None, None, None), (102, "", "en", 1), (103, "the cat sat on the mat and then it ran " * 60_000, None, 1)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string, half int")
+    asked = docs.select("id", "text", "half", F.lit(None).cast("string").alias("html"), F.lit(None).cast("string").alias("declared"),
+                        F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("host"), F.lit(7).alias("_site"))
+    found = {r.id: r for r in language_id.identify(asked, docs.select("text", "lang", "half"), "half").collect()}
+    assert len(found) == len(rows)
+    assert all(found[k].text_lang == lang for k, _, lang, _ in rows[:80]) and found[103].lang == "en"
+    first, second = language_id.learned(docs, "half")
+    assert first.names == second.names == ["en", "fr", "only"]
+    alone = second.posterior("zq xq zq xq")  # learned from half 0, where that language is
+    assert alone.argmax() == 2 and first.posterior("zq xq zq xq")[2] == 0
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 100")
     held = docs.where("doc_id % 5 = 0")
