@@ -67,15 +67,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _written_order(docs: DataFrame) -> Column:
-    """Whole number that ascends with the place of a row in the files of a table, by the number in a
-    file's name and the row's place in it; of rows that come from no file, as they come."""
+    """Whole number that ascends with the place of a row in the files of a table, by the numbers of the
+    task and of its file in a file's name and the row's place in it; of rows that come from no file, as
+    they come."""
     try:
         docs.select("_metadata.row_index").schema  # noqa: B018
     except AnalysisException:
         return F.monotonically_increasing_id()
-    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
-    number = F.when(part != "", part).otherwise("0").cast("long")
-    return F.shiftleft(number, 40) + F.col("_metadata.row_index")
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
 
 
 STAGES: list[tuple[str, Stage]] = [
