@@ -628,3 +628,13 @@ def test_corpus_query_agrees_with_sql(spark, name):
     columns = sorted(found.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(plain, found.select(columns).collect())) == sorted(map(plain, want))
+
+
+def test_pipeline_positions_where_a_task_writes_several_files(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.range(1000).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("maxRecordsPerFile", 40).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = docs.select("id", corpus_pipeline._written_order(docs).alias("position")).collect()
+    assert len({r.position for r in found}) == 1000
+    assert [r.id for r in sorted(found, key=lambda r: r.position)] == list(range(1000))
