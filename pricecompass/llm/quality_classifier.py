@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, text_key
+from .common import SPACE, spread_join, staged, text_key
 from .ngrams import let
 
 #: Labelled documents that the text model is fitted on, at most.
@@ -137,16 +137,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     A document is good with quality 1 and without toxic 1. A NULL text counts as empty; a NULL host
     or path is a site of its own; a NULL doc_id is judged but never labelled; a repeated row is judged
     like the first and counts for its site again; with labels of one kind only, or none, evidence is 0
-    and everything is kept at the prior 0.5 or more; no rows give none; other columns are ignored.
+    and everything is kept at the prior 0.5 or more; a very long text is read whole; no rows give none;
+    other columns are ignored, whatever their names. Rows meet their site in a join that deals hot ones
+    over salts.
     """
     model = TextModel(docs, labels)
     rows = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
     scored = model.evidence(rows).select("doc_id", text_key(F.col("text")).alias("text_key"), "host", "path", "evidence")
     base = _logit(model.prior) if model.model is not None else 0.0
-    scored = staged(scored.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + F.lit(base))))), "evidence")
+    site = F.to_json(F.struct("host", "path")).alias("_site")  # names what is there, so NULL and empty differ
+    scored = staged(scored.select("*", (1 / (1 + F.exp(-(F.col("evidence") + F.lit(base))))).alias("p"), site), "evidence")
     priors, worth = site_priors(scored)
-    priors = priors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "s", "parent")
-    joined = scored.join(priors, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    joined = spread_join(scored, priors.select(site, "n", "s", "parent"), "_site")
     prior = (F.col("s") - F.col("p") + F.lit(worth) * F.col("parent")) / (F.col("n") - 1 + F.lit(worth))
     prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
     joined = joined.withColumn("prior", prior).withColumn(

@@ -638,3 +638,51 @@ def test_pipeline_positions_where_a_task_writes_several_files(spark, tmp_path):
     found = docs.select("id", corpus_pipeline._written_order(docs).alias("position")).collect()
     assert len({r.position for r in found}) == 1000
     assert [r.id for r in sorted(found, key=lambda r: r.position)] == list(range(1000))
+
+
+def _worth(groups):
+    spread = noise = scale = 0.0
+    for n, s, parent in groups:
+        p = min(max(parent, 1e-6), 1 - 1e-6)
+        spread, noise, scale = spread + n * (s / n - p) ** 2, noise + p * (1 - p), scale + n * p * (1 - p)
+    if spread <= noise or scale <= noise:
+        return quality_classifier.MOST_SHRINK
+    return min(max((scale - noise) / (spread - noise) - 1, quality_classifier.LEAST_SHRINK), quality_classifier.MOST_SHRINK)
+
+
+def test_quality_classifier_against_plain_sums(spark):
+    import math
+
+    r = random.Random(21)
+    bad = lambda k: " ".join(r.choice(["buy!!", "### now", "|| click", "$$$"]) for _ in range(40))
+    rows, good = [], {}
+    for k in range(300):
+        host = r.choice(["big", "big", "big", "mid", "small", None, ""])
+        good[k] = r.random() < {"big": 0.8, "mid": 0.3}.get(host, 0.5)
+        rows.append((k, prose(60, k) if good[k] else bad(k), host, r.choice(["en", "de", None])))
+    rows += [(900, None, "big", "en"), (901, "", None, None), (902, prose(200_000, 5), "small", "en"), (None, prose(30, 6), "mid", "de"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, l string")
+    docs = docs.selectExpr("*", "1 AS evidence", "2 AS p", "'x' AS host", "'y' AS _site", "3 AS label", "4 AS terms")
+    labels = spark.createDataFrame([(k, int(good[k]), 0) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    found = quality_classifier.classify(docs, labels, F.col("h"), F.col("l")).collect()
+    assert len(found) == len(rows)
+    known = [good[k] for k in range(0, 300, 2)] + [good[0]]  # the repeated row is labelled twice
+    base = math.log(sum(known) / len(known)) - math.log1p(-sum(known) / len(known))
+    p = [1 / (1 + math.exp(-(x.evidence + base))) for x in found]
+    paths, hosts = {}, {}
+    for x, y in zip(found, p, strict=True):
+        for of, key in ((paths, (x.host, x.path)), (hosts, x.host)):
+            n, s = of.get(key, (0, 0.0))
+            of[key] = (n + 1, s + y)
+    whole = sum(p) / len(p)
+    w = _worth([(n, s, whole) for n, s in hosts.values()])
+    share = {h: (s + w * whole) / (n + w) for h, (n, s) in hosts.items()}
+    w = _worth([(n, s, share[h]) for (h, _), (n, s) in paths.items()])
+    for x, y in zip(found, p, strict=True):
+        n, s = paths[x.host, x.path]
+        prior = min(max((s - y + w * share[x.host]) / (n - 1 + w), 1e-6), 1 - 1e-6)
+        want = 1 / (1 + math.exp(-(x.evidence + math.log(prior) - math.log1p(-prior))))
+        assert abs(x.prior - prior) < 1e-9 and abs(x.probability - want) < 1e-9 and x.kept == (x.probability >= 0.5)
+    judged = [x for x in found if x.doc_id is not None and x.doc_id < 300 and x.doc_id % 2]
+    assert sum(x.kept == good[x.doc_id] for x in judged) >= 0.95 * len(judged)
+    assert quality_classifier.classify(docs.limit(0), labels, F.col("h"), F.col("l")).count() == 0
