@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, web
@@ -21,6 +21,15 @@ CHROME = (
 )
 SEARCH_NAME = "(?i)^(?:q|s|query|search|text|keyword|term)$"
 ENOUGH_PRICES, ENOUGH_TITLES = 3, 2
+# Templates that shops commonly have, most common first; how many of a shop's own are tried, how many
+# at a time, and after how many dead answers a shop is given up.
+COMMON_TEMPLATES = (
+    "/search?q={q}", "/search/?q={q}", "/search?query={q}", "/search/?query={q}", "/Search?query={q}", "/search?text={q}", "/catalog/search?q={q}", "/?s={q}",
+    "/index.php?route=product/search&search={q}", "/search/index.php?q={q}",
+)
+MOST_DECLARED, AT_A_TIME, DEAD = 4, 2, 2
+# What is told of a shop's search.
+FOUND, BLOCKED, CLIENT_RENDERED, NO_SEARCH = "found", "blocked", "js-rendered", "no-search-endpoint"
 # What an address leaves as it is, though the encoder writes it as hexadecimal.
 PLAIN = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
 
@@ -164,3 +173,48 @@ def _file(url: Column) -> Column:
     """Path and query of an address."""
     query = F.try_parse_url(url, F.lit("QUERY"))
     return F.when(url.isNotNull(), F.concat(_path(url), F.coalesce(F.concat(F.lit("?"), query), F.lit(""))))
+
+
+def candidates(homes: DataFrame) -> DataFrame:
+    """(domain, place, template) of homes (domain, failure, html): the common templates, then the first few that
+    the home page declares beyond those. A home page that failed, or is NULL, declares none."""
+    common = F.array(*map(F.lit, COMMON_TEMPLATES))
+    own = F.when(F.col("failure").isNull(), templates(F.col("html"), F.concat(F.lit("https://"), "domain")))
+    own = F.slice(F.array_except(F.coalesce(own, F.array().cast("array<string>")), common), 1, MOST_DECLARED)
+    return homes.select("domain", F.posexplode(F.concat(common, own)).alias("place", "template"))
+
+
+def endpoints(probes: DataFrame, homes: DataFrame) -> DataFrame:
+    """(domain, outcome, template, tried): what comes of trying the candidates of each of homes.
+
+    probes (domain, place, template, failure, accepted, client_rendered) say how each candidate would answer.
+    They are tried AT_A_TIME by place, the common ones first, then the home page, then its own. A refusal, also
+    by the home page, ends the search as blocked, even beside a candidate that is accepted; else the first one
+    accepted ends it. After DEAD timeouts or unreachable answers no more are tried. If nothing was found
+    and a page was drawn by the client, that is told. NULL flags are false; a domain without probes has no
+    search; a domain's probes are few, so they may meet in a window.
+    """
+    common = len(COMMON_TEMPLATES)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) & F.col("failure").isNull()
+    turn = F.when(F.col("place") < common, F.floor(F.col("place") / AT_A_TIME)).otherwise(common + F.floor((F.col("place") - common) / AT_A_TIME))
+    asked = probes.groupBy("domain", turn.cast("int").alias("turn")).agg(
+        F.coalesce(F.bool_or(F.col("failure") == BLOCKED), F.lit(False)).alias("refused"),
+        F.count_if(F.col("failure").isin("timeout", "unreachable")).alias("dead"),
+        F.min_by("template", F.when(yes("accepted"), F.col("place"))).alias("hit"),
+        F.bool_or(yes("client_rendered")).alias("drawn"),
+        F.count("*").alias("n"),
+    )
+    no = F.lit(None).cast("string")
+    refused = F.coalesce(F.col("failure") == BLOCKED, F.lit(False))
+    home = homes.select("domain", F.lit(common - 1).alias("turn"), refused.alias("refused"), F.lit(0).cast("long").alias("dead"), no.alias("hit"), F.lit(False).alias("drawn"), F.lit(0).cast("long").alias("n"))
+    before = Window.partitionBy("domain").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    is_home = F.col("turn") == common - 1
+    # candidates are left alone once too many were dead; the home page is asked all the same
+    rows = asked.unionByName(home).withColumn("open", is_home | (F.coalesce(F.sum("dead").over(before), F.lit(0)) < DEAD))
+    ends = F.col("open") & (F.col("refused") | F.col("hit").isNotNull())
+    rows = rows.withColumn("ends", ends).withColumn("over", F.coalesce(F.bool_or("ends").over(before), F.lit(False)))
+    done = rows.where("open and not over").groupBy("domain").agg(
+        F.bool_or("refused").alias("refused"), F.max("hit").alias("hit"), F.bool_or("drawn").alias("drawn"), F.sum("n").alias("tried")
+    )
+    outcome = F.when(F.col("refused"), BLOCKED).when(F.col("hit").isNotNull(), FOUND).when(F.col("drawn"), CLIENT_RENDERED).otherwise(NO_SEARCH)
+    return done.select("domain", outcome.alias("outcome"), F.when(~F.col("refused"), F.col("hit")).alias("template"), "tried")

@@ -27,8 +27,8 @@ STRATEGIES = ("jsonld", "microdata", "embedded-json", "proximity")
 #: title's score, weigh in characters.
 REACH, AFTER, POINT = 2200, 1.6, 180
 MOST_NODES = 100_000
-# Listings of a page and strategy, and links of a page that may be titles.
-MOST_LISTINGS, MOST_LINKS = 1_000, 5_000
+# Listings of a page and strategy, links of a page that may be titles, characters of an item of microdata.
+MOST_LISTINGS, MOST_LINKS, MOST_ITEM = 1_000, 5_000, 4_000
 #: Characters of a page's tile: above what lies between a link's beginning, its price and what is read around them.
 TILE = 6_144
 # Currencies, words before a range, words of facets, furniture of cards, product and other addresses.
@@ -201,17 +201,19 @@ def from_embedded(pages: DataFrame) -> DataFrame:
 
 
 def from_microdata(pages: DataFrame) -> DataFrame:
-    """Items of microdata with a name and a price, of 4,000 characters each."""
+    """Items of microdata with a name and a price; one with more than MOST_ITEM characters after its type is
+    left out. A price's attribute counts if it is made of digits, commas and dots, else the text in its
+    element."""
     item = "itemtype=[\"'][^\"']{0,500}/Product[\"']"
     cut = pages.select(*PAGE, F.posexplode(F.slice(F.split("html", f"(?i)(?={item})"), F.lit(1), F.lit(1 << 30))).alias("n", "b"))
-    cut = cut.withColumn("b", F.substring("b", 1, 4600)).where(F.col("b").rlike(f"(?i)^{item}"))
+    cut = cut.where(F.col("b").rlike(f"(?i)^{item}") & (F.length("b") - F.length(F.regexp_extract("b", f"(?i)^{item}", 0)) <= MOST_ITEM))
 
-    def prop(name: str) -> Column:
+    def prop(name: str, written: str = "[^\"']+") -> Column:
         head = rf"(?is)itemprop=[\"']{name}[\"'][^>]*"
-        said = F.regexp_extract("b", head + "content=[\"']([^\"']+)[\"']", 1)
+        said = F.regexp_extract("b", head + f"content=[\"']({written})[\"']", 1)
         return F.nullif(F.when(said != "", said).otherwise(F.regexp_extract("b", head + ">([^<]+)<", 1)), F.lit(""))
 
-    price, name = web.parse_price(prop("price")), web.strip_tags(prop("name"))
+    price, name = web.parse_price(prop("price", "[\\d.,]+")), web.strip_tags(prop("name"))
     rows = cut.where((price > 0) & name.isNotNull() & web.supports_kzt(web.strip_tags(prop("priceCurrency"))))
     link = F.nullif(F.regexp_extract("b", "(?is)<a\\b[^>]*href=[\"']([^\"']+)[\"']", 1), F.lit(""))
     at = F.struct(F.col("n").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))

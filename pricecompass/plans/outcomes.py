@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, notices, query, web
 from ..functions import values as V
 from ..functions.text import quoted
-from ..operators import budgets, stores
+from ..operators import budgets, coverage, discovery, stores
 from ..sources import bindings as B
-from .search import ORACLES, QUERIES, registered  # noqa: F401
-from .web import pick, pick_sql
+from .search import CHAINS, MATCHED_SIZED, ORACLES, QUERIES, chain_order, matched, registered  # noqa: F401
+from .web import fetch_classify, pick, pick_sql
 
 #: First 32 bits of IPv6 networks and of some neighbours, which addresses are taken around.
 V6_HEADS = (0, 0x64FF9B, 0x1000000, 0x20010000, 0x20010DB8, 0x20020000, 0x2002FFFF, 0xFC000000, 0xFE000000, 0xFE800000, 0xFEC00000, 0xFF000000, 0x2A001450)
@@ -191,3 +192,96 @@ def search_choices(spark, sf_dir):
     counts = F.array(*(F.struct(F.lit(r).alias("radius_m"), F.coalesce(f"r{r}", F.lit(0)).alias("stores")) for r in V.RADIUS_STOPS))
     joined = cities.join(reached, F.col("city") == F.col("shopper"), "left")
     return joined.select("city", "lat", "lon", F.inline(counts))
+
+
+#: Retailers that something is known of: domain, label, template, blocked, drawn by the client, note.
+ADAPTERS = [
+    ("shop1.example", "Retailer 1", "/search?q={q}", False, False, None), ("shop5.example", "Retailer 5", "/?s={q}", False, False, None),
+    ("shop7.example", "Retailer 7", "/search/?query={q}", False, False, None), ("shop2.example", "Retailer 2", None, True, False, "Blocks automated requests (HTTP 403)."),
+    ("shop4.example", "Retailer 4", None, True, False, None), ("shop8.example", "Retailer 8", None, False, True, "Search results are rendered by JavaScript."),
+    ("shop10.example", "Retailer 10", None, False, True, None),
+]
+
+
+def adapters(spark) -> DataFrame:
+    return spark.createDataFrame(ADAPTERS, "domain string, label string, template string, blocked boolean, client_rendered boolean, note string")
+
+
+def last_fetches(spark, sf_dir) -> DataFrame:
+    """(domain, failure): how the last fetch from each of the mapped shops ended."""
+    rows = fetch_classify(spark, sf_dir).withColumn("domain", F.concat(F.lit("shop"), (F.col("o_orderkey") % 12).cast("string"), F.lit(".example")))
+    return rows.groupBy("domain").agg(F.max_by(F.struct("failure"), "o_orderkey").alias("x")).select("domain", "x.failure")
+
+
+_KNOWN_SQL = ", ".join("(" + ", ".join("NULL" if x is None else quoted(x) if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in ADAPTERS)
+_GAP_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.GAP_REASONS.items())
+
+
+@registered(
+    f"""WITH {CHAINS}, adapters(domain, label, template, blocked, client_rendered, note) AS (VALUES {_KNOWN_SQL}),
+fetched AS (SELECT 'shop' || (o_orderkey % 12) || '.example' AS domain, failure FROM ({ORACLES["fetch_classify"]})
+  QUALIFY row_number() OVER (PARTITION BY domain ORDER BY o_orderkey DESC) = 1),
+state AS (SELECT coalesce(a.label, s.domain) AS label, a.note, CASE WHEN a.blocked THEN 'blocked' WHEN a.client_rendered THEN 'js-rendered'
+  WHEN f.domain IS NULL THEN 'unreachable' ELSE f.failure END AS failure FROM selected s LEFT JOIN adapters a USING (domain) LEFT JOIN fetched f USING (domain)),
+s AS (SELECT coalesce(a.label, o.domain) AS label, row_number() OVER (ORDER BY place) AS n, count(*) OVER () AS total
+  FROM ordered o LEFT JOIN adapters a USING (domain) WHERE o.domain NOT IN (SELECT domain FROM selected))
+SELECT label, coalesce(note, CASE failure {_GAP_SQL} END) AS reason FROM state WHERE failure IN {tuple(V.GAP_REASONS)}
+UNION ALL SELECT label, '{V.SKIPPED_REASON}' FROM s WHERE n <= {V.MAX_GAPS}
+UNION ALL SELECT (total - {V.MAX_GAPS}) || ' more mapped retailers', '{V.MORE_REASON}' FROM s WHERE n = {V.MAX_GAPS} + 1"""
+)
+def coverage_gaps(spark, sf_dir):
+    """Retailers near a shopper that the search doesn't cover: by what is known of them and by their last fetch."""
+    order = chain_order(spark, sf_dir)
+    chosen = stores.selected(order)
+    skipped = order.join(chosen.select("domain"), "domain", "left_anti").join(F.broadcast(adapters(spark).select("domain", "label")), "domain", "left")
+    attempted = coverage.states(chosen, adapters(spark), last_fetches(spark, sf_dir))
+    return coverage.gaps(attempted, skipped.withColumn("label", F.coalesce("label", "domain")))
+
+
+@registered(
+    f"""WITH {MATCHED_SIZED}, r AS (SELECT domain, pos, substr(title, 1, {coverage.TITLE_CHARS}) AS title, price, confidence, rejected, reject_reason FROM matched),
+p AS (SELECT *, (row_number() OVER (PARTITION BY domain, rejected ORDER BY pos))::INT AS place FROM r),
+c AS (SELECT domain, reject_reason, count(*) AS n FROM r WHERE rejected GROUP BY ALL)
+SELECT domain, CASE WHEN rejected THEN 'sample' ELSE 'kept' END AS kind, place, title, price, round(confidence, 6) AS confidence, reject_reason AS reason, 1::BIGINT AS n
+FROM p WHERE place <= CASE WHEN rejected THEN {coverage.MOST_SAMPLES} ELSE {coverage.MOST_KEPT} END
+UNION ALL SELECT domain, 'rejected', (row_number() OVER (PARTITION BY domain ORDER BY n DESC, reject_reason))::INT, NULL, NULL, NULL, reject_reason, n FROM c"""
+)
+def match_report(spark, sf_dir):
+    """What a request keeps and rejects of each retailer's listings."""
+    return coverage.match_report(matched(spark, sf_dir, True)).withColumn("confidence", F.round("confidence", 6))
+
+
+_COMMON = len(discovery.COMMON_TEMPLATES)
+#: How a candidate answers, by a number from 0 to 22 that follows from its shop and place.
+_ANSWER = "(k * 31 + g * 17 + k // 7 * g) % 23"
+_LAST_COMMON = _COMMON // discovery.AT_A_TIME
+
+
+@registered(
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 5 THEN 'blocked' WHEN p_partkey % 13 = 4 THEN 'unreachable' END AS home FROM part),
+c AS (SELECT k, g, {_ANSWER} AS h, CASE WHEN g < {_COMMON} THEN {list(discovery.COMMON_TEMPLATES)}[g + 1] ELSE '/find/' || (g - {_COMMON}) || '?text={{q}}' END AS template
+  FROM p, (SELECT unnest(range({_COMMON + discovery.MOST_DECLARED})) AS g) WHERE g < {_COMMON} OR g - {_COMMON} < k % 6),
+b AS (SELECT k, CASE WHEN g < {_COMMON} THEN g // 2 ELSE {_LAST_COMMON} + 1 + (g - {_COMMON}) // 2 END AS step, bool_or(h = 0) AS refused,
+  count(*) FILTER (h BETWEEN 1 AND 4) AS dead, arg_min(template, g) FILTER (h = 6) AS hit, bool_or(h = 5) AS drawn, count(*) AS n FROM c GROUP BY ALL),
+w AS (SELECT k, home, 0::BIGINT AS step, 0::BIGINT AS dead, 0::BIGINT AS tried, false AS drawn, NULL::VARCHAR AS outcome, NULL::VARCHAR AS template FROM p
+  UNION ALL SELECT w.k, home, w.step + 1, w.dead + CASE WHEN go THEN b.dead ELSE 0 END, w.tried + CASE WHEN go THEN b.n ELSE 0 END, w.drawn OR (go AND b.drawn),
+    CASE WHEN w.step = {_LAST_COMMON} THEN CASE WHEN home = 'blocked' THEN 'blocked' END WHEN go AND b.refused THEN 'blocked' WHEN go AND b.hit IS NOT NULL THEN 'found' END,
+    CASE WHEN go AND NOT b.refused THEN b.hit END
+  FROM (SELECT w.*, coalesce(w.dead < 2 AND b.k IS NOT NULL AND (w.step < {_LAST_COMMON} OR home IS NULL), false) AS go, b
+    FROM w LEFT JOIN b ON b.k = w.k AND b.step = w.step WHERE w.step < {_LAST_COMMON} + 3 AND w.outcome IS NULL) w)
+SELECT 'shop' || k || '.example' AS domain, coalesce(outcome, CASE WHEN drawn THEN 'js-rendered' ELSE 'no-search-endpoint' END) AS outcome, template, tried
+FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY step DESC) = 1"""
+)
+def search_endpoints(spark, sf_dir):
+    """A shop for each part, whose home page declares a common template and up to five of its own."""
+    k = F.col("p_partkey")
+    own = F.transform(F.slice(F.sequence(F.lit(0), F.lit(5)), F.lit(1), (k % 6).cast("int")), lambda j: F.format_string('<form action="/find/%d"><input name="text"></form>', j))
+    html = F.concat(F.lit('<form action="/search"><input name="q"></form>'), F.array_join(own, ""))
+    homes = B.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("shop"), k.cast("string"), F.lit(".example")).alias("domain"), F.when(k % 11 == 5, "blocked").when(k % 13 == 4, "unreachable").alias("failure"), html.alias("html")
+    )
+    n, g = F.regexp_extract("domain", r"(\d+)", 1).cast("long"), F.col("place").cast("long")
+    h = (n * 31 + g * 17 + F.floor(n / 7) * g) % 23
+    failure = F.when(h == 0, "blocked").when(h.between(1, 3), "timeout").when(h == 4, "unreachable")
+    probes = discovery.candidates(homes).select("domain", "place", "template", failure.alias("failure"), (h == 6).alias("accepted"), (h == 5).alias("client_rendered"))
+    return discovery.endpoints(probes, homes)

@@ -57,12 +57,21 @@ def jsonld_roundtrip(spark, sf_dir):
     return _shown(extraction.from_jsonld(jsonld_pages(spark, sf_dir)))
 
 
+#: A product whose price is in an attribute or, where that says more than a number, in the text.
 MICRODATA = """<div itemscope itemtype="https://schema.org/Product"><a href="/product/{k}"><span itemprop="name">{t}</span></a>
-<meta itemprop="price" content="{p}"><meta itemprop="priceCurrency" content="KZT">нет в наличии</div>"""
+%s<meta itemprop="priceCurrency" content="KZT">нет в наличии</div>"""
+MICRODATA_PRICES = ('<meta itemprop="price" content="{p}">', '<b itemprop="price" content="from 1 tenge">{p} ₸</b>')
+#: A product that goes on for too long, and one in another currency.
+NOT_ITEMS = (
+    """<div itemtype="https://schema.org/Product"><b itemprop="name">too long</b><b itemprop="price">5000</b>"""
+    + "x" * extraction.MOST_ITEM
+    + """</div><div itemtype='https://schema.org/Product'><b itemprop="name">dear one</b><b itemprop="price">500</b><i itemprop="priceCurrency">USD</i></div>"""
+)
 
 
 def microdata_pages(spark, sf_dir) -> DataFrame:
-    return _pages(spark, sf_dir, _text(MICRODATA), "", "\n", "")
+    forms = [_text(MICRODATA % price) for price in MICRODATA_PRICES]
+    return _pages(spark, sf_dir, F.when(F.col("p_partkey") % 2 == 0, forms[0]).otherwise(forms[1]), NOT_ITEMS, "\n", "")
 
 
 @registered(_want("microdata", stock="false"))

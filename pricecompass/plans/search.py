@@ -145,32 +145,6 @@ def adapter_labels(spark, sf_dir):
     return found.select("domain", F.coalesce("label", "domain").alias("label"))
 
 
-_STATUS = "['blocked', 'js-rendered', 'no-search-endpoint', 'timeout', 'unreachable', 'no-listings', 'ok'][place % 7 + 1]"
-_GAPS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.GAP_REASONS.items())
-
-
-@registered(
-    f"""WITH {CHAINS}, state AS (SELECT domain, place, {_STATUS} AS status FROM selected),
-s AS (SELECT domain, {_LABEL} AS label, row_number() OVER (ORDER BY place) AS n, count(*) OVER () AS total FROM ordered WHERE domain NOT IN (SELECT domain FROM selected))
-SELECT {_LABEL} AS label, CASE status {_GAPS} END AS reason FROM state WHERE status IN {tuple(V.GAP_REASONS)}
-UNION ALL SELECT label, '{V.SKIPPED_REASON}' FROM s WHERE n <= {V.MAX_GAPS}
-UNION ALL SELECT (total - {V.MAX_GAPS}) || ' more mapped retailers', '{V.MORE_REASON}' FROM s WHERE n = {V.MAX_GAPS} + 1"""
-)
-def coverage_gaps(spark, sf_dir):
-    order = chain_order(spark, sf_dir).join(F.broadcast(labels(spark)), "domain", "left")
-    order = order.withColumn("label", F.coalesce("label", "domain"))
-    chosen = stores.selected(order)
-    kinds = F.array(*map(F.lit, ("blocked", "js-rendered", "no-search-endpoint", "timeout", "unreachable", "no-listings", "ok")))
-    reason = F.create_map(*(F.lit(x) for kv in V.GAP_REASONS.items() for x in kv))
-    failed = chosen.select("label", F.element_at(reason, F.get(kinds, F.col("place") % 7)).alias("reason")).where("reason is not null")
-    skipped = order.join(chosen.select("domain"), "domain", "left_anti")
-    numbered = skipped.withColumn("n", F.row_number().over(Window.orderBy("place")))
-    shown = numbered.where(F.col("n") <= V.MAX_GAPS).select("label", F.lit(V.SKIPPED_REASON).alias("reason"))
-    more = skipped.agg((F.count("*") - V.MAX_GAPS).alias("more")).where("more > 0")
-    more = more.select(F.concat(F.col("more").cast("string"), F.lit(" more mapped retailers")).alias("label"), F.lit(V.MORE_REASON).alias("reason"))
-    return failed.unionByName(shown).unionByName(more)
-
-
 # Matching
 
 TOKENS = text.tokenize_sql("title")
