@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, shuffle_parts, spread_join, staged, text_key
+from .common import SPACE, drop_staged, mix, shuffle_parts, spread_join, staged, text_key
 
 ANCHOR_WORDS = 5
 #: A key is rare if so many texts hold it at most; rare keys find pairs first.
@@ -148,10 +149,11 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(t, pos): the lines, counted without blank ones, that each text loses to the texts o it is paired with."""
+    """(t, pos): the lines, counted without blank ones, that each text loses to the texts o it is paired with.
+    Texts that many pairs share, on either side, are dealt over salts."""
     later = texts.select("t", F.col("h").alias("h2"), F.col("n").alias("n2"))
     earlier = texts.select(F.col("t").alias("o"), F.col("h").alias("h1"))
-    met = spread_join(pairs, earlier, "o").join(later, "t")
+    met = spread_join(spread_join(pairs, earlier, "o"), later, "t", like=pairs)
     return met.select("t", "h1", "h2", "n2").mapInArrow(_align, "t long, pos int").distinct()
 
 
@@ -181,27 +183,29 @@ def _removed(texts: DataFrame) -> DataFrame:
     firsts = firsts.select("key", F.col("first.t").alias("o"), "df")
     shared = staged(spread_join(held, firsts, "key").where("o <> t"), "shared-lines")
 
-    def left(gone: DataFrame) -> DataFrame:
-        """Shared keys of which a line is still there."""
-        each = shared.withColumn("pos", F.explode(F.array_distinct(F.array("p", "q"))))
-        there = each.join(gone, ["t", "pos"], "left_anti")
-        return there.select("key", "t", "absent", "doc_id", "o", "df").distinct()
+    def there(lines: DataFrame, gone: DataFrame) -> DataFrame:
+        """Lines of shared keys that aren't gone; lines gone before aren't among them."""
+        return staged(lines.join(gone, ["t", "pos"], "left_anti"), "left-lines")
 
     tried = staged(shared.where(F.col("df") <= RARE).select("t", "o").distinct(), "line-pairs")
-    gone = staged(aligned(tried, texts), "gone-lines")
-    pairs = left(gone).select("t", "o").distinct().join(tried, ["t", "o"], "left_anti")
-    pairs = staged(pairs, "line-pairs")
+    gone = [staged(aligned(tried, texts), "gone-lines")]
+    each = shared.select("key", "t", "o", F.explode(F.array_distinct(F.array("p", "q"))).alias("pos"))
+    lines = there(each, gone[0])
+    drop_staged(shared)
+    pairs = staged(lines.select("t", "o").distinct().join(tried, ["t", "o"], "left_anti"), "line-pairs")
     holders, upto = None, 1
     while True:
         if not pairs.isEmpty():
-            gone = staged(gone.unionByName(aligned(pairs, texts)).distinct(), "gone-lines")
-            tried = tried.unionByName(pairs)
-        rest = staged(left(gone), "left-lines")
+            gone.append(staged(aligned(pairs, texts), "gone-lines"))
+            tried, before = tried.unionByName(pairs), lines
+            lines = there(before, gone[-1])
+            drop_staged(before)
         if holders is None:
-            if rest.isEmpty():
-                return gone
-            holders = staged(_ranked(held.join(rest.select("key").distinct(), "key", "left_semi").drop("p", "q")), "ranked-lines")
-        own = rest.join(holders.select("key", "t", "rank"), ["key", "t"])
+            if lines.isEmpty():
+                break
+            holders = staged(_ranked(held.join(lines.select("key").distinct(), "key", "left_semi").drop("p", "q")), "ranked-lines")
+            drop_staged(held)
+        own = lines.select("key", "t").distinct().join(holders.select("key", "t", "rank"), ["key", "t"])
         # the holder just before, then ever more from the front
         most = F.least(F.lit(max(2 * upto - 1, 1)), F.col("rank") - 2)
         reach = own.where(F.col("rank") > 2).select("key", "t", F.explode(F.array(F.col("rank") - 1)).alias("rank")) if upto == 1 else (
@@ -209,11 +213,14 @@ def _removed(texts: DataFrame) -> DataFrame:
         )
         reach = staged(reach, "line-reach")
         if upto > 1 and reach.isEmpty():
-            return gone
+            break
         of = holders.select("key", "rank", F.col("t").alias("o"))
         pairs = reach.join(of, ["key", "rank"]).select("t", "o").distinct().join(tried, ["t", "o"], "left_anti")
         pairs = staged(pairs, "line-pairs")
+        drop_staged(reach)
         upto *= 2
+    drop_staged(lines)
+    return reduce(DataFrame.unionByName, gone).distinct()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
