@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -686,3 +687,77 @@ def test_quality_classifier_against_plain_sums(spark):
     judged = [x for x in found if x.doc_id is not None and x.doc_id < 300 and x.doc_id % 2]
     assert sum(x.kept == good[x.doc_id] for x in judged) >= 0.95 * len(judged)
     assert quality_classifier.classify(docs.limit(0), labels, F.col("h"), F.col("l")).count() == 0
+
+
+def test_substring_dedup_of_pairs_with_one_link(spark):
+    """Passages of 60 words with one changed, similar enough, whose texts share the least token of one
+    stretch under one hash function alone; and links that meet no other of their pair."""
+    r, pairs = random.Random(10), []
+    for _ in range(2000):
+        passage = [f"w{r.randint(0, 60_000)}" for _ in range(60)]
+        other = list(passage)
+        other[r.randrange(12, 48)] = "changed"
+        pairs.append((" ".join(passage), " ".join(other)))
+    token, ends = substring_dedup.tokens(pa.array([t for pair in pairs for t in pair]))
+    least = [set() for _ in range(2 * len(pairs))]
+    for f in range(substring_dedup.HASHES):
+        text, _, c, _ = substring_dedup.compact_windows(token, ends, f)
+        for i, v in zip(text.tolist(), token[c].tolist(), strict=True):
+            least[i].add((f, v))
+    lone = [p for k, p in enumerate(pairs) if len(least[2 * k] & least[2 * k + 1]) == 1]
+    assert len(lone) >= 3
+    rows = {x.doc_id: x.class_id for x in substring_dedup.repeated_passages(frame(spark, [t for p in lone for t in p])).collect()}
+    assert rows == {i: i - i % 2 for i in range(2 * len(lone))}
+    # three links, of which the last meets no other: it is kept, with its own windows
+    w = [(0, 0, 10, 10, 99, 99), (0, 0, 40, 40, 99, 99), (300, 500, 310, 510, 360, 560)]
+    a, c, b = ([x[k] << 32 | x[k + 1] for x in w] for k in (0, 2, 4))
+    batch = pa.RecordBatch.from_pydict({"pair": [5] * 3, "t1": [1] * 3, "t2": [2] * 3, "a": a, "c": c, "b": b})
+    (found,) = substring_dedup._join_intervals(iter([batch]))
+    assert [x[:6] for x in np.reshape(found.column("links")[0].as_py(), (-1, 10)).tolist()] == [list(x) for x in w]
+
+
+def test_stretches_around_a_link_equal_brute_force():
+    r = random.Random(11)
+    least = substring_dedup.LEAST
+    similar = lambda x, y: len(set(x) & set(y)) >= substring_dedup.SIMILARITY * len(set(x) | set(y))
+    n_found = 0
+    for _ in range(60):
+        x = list(range(1000, 1000 + r.choice([46, 60, 75])))
+        y = list(x)
+        for i in r.sample(range(len(y)), r.choice([0, 2, 4, 6, 12])):
+            y[i] = r.randint(5000, 9000)
+        p = r.choice([i for i, v in enumerate(x) if y[i] == v])
+        x, y = [*range(r.randint(0, 6)), *x, 7, 8], [*range(20, 20 + r.randint(0, 6)), *y]
+        p = q = x.index(1000 + p)
+        q = y.index(x[p])
+        spans = lambda z, at: [(lo, hi) for lo in range(at + 1) for hi in range(max(at, lo + least - 1), len(z))]
+        want = any(similar(x[a : b + 1], y[c : d + 1]) for a, b in spans(x, p) for c, d in spans(y, q))
+        got = substring_dedup.around(x, y, p, q)
+        assert (got is not None) == want
+        if got:
+            l1, r1, l2, r2 = got
+            n_found += 1
+            assert l1 <= p <= r1 and l2 <= q <= r2 and min(r1 - l1, r2 - l2) + 1 >= least and similar(x[l1 : r1 + 1], y[l2 : r2 + 1])
+    assert 20 <= n_found < 60
+
+
+def test_compact_windows_equal_cartesian_trees():
+    texts = [prose(300, 1), prose(40, 2), None, "", "The " * 90 + prose(80, 3), prose(50, 4), "  " + prose(49, 5) + "\n"]
+    token, ends = substring_dedup.tokens(pa.array(texts))
+    assert np.diff(ends).tolist() == [max(len((t or "").split()) - 4, 0) for t in texts]
+    for k, text in enumerate(texts):
+        own, _ = substring_dedup.tokens(pa.array(["other words", text]).slice(1, 1))
+        assert (own == token[ends[k] : ends[k + 1]]).all()
+        for f in range(substring_dedup.HASHES):
+            v, want, todo = substring_dedup.mix(own ^ substring_dedup._SEEDS[f]), [], [(0, len(own))]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo >= substring_dedup.LEAST:
+                    c = lo + int(v[lo:hi].argmin())
+                    want.append((lo, c, hi - 1))
+                    todo += [(lo, c), (c + 1, hi)]
+            want = [w for w in want if not w[1] or own[w[1]] != own[w[1] - 1]]  # of equal ones in a row the first
+            of, a, c, b = substring_dedup.compact_windows(token, ends, f)
+            mine = of == k
+            got = np.stack([a, c, b], 1)[mine] - ends[k]
+            assert got.tolist() == [list(w) for w in sorted(want, key=lambda w: w[1])]
