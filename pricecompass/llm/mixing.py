@@ -70,7 +70,8 @@ def due(u: Column, turn: Column, schedules: tuple[tuple[float, ...], ...] = SCHE
 
 
 def _range_sums(docs: DataFrame) -> DataFrame:
-    """docs with before: words of the same source in earlier documents of its order.
+    """docs with before: words of the same source in earlier documents of its order; and with part and
+    nth, which together with the source name a row.
 
     Range partitions split a hot source over many tasks; each sums its own rows, and what earlier
     partitions hold of a source comes from a table of a row per source and partition.
@@ -88,26 +89,18 @@ def _range_sums(docs: DataFrame) -> DataFrame:
         F.col("part").alias("_p"),
         F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"),
     )
-    own = F.sum("size").over(of.orderBy("deal", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
+    in_turn = of.orderBy("deal", F.col("doc_id").asc_nulls_last(), "size", "text_key")
+    own = F.sum("size").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        parts.withColumn("own", own)
+        parts.withColumns({"own": own, "nth": F.row_number().over(in_turn)})
         .join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
         .withColumn("before", F.col("offset") + F.col("own") - F.col("size"))
-        .drop("_s", "_p", "own", "offset", "part")
+        .drop("_s", "_p", "own", "offset")
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, text_key, source, size, source_size, turn, target, before, positions, passes, taken) of each row.
-
-    positions are those of the copies that the mix takes, ascending: the k-th copy is taken if the
-    demand of its source reaches the copy's middle word by the end of training. passes is how many
-    there are. A NULL text has size 0; a source without words has each of its documents once, at the
-    start; NULL is a source of its own, last in order; a NULL doc_id is dealt like another id;
-    repeated rows are dealt one by one, and which of them comes first makes no difference to the
-    rows returned; no rows give none; other columns are ignored. The order within a source is the
-    MD5 of the id, so reruns agree.
-    """
+def _placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """mix() with part and nth."""
     sized = docs.select(
         "doc_id", text_key(F.col("text")).alias("text_key"), "source", n_words(F.col("text")).alias("size")
     ).withColumn("deal", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
@@ -127,11 +120,48 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return mixed.withColumn("positions", positions).withColumns({"passes": passes, "taken": passes * F.col("size")})
 
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, text_key, source, size, source_size, turn, target, before, positions, passes, taken) of each row.
+
+    positions are those of the copies that the mix takes, ascending: the k-th copy is taken if the
+    demand of its source reaches the copy's middle word by the end of training. passes is how many
+    there are. A NULL text has size 0; a source without words has each of its documents once, at the
+    start; NULL is a source of its own, last in order; a NULL doc_id is dealt like another id;
+    repeated rows are dealt one by one, and which of them comes first makes no difference to the
+    rows returned; no rows give none; other columns are ignored. The order within a source is the
+    MD5 of the id, so reruns agree.
+    """
+    return _placed(docs, weights).drop("part", "nth")
+
+
 def copies(mixed: DataFrame) -> DataFrame:
     """A row for each copy that the mix takes, with its position 0..1 in training."""
     return mixed.withColumn("position", F.explode("positions")).drop("positions")
 
 
+def in_order(copied: DataFrame, *then: str) -> DataFrame:
+    """Copies range-sorted by their positions in training, equal ones by the columns `then`."""
+    return copied.repartitionByRange("position", *then).sortWithinPartitions("position", *then)
+
+
+def mixed_in_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, first_position, last_position) of each row, read from
+    the training order: copies are range-sorted by position and written, and a row's words are counted and
+    its first and last copy found there. A row that the mix leaves out takes 0 words and has NULL positions.
+    """
+    placed = staged(_placed(docs, weights), "mixed")
+    key = ["source", "part", "nth"]
+    order = staged(in_order(copies(placed).select(*key, "doc_id", "size", "position"), "doc_id"), "order")
+    read = order.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(
+        F.sum("size").alias("_taken"), F.min("position").alias("first_position"), F.max("position").alias("last_position")
+    )
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")) & (F.col("nth") == F.col("_nth"))
+    taken = F.coalesce("_taken", F.lit(0).cast("long")).alias("taken")
+    return placed.join(read, same, "left").select(
+        "doc_id", "source", "size", "source_size", "target", taken, "first_position", "last_position"
+    )
+
+
 def training_order(docs: DataFrame) -> DataFrame:
     """docs' columns and position (0..1): a row for each copy that the mix takes, range-sorted by it.
 
@@ -148,7 +178,7 @@ def training_order(docs: DataFrame) -> DataFrame:
         plan,
         keyed.doc_id.eqNullSafe(plan._id) & (keyed._key == plan._text) & keyed.source.eqNullSafe(plan._source),
     )
-    return joined.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*docs.columns, "position")
+    return in_order(joined, "doc_id").select(*docs.columns, "position")
 
 
 def _due_sql(u: str, turn: str) -> str:

@@ -761,3 +761,24 @@ def test_compact_windows_equal_cartesian_trees():
             mine = of == k
             got = np.stack([a, c, b], 1)[mine] - ends[k]
             assert got.tolist() == [list(w) for w in sorted(want, key=lambda w: w[1])]
+
+
+def test_mixing_query_reads_the_training_order(spark, tmp_path):
+    """op5 writes the copies in training order, range-sorted, and takes its figures from there."""
+    docs = frame(spark, [prose(R.randint(0, 90), k) for k in range(60)], AWKWARD)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written, stage = [], mixing.staged
+    try:
+        mixing.staged = lambda df, name: written.append((name, stage(df, name))) or written[-1][1]
+        rows = queries.op5_mixing(spark, str(tmp_path)).collect()
+    finally:
+        mixing.staged = stage
+    order = dict(written)["order"].select("position", F.input_file_name().alias("file")).collect()
+    placed = [r.position for r in sorted(order, key=lambda r: r.file.rsplit("/", 1)[1])]
+    assert placed == sorted(placed)
+    known = mixing.mix(docs).collect()
+    assert len(placed) == sum(r.passes for r in known) and len(rows) == len(known) == docs.count()
+    ends = lambda p: (round(min(p), 6), round(max(p), 6)) if p else (None, None)
+    want = [(r.doc_id, r.size, r.taken, *ends(r.positions)) for r in known]
+    got = [(r.doc_id, r.size, r.taken, r.first_position, r.last_position) for r in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want))
