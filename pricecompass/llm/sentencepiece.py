@@ -7,18 +7,19 @@ crosses, and its N-best segmentations are made of those of its chunks. Within a
 Viterbi scores are the exact cost to the start: an A* search from the end back, with them as its
 heuristic, pops complete segmentations best first. Scores are multiples of 2^-20, so their sums are
 exact and equal scores are ties; of those the path nearest the start goes on, so each further
-segmentation costs about a step a character.
+segmentation costs about a step a character. The different chunks of some thousand texts take their
+Viterbi steps together, a byte at a time; texts gather the ids of theirs.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -27,9 +28,13 @@ BYTE_SCORE = -14.0
 N_BEST = 3
 #: Parts of which scores are whole multiples.
 GRAIN = 1 << 20
-#: Chunks that a worker remembers, of so many characters at most; others are segmented again.
-MEMO, MEMO_CHARS = 400_000, 40
-_CHUNK = re.compile(" *[^ ]+| +")
+#: Chunks of which a worker remembers the n best segmentations, of so many bytes at most.
+MEMO, MEMO_BYTES = 100_000, 40
+#: Bytes of the texts whose chunks are segmented together, and of the longest such chunk; longer ones
+#: go one by one.
+TEXTS, TOGETHER = 4 << 20, 64
+#: Bytes of a character by its first.
+_WIDE = np.repeat([1, 2, 3, 4, 1], [0xC0, 0x20, 0x10, 0x08, 0x08])
 
 
 class Pieces:
@@ -55,7 +60,23 @@ class Pieces:
         # pieces, and None for what only begins one: where neither is found, no longer piece begins
         self.begun: dict[str, tuple[tuple[int], float] | None] = {t[:k]: None for t in self.ids for k in range(1, len(t))}
         self.begun.update((t, ((i,), s)) for t, (i, s) in self.ids.items())
-        self.memo: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.memo: dict[tuple[bytes, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.pieces = pa.array(self.raw, pa.large_binary())
+        self.size = np.array([len(r) for r in self.raw])
+        self.score = np.zeros(len(self.raw))
+        self.byte = np.full(256, -1, np.int32)
+        self.byte[list(self.byte_id)] = list(self.byte_id.values())
+        # the same prefixes as a table of bytes: row 1 is the empty one, 0 is none; those without a longer one come last, without a row
+        begun = {self.raw[i][:k]: 0 for i, _ in self.ids.values() for k in range(1, len(self.raw[i]) + 1)}
+        inner = {b"", *(t[:-1] for t in begun)}
+        begun = {t: k for k, t in enumerate([*sorted(inner), *(t for t in begun if t not in inner)], 1)}
+        self.next = np.zeros((len(inner) + 1, 256), np.int32)
+        for t, k in begun.items():
+            if t:
+                self.next[begun[t[:-1]], t[-1]] = k
+        self.piece = np.full(len(begun) + 1, -1, np.int32)
+        for i, x in self.ids.values():
+            self.piece[begun[self.raw[i]]], self.score[i] = i, x
 
     def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each position the pieces that end there: (start, ids, score)."""
@@ -84,8 +105,6 @@ class Pieces:
 
     def best(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best segmentation, and how much the second best falls short."""
-        if (hit := self.memo.get(chunk)) is not None:
-            return hit
         get, n, low = self.begun.get, len(chunk), -math.inf
         one, two = [0.0, *[low] * n], [low] * (n + 1)  # the two best scores to each position
         start, via = [0] * (n + 1), [()] * (n + 1)
@@ -114,12 +133,83 @@ class Pieces:
         while j:
             parts.append(via[j])
             j = start[j]
-        out = tuple(c for x in reversed(parts) for c in x), one[n], one[n] - two[n]
-        if n <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[chunk] = out
-        return out
+        return tuple(c for x in reversed(parts) for c in x), one[n], one[n] - two[n]
+
+    def best_of_many(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """best() of chunks, the bytes of data from each of `at` to the next: ids, one chunk's after another's,
+        how many each has, scores, and how much the second best falls short.
+
+        Chunks of TOGETHER bytes at most take a step together; the longest stand first, so those that
+        reach a place are the first of them. A row of a table is a place within chunks.
+        """
+        size, begin = np.diff(at), at[:-1]
+        score, short, ids = np.zeros(len(size)), np.zeros(len(size)), np.full(len(data), -1, np.int32)
+        order = np.argsort(-size, kind="stable")
+        far = int(np.count_nonzero(size > TOGETHER))
+        for c in order[:far].tolist():
+            found, score[c], short[c] = self.best(data[at[c] : at[c + 1]].tobytes().decode("utf-8", "surrogatepass"))
+            ids[at[c] : at[c] + len(found)] = found  # no more than bytes
+        order = order[far:]
+        begin, size = begin[order], size[order]
+        reach = np.searchsorted(-size, -np.arange(int(size[0]) + 2 if len(size) else 1), "right").tolist()  # how many hold place i or end there
+        one = [np.full(m, -np.inf) for m in reach]
+        two = [x.copy() for x in one]
+        via = [np.zeros(m, np.int32) for m in reach]  # a piece, or less the bytes of a character that is none
+        code = [data[begin[:m] + i] for i, m in enumerate(reach[1:])]
+        one[0][:] = 0.0
+        for i in range(len(code)):
+            top, under = one[i], two[i]
+            known = top[: len(code[i])] == -np.inf  # within a character, or one that is a piece
+            rows, wide = np.flatnonzero(~known), np.minimum(_WIDE[code[i]], size[: len(code[i])] - i)
+            state = np.ones(len(rows), np.int32)
+            for j in range(i, len(code)):
+                if j > i:
+                    go = np.searchsorted(rows, len(code[j]))
+                    rows, state = rows[:go], state[:go]
+                    live = state < len(self.next)
+                    rows, state = rows[live], state[live]
+                state = self.next[state, code[j][rows]]
+                live = state > 0
+                rows, state = rows[live], state[live]
+                if not len(rows):
+                    break
+                piece = self.piece[state]
+                whole = piece >= 0
+                r, piece = rows[whole], piece[whole]
+                if j < i + 4:
+                    known[r[wide[r] == j + 1 - i]] = True
+                self._step(r, piece, self.score[piece], top, under, one[j + 1], two[j + 1], via[j + 1])
+            if not known.all():
+                for k in range(1, 5):
+                    if len(r := np.flatnonzero(~known & (wide == k))):
+                        self._step(r, np.full(len(r), -k, np.int32), BYTE_SCORE * k, top, under, one[i + k], two[i + k], via[i + k])
+        for i in range(1, len(reach)):
+            done = slice(reach[i + 1] if i + 1 < len(reach) else 0, reach[i])
+            score[order[done]], short[order[done]] = one[i][done], one[i][done] - two[i][done]
+        flat, base, place, rows = np.concatenate(via), np.cumsum([0, *reach]), size.copy(), np.arange(len(size))
+        while len(rows):
+            piece = flat[base[place] + rows]
+            place = place - np.where(piece >= 0, self.size[piece], -piece)
+            where, byte = begin[rows] + place, piece < 0
+            ids[where[~byte]] = piece[~byte]
+            for k in range(int(-piece.min(initial=0))):
+                w = where[piece < -k] + k
+                ids[w] = self.byte[data[w]]
+                if (ids[w] < 0).any():
+                    raise KeyError("a byte without a piece")
+            live = place > 0
+            rows, place = rows[live], place[live]
+        whole = ids >= 0
+        return ids[whole], np.diff(np.concatenate([[0], np.cumsum(whole)])[at]), score, short
+
+    @staticmethod
+    def _step(r, piece, score, top, under, one, two, via) -> None:
+        """Pieces of chunks r from a place with the two best scores top and under to that of one, two and via."""
+        t, was = top[r] + score, one[r]
+        better = t > was
+        two[r] = np.where(better, np.maximum(under[r] + score, was), np.maximum(two[r], t))
+        one[r] = np.where(better, t, was)
+        via[r[better]] = piece[better]
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk by A* from its end, as (score, ids); of equal scores the
@@ -145,28 +235,64 @@ class Pieces:
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the n best segmentations of a whole text, best first; fewer if there are no more."""
-        best = self.best
-        chunks = _CHUNK.findall(text)
-        found = [best(c) for c in chunks]
-        score = sum(b[1] for b in found)
-        if n <= 1 or not chunks:
-            return [(score, np.fromiter((x for b in found for x in b[0]), np.int32))]
-        short = np.fromiter((b[2] for b in found), float, len(found))
+        return self.encode_all(pa.array([text.encode("utf-8", "surrogatepass")], pa.large_binary()), n)[0][0]
+
+    def encode_all(self, texts: pa.Array, n: int = N_BEST) -> tuple[list[list[tuple[float, np.ndarray]]], list[bool]]:
+        """encode() of texts (large_binary, none NULL), and whether the best ids of each decode to it."""
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        head = data == 32
+        head[1:] &= ~head[:-1]
+        head[ends[:-1][np.diff(ends) > 0]] = True
+        at = np.append(np.flatnonzero(head), len(data))
+        first = np.searchsorted(at[:-1], ends)  # each text's first chunk
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+        chunks = chunks.dictionary_encode()
+        code, every = chunks.indices.to_numpy(), chunks.dictionary
+        offsets = np.frombuffer(every.buffers()[1], np.int64)[: len(every) + 1]
+        ids, many, score, short = self.best_of_many(np.frombuffer(every.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
+        upto = np.concatenate([[0], np.cumsum(many[code])])
+        ids = ids[np.arange(upto[-1]) + np.repeat((np.cumsum(many) - many)[code] - upto[:-1], many[code])]
+        scores = np.diff(np.concatenate([[0.0], np.cumsum(score[code])])[first]).tolist()
+        decoded = np.frombuffer(self.pieces.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
+        of = np.concatenate([[0], np.cumsum(self.size[ids])])[upto[first]].tolist()
+        out, exact = [], []
+        for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            exact.append(np.array_equal(decoded[of[k] : of[k + 1]], data[ends[k] : ends[k + 1]]))
+            out.append(self._n_best_of(ids, upto, every, code, short, scores[k], lo, hi, n))
+        return out, exact
+
+    def _n_best_of(self, ids, upto, every, code, short, score: float, lo: int, hi: int, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of the text of chunks lo to hi, by the best ids of all."""
+        if n <= 1 or lo == hi:
+            return [(score, ids[upto[lo] : upto[hi]])]
         # All but the best differ from it in some chunk; the n - 1 cheapest changes are in the n - 1
         # chunks that lose least.
-        at = np.argsort(short, kind="stable")[: n - 1]
+        lost = short[code[lo:hi]]
         sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         other: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
-        for k in at.tolist():
-            if short[k] == math.inf:
+        for k in np.argsort(lost, kind="stable")[: n - 1].tolist():
+            if lost[k] == np.inf:
                 continue
-            other[k] = self.n_best(chunks[k], n)
-            top = other[k][0][0]
-            sums = heapq.nsmallest(n, [(lost + top - s, (*change, (k, m))) for lost, change in sums for m, (s, _) in enumerate(other[k])])
+            chunk = every[int(code[lo + k])].as_py()
+            found = self.memo.get((chunk, n))
+            if found is None:
+                found = self.n_best(chunk.decode("utf-8", "surrogatepass"), n)
+                if len(chunk) <= MEMO_BYTES:
+                    if len(self.memo) >= MEMO:
+                        self.memo.clear()
+                    self.memo[chunk, n] = found
+            other[k] = found
+            top = found[0][0]
+            sums = heapq.nsmallest(n, [(less + top - s, (*change, (k, m))) for less, change in sums for m, (s, _) in enumerate(found)])
         out = []
-        for lost, change in sums:
-            ids = {k: other[k][m][1] for k, m in change}
-            out.append((score - lost, np.fromiter((x for k, b in enumerate(found) for x in ids.get(k, b[0])), np.int32)))
+        for less, change in sums:
+            parts, start = [], upto[lo]
+            for k, m in sorted(change):
+                parts += [ids[start : upto[lo + k]], np.array(other[k][m][1], np.int32)]
+                start = upto[lo + k + 1]
+            out.append((score - less, np.concatenate([*parts, ids[start : upto[hi]]])))
         return out
 
     def text_of(self, ids: np.ndarray) -> str:
@@ -214,19 +340,20 @@ def encode(docs: DataFrame, model: bytes, n: int = N_BEST, keep: list[str] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                rows = []
-                for text in part.column("text"):
-                    text = text.as_py()
-                    if text is None:
-                        rows.append((None, 0, None, None, None))
-                        continue
-                    found = p.encode(text, n)
-                    ids = found[0][1]
-                    rows.append((ids, len(ids), [x for _, x in found], [s for s, _ in found], p.text_of(ids) == text))
-                new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], [*kept, *added])
+            upto = np.cumsum(pc.binary_length(pc.fill_null(batch.column("text"), "")).to_numpy(), dtype=np.int64)
+            cuts = np.unique([0, *np.searchsorted(upto, np.arange(TEXTS, upto[-1] if len(upto) else 0, TEXTS)), batch.num_rows]).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                text = batch.column("text").slice(lo, hi - lo)
+                found, exact = p.encode_all(pc.fill_null(text, "").cast(pa.large_binary()), n)
+                null = text.is_null().to_pylist()
+                for at in range(0, hi - lo, 128):
+                    rows = [
+                        (None, 0, None, None, None) if none else (f[0][1], len(f[0][1]), [x for _, x in f], [s for s, _ in f], e)
+                        for f, e, none in zip(found[at : at + 128], exact[at : at + 128], null[at : at + 128], strict=True)
+                    ]
+                    new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                    part = batch.slice(lo + at, len(rows))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], [*kept, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     return docs.mapInArrow(run, ", ".join([*fields, *map(" ".join, added.items())]))
