@@ -764,6 +764,34 @@ def test_stretches_around_a_link_equal_brute_force():
     assert 20 <= n_found < 60
 
 
+def test_links_are_rejected_by_what_their_pair_has_in_common(monkeypatch):
+    r, calls, gains = random.Random(4), [], substring_dedup._gains
+    wide = substring_dedup.LEAST
+    # 90 common tokens far apart: no link leads to a passage, and each text's gains are taken once for all links
+    x, y = np.arange(1000, 1900), np.arange(5000, 5900)
+    y[::10] = x[::10]
+    w = [(max(0, c - 200), max(0, c - 200), c, c, min(899, c + 200), min(899, c + 200)) for c in range(100, 800, 10)]
+    links = np.array([(*k, k[0], k[4], k[1], k[5]) for k in w], np.int32)
+    monkeypatch.setattr(substring_dedup, "_gains", lambda *a: calls.append(1) or gains(*a))
+    assert substring_dedup.passages(links, x, y, 0, 0) == [] and len(calls) == 2
+    # a link by itself comes to what the stretches around it do, repeats and windows within the cut texts included
+    found = 0
+    for _ in range(300):
+        x = [r.randint(0, 400) for _ in range(r.randint(wide + 8, 150))]
+        y = list(x)
+        for k in r.sample(range(len(y)), r.choice([0, 3, 6, 10, 40])):
+            y[k] = r.choice([r.randint(500, 900), 7, y[k - 1]])
+        x, y = [*x[5:9] * r.randint(0, 2), *x], [*y, *y[:9] * r.randint(0, 2)]
+        a1, a2, b1, b2 = r.randint(0, 4), r.randint(0, 4), len(x) - 1 - r.randint(0, 4), len(y) - 1 - r.randint(0, 4)
+        c1, c2 = r.randint(a1, b1), r.randint(a2, b2)
+        want = substring_dedup.around(x[a1 : b1 + 1], y[a2 : b2 + 1], c1 - a1, c2 - a2)
+        link = np.array([(a1, a2, c1, c2, b1, b2, a1, b1, a2, b2)], np.int32) + 30
+        got = substring_dedup.passages(link, np.array(x), np.array(y), 30, 30)
+        assert got == ([(want[0] + a1 + 30, want[1] + a1 + 30, want[2] + a2 + 30, want[3] + a2 + 30)] if want else [])
+        found += len(got)
+    assert 50 <= found < 250
+
+
 def test_compact_windows_equal_cartesian_trees():
     texts = [prose(300, 1), prose(40, 2), None, "", "The " * 90 + prose(80, 3), prose(50, 4), "  " + prose(49, 5) + "\n"]
     token, ends = substring_dedup.tokens(pa.array(texts))
