@@ -67,14 +67,19 @@ def elements(html: Column, tag: str) -> Column:
 def _without_dots(path: Column) -> Column:
     """A path that begins with a slash, "." and ".." taken out; the last one leaves its slash."""
     up, stay = r"(?i)^(?:\.|%2e){2}$", r"(?i)^(?:\.|%2e)$"
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.lit(1 << 20))
     step = lambda acc, x: (
         F.when(x.rlike(up), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.rlike(stay), acc).otherwise(F.concat(acc, F.array(x)))
     )
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    last = F.element_at(parts, -1)
-    ends = F.when(last.rlike(up) | last.rlike(stay), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.lit("/"), F.array_join(F.concat(kept, ends), "/"))
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        last = F.element_at(parts, -1)
+        ends = F.when(last.rlike(up) | last.rlike(stay), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, ends), "/"))
+
+    # most paths have no part that begins with a dot
+    dotted = path.rlike(r"(?i)/(?:\.|%2e)")
+    return F.when(dotted, let(F.slice(F.split(path, "/"), F.lit(2), F.lit(1 << 20)), joined)).otherwise(path)
 
 
 #: What must be percent-encoded in a path or a query: blanks, quotes, angles and all that isn't ASCII.
@@ -83,9 +88,13 @@ _ODD = r"[^!#-;=?-_a-z{|}~]+"
 
 def _encoded(part: Column) -> Column:
     """part with what must be percent-encoded so; what is encoded stays."""
-    odd = F.transform(F.regexp_extract_all(part, F.lit(_ODD), F.lit(0)), lambda m: F.replace(F.url_encode(m), F.lit("+"), F.lit("%20")))
-    both = F.zip_with(F.split(part, _ODD), F.concat(odd, F.array(F.lit(""))), lambda plain, code: F.concat(plain, code))
-    return F.array_join(both, "")
+
+    def joined(text: Column) -> Column:
+        odd = F.transform(F.regexp_extract_all(text, F.lit(_ODD), F.lit(0)), lambda m: F.replace(F.url_encode(m), F.lit("+"), F.lit("%20")))
+        both = F.zip_with(F.split(text, _ODD), F.concat(odd, F.array(F.lit(""))), lambda plain, code: F.concat(plain, code))
+        return F.when(text.rlike(_ODD), F.array_join(both, "")).otherwise(text)
+
+    return let(part, joined)
 
 
 def resolved(href: Column, base: Column) -> Column:
@@ -122,11 +131,19 @@ def resolved(href: Column, base: Column) -> Column:
 
     def tidy(url: Column) -> Column:
         fields = r"^(?i)(https?):/*([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-        part = lambda k: F.regexp_extract(url, fields, k)
-        host = F.regexp_replace(F.lower(part(2)), F.when(F.lower(part(1)) == "https", ":(?:443)?$").otherwise(":(?:80)?$"), "")
-        path = F.when(part(3) == "", "/").otherwise(part(3))
-        fine = (host != "") & ~host.contains("@") & host.rlike(r"^(?:[^\s:\[\]]+|\[[0-9a-f:.]+\])(?::\d{1,5})?$")
-        return F.when(fine, F.concat(F.lower(part(1)), F.lit("://"), host, _encoded(_without_dots(path)), _encoded(part(4)), part(5)))
+        names = ("scheme", "host", "path", "query", "fragment")
+        return let(F.struct(*(F.regexp_extract(url, fields, k).alias(name) for k, name in enumerate(names, 1))), whole)
+
+    def whole(u: Column) -> Column:
+        scheme = F.lower(u["scheme"])
+        host = F.regexp_replace(F.lower(u["host"]), F.when(scheme == "https", ":(?:443)?$").otherwise(":(?:80)?$"), "")
+        path = F.when(u["path"] == "", "/").otherwise(u["path"])
+
+        def at(host: Column) -> Column:
+            fine = (host != "") & ~host.contains("@") & host.rlike(r"^(?:[^\s:\[\]]+|\[[0-9a-f:.]+\])(?::\d{1,5})?$")
+            return F.when(fine, F.concat(scheme, F.lit("://"), host, _encoded(_without_dots(path)), _encoded(u["query"]), u["fragment"]))
+
+        return let(host, at)
 
     fine = base.rlike(r"^(?i)https?:[/\\]*[^/\\?#]") & (F.length(href) <= MOST_HREF)
     return F.when(fine, let(let(let(bare, bare_of), absolute), tidy))

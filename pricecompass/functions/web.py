@@ -69,11 +69,17 @@ def supports_kzt(currency: Column) -> Column:
 def normalised_domain(raw: Column) -> Column:
     """Host of a website tag, lower-case and without www; NULL for other schemes, user names and what
     is no address."""
-    text = F.trim(raw)
-    url = F.when(text.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), text).otherwise(F.concat(F.lit("https://"), text))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    fine = (F.length(text) <= 4096) & url.rlike("(?i)^https?://") & F.try_parse_url(url, F.lit("USERINFO")).isNull() & (host != "")
-    return F.when(fine, F.regexp_replace(host, r"^www\.", ""))
+
+    def of(text: Column) -> Column:
+        url = F.when(text.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), text).otherwise(F.concat(F.lit("https://"), text))
+        return let(F.when(F.length(text) <= 4096, url), host_of)
+
+    def host_of(url: Column) -> Column:
+        ours = url.rlike("(?i)^https?://") & F.try_parse_url(url, F.lit("USERINFO")).isNull()
+        host = F.nullif(F.when(ours, F.lower(F.try_parse_url(url, F.lit("HOST")))), F.lit(""))
+        return F.regexp_replace(host, r"^www\.", "")
+
+    return let(F.trim(raw), of)
 
 
 def ipv4_number(ip: Column) -> Column:

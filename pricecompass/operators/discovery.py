@@ -77,8 +77,7 @@ def _host(url: Column) -> Column:
 
 def _path(url: Column) -> Column:
     """A path, "/" where there is none."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.when(path == "", "/").otherwise(path)
+    return let(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), lambda path: F.when(path == "", "/").otherwise(path))
 
 
 def relevant_titles(html: Column, terms: tuple[str, ...], url: Column) -> Column:
@@ -153,17 +152,20 @@ def templates(html: Column, origin: Column) -> Column:
         goes_to = F.coalesce(_attribute(attributes, "action"), F.lit(""))
         get = F.lower(F.coalesce(_attribute(attributes, "method"), F.lit("get"))) == "get"
         fine = closed & get & (F.length(attributes) <= FORM_ATTRIBUTES) & (F.length(content) <= FORM_CHARS)
-        url = _file(absolute(F.when(goes_to == "", "/").otherwise(goes_to), origin))
 
-        def of_input(tag: Column) -> Column:
-            kind = F.lower(F.coalesce(_attribute(tag, "type"), F.lit("text")))
-            name = _attribute(tag, "name", "+")
-            searchy = name.rlike(SEARCH_NAME) | tag.rlike("(?iu)search|поиск|искать") | goes_to.rlike("(?iu)search|поиск")
-            mark = F.when(url.contains("?"), "&").otherwise("?")
-            return F.when(kind.isin("search", "text", "") & searchy, F.concat(url, mark, uri_component(name), F.lit("={q}")))
+        def of_inputs(url: Column) -> Column:
+            def of_input(tag: Column) -> Column:
+                kind = F.lower(F.coalesce(_attribute(tag, "type"), F.lit("text")))
+                name = _attribute(tag, "name", "+")
+                searchy = name.rlike(SEARCH_NAME) | tag.rlike("(?iu)search|поиск|искать") | goes_to.rlike("(?iu)search|поиск")
+                mark = F.when(url.contains("?"), "&").otherwise("?")
+                return F.when(kind.isin("search", "text", "") & searchy, F.concat(url, mark, uri_component(name), F.lit("={q}")))
 
-        tags = F.regexp_extract_all(content, F.lit(r"(?i)<input\b[^>]*>"), F.lit(0))
-        return F.when(fine, F.transform(tags, of_input)).otherwise(F.array().cast("array<string>"))
+            return F.transform(F.regexp_extract_all(content, F.lit(r"(?i)<input\b[^>]*>"), F.lit(0)), of_input)
+
+        # a form's address is resolved once, for all its inputs
+        address = _file(absolute(F.when(goes_to == "", "/").otherwise(goes_to), origin))
+        return F.when(fine, let(address, of_inputs)).otherwise(F.array().cast("array<string>"))
 
     found = F.flatten(F.transform(markup.elements(html, "form"), of_form))
     return F.array_distinct(F.array_compact(F.concat(F.array(action), found)))
@@ -171,8 +173,12 @@ def templates(html: Column, origin: Column) -> Column:
 
 def _file(url: Column) -> Column:
     """Path and query of an address."""
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    return F.when(url.isNotNull(), F.concat(_path(url), F.coalesce(F.concat(F.lit("?"), query), F.lit(""))))
+
+    def joined(url: Column) -> Column:
+        query = F.try_parse_url(url, F.lit("QUERY"))
+        return F.when(url.isNotNull(), F.concat(_path(url), F.coalesce(F.concat(F.lit("?"), query), F.lit(""))))
+
+    return let(url, joined)
 
 
 def candidates(homes: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ def search_endpoints(spark, sf_dir):
     k = F.col("p_partkey")
     own = F.transform(F.slice(F.sequence(F.lit(0), F.lit(5)), F.lit(1), (k % 6).cast("int")), lambda j: F.format_string('<form action="/find/%d"><input name="text"></form>', j))
     html = F.concat(F.lit('<form action="/search"><input name="q"></form>'), F.array_join(own, ""))
-    homes = B.table(spark, sf_dir, "part").select(
+    homes = B.spread(B.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         F.concat(F.lit("shop"), k.cast("string"), F.lit(".example")).alias("domain"), F.when(k % 11 == 5, "blocked").when(k % 13 == 4, "unreachable").alias("failure"), html.alias("html")
     )
     n, g = F.regexp_extract("domain", r"(\d+)", 1).cast("long"), F.col("place").cast("long")

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key over as many tasks as a shuffle has: small rows of which much is made, such as pages,
+    else come in few large splits. The number is given, so that tasks aren't put together by their bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key)
+
+
 def shop_domain(key: Column) -> Column:
     return F.when(key % 7 != 0, F.concat(F.lit("shop"), (key % 12).cast("string"), F.lit(".example")))
 

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from pricecompass.operators import coverage, discovery, extraction
+from pricecompass.plans import outcomes
 
 HOME = "domain string, failure string, html string"
 PROBE = "domain string, place int, template string, failure string, accepted boolean, client_rendered boolean"
@@ -68,6 +69,17 @@ def test_candidates_beyond_the_common_ones(spark):
     assert discovery.endpoints(spark.createDataFrame([], PROBE), spark.createDataFrame([], HOME)).count() == 0
 
 
+def test_a_page_of_forms_is_written_into_the_plan_once(spark):
+    pages = spark.createDataFrame([], "html string, origin string").select(discovery.templates(F.col("html"), F.col("origin")))
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_") < 250
+
+
+def test_pages_written_from_few_rows_are_many_tasks(spark):
+    plan = outcomes.search_endpoints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in plan
+
+
 def test_gaps(spark):
     domains = spark.createDataFrame([(f"d{k}", k) for k in range(6)], "domain string, place int")
     known = [("d0", "Zero", True, False, "told"), ("d1", "One", False, True, None), ("d2", "Two", False, False, "note")]
