@@ -34,9 +34,13 @@ PAGE_BYTES, CHALLENGE_CHARS = 6 * 1024 * 1024, 4_000
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, plain in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i){entity}", plain)
-    return text
+    def decoded(raw: Column) -> Column:
+        out = raw
+        for entity, plain in ENTITIES.items():
+            out = F.regexp_replace(out, f"(?i){entity}", plain)
+        return F.when(raw.contains("&"), out).otherwise(raw)  # most texts have none
+
+    return let(text, decoded)
 
 
 def strip_tags(html: Column) -> Column:

@@ -291,21 +291,25 @@ def _prices(clean: DataFrame, tiled: DataFrame) -> DataFrame:
     prices = prices.select(
         "page_id", "start", (F.col("start") + F.length("m")).alias("stop"), price.alias("price"), F.floor(F.col("start") / TILE).cast("int").alias("tile")
     ).withColumn("old", F.when(F.lag("start").over(last) >= F.col("start") - 260, F.lag("price").over(last)))
-    near = prices.where(F.col("price").between(300, 200_000_000)).join(tiled, ["page_id", "tile"])
+    near = prices.where(F.col("price").between(300, 200_000_000)).join(tiled.hint("merge"), ["page_id", "tile"])
     start, stop = F.col("start"), F.col("stop")
-    near = near.select(
-        "page_id", "tile", "start", "stop", "price", "old", _piece(start - 220, start).alias("head"),
-        web.strip_tags(_piece(start - 100, start)).alias("before"), web.strip_tags(_piece(stop, stop + 100)).alias("after"),
-    )
-    facet = web.strip_tags(F.col("head")).rlike(RANGE) | F.col("head").rlike(FACET)
-    return near.where(~facet & ~F.col("before").rlike(BEFORE_RATE) & ~F.col("after").rlike(AFTER_RATE)).drop("head", "before", "after")
+    faceted = let(_piece(start - 220, start), lambda head: web.strip_tags(head).rlike(RANGE) | head.rlike(FACET))
+    before, after = web.strip_tags(_piece(start - 100, start)), web.strip_tags(_piece(stop, stop + 100))
+    fine = ~faceted & ~before.rlike(BEFORE_RATE) & ~after.rlike(AFTER_RATE)
+    return near.where(fine).select("page_id", "tile", "start", "stop", "price", "old")
 
 
 def _title_links(clean: DataFrame) -> DataFrame:
     """(page_id, start, end, href, text, score) of the first MOST_LINKS links of a page that may be titles."""
-    links = page_links(clean).where(F.col("href").isNotNull() & ~F.col("href").rlike(BAD_LINK) & plausible(F.col("text")))
-    links = links.withColumn("href", absolute(F.col("href"), F.col("url"))).where("href is not null")
-    return _first_of_page(links.withColumn("score", title_score(F.col("text"), F.col("href"))), ["start"], MOST_LINKS)
+    links = page_links(clean).where(F.col("href").isNotNull() & ~F.col("href").rlike(BAD_LINK))
+
+    def titled(text: Column) -> Column:
+        as_title = lambda href: F.when(href.isNotNull(), F.struct(href.alias("href"), text.alias("text"), title_score(text, href).alias("score")))
+        return F.when(plausible(text), let(absolute(F.col("href"), F.col("url")), as_title))
+
+    # a generator's rows: a filter on them isn't pushed down, so that a link's text and address are read once
+    title = F.explode(F.array_compact(F.array(let(F.col("text"), titled)))).alias("title")
+    return _first_of_page(links.select("page_id", "start", "end", title).select("page_id", "start", "end", "title.*"), ["start"], MOST_LINKS)
 
 
 def from_proximity(pages: DataFrame) -> DataFrame:
@@ -313,6 +317,8 @@ def from_proximity(pages: DataFrame) -> DataFrame:
     buckets. The price before, if higher, is the old one; of a link the lowest price stays.
 
     A page's text goes into tiles once; prices and chosen pairs read what lies around them from those.
+    Joins are merges by hint: files of pages are so much smaller than their rows that Spark would
+    broadcast what doesn't fit a driver.
     """
     clean = staged(pages.select(*PAGE, without_chrome(F.col("html")).alias("html")), "clean")
     tiled = staged(tiles(clean), "tiles")
@@ -320,18 +326,18 @@ def from_proximity(pages: DataFrame) -> DataFrame:
     bucket = lambda c: F.floor(F.col(c) / REACH)
     spots = prices.withColumn("bucket", F.explode(F.sequence(bucket("start") - 3, bucket("start") + 1)))
     a = links.select("page_id", bucket("start").alias("bucket"), F.struct("start", "end", "href", "text", "score").alias("a"))
-    pairs = spots.join(a, ["page_id", "bucket"]).where((F.col("a.end") >= F.col("start") - REACH) & (F.col("a.start") <= F.col("start") + REACH))
+    pairs = spots.join(a.hint("merge"), ["page_id", "bucket"]).where((F.col("a.end") >= F.col("start") - REACH) & (F.col("a.start") <= F.col("start") + REACH))
     gap = F.when(F.col("a.end") <= F.col("start"), F.col("start") - F.col("a.end")).otherwise((F.col("a.start") - F.col("start")) * AFTER)
     cost = pairs.where((F.col("a.end") <= F.col("start")) | (F.col("a.start") >= F.col("start"))).withColumn("cost", gap - F.col("a.score") * POINT)
     best = cost.groupBy("page_id", "tile", "start", "stop", "price", "old").agg(F.min_by("a", F.struct("cost", F.col("a.start"))).alias("a"))
     best = _first_of_page(best, ["start"], MOST_LISTINGS)
     row = F.struct("tile", "start", "stop", "price", "old", "a")
     first = best.groupBy("page_id", F.col("a.href").alias("_href")).agg(F.min_by(row, F.struct("price", "start")).alias("x"))
-    rows = first.select("page_id", "x.*").join(tiled, ["page_id", "tile"])
+    rows = first.select("page_id", "x.*").join(tiled.hint("merge"), ["page_id", "tile"])
     stock = web.availability(_piece(F.least(F.col("a.start"), F.col("start")) - 100, F.greatest(F.col("a.end"), F.col("stop")) + 160))
     at = F.struct(F.col("start").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     old = F.when(F.col("old") > F.col("price"), F.col("old"))
-    rows = rows.join(clean.select("page_id", "domain"), "page_id")
+    rows = rows.join(clean.select("page_id", "domain").hint("merge"), "page_id")
     return _listed(rows, "proximity", at, F.col("a.text"), F.col("price"), old, F.col("a.href"), stock)
 
 

@@ -20,7 +20,7 @@ def _pages(spark, sf_dir, product: Column, before: str, between: str, after: str
     """A page for each ON_PAGE parts."""
     rows = B.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / ON_PAGE).alias("page_id"), "p_partkey", product.alias("x"))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda s: s["x"]), between)
-    rows = rows.groupBy("page_id").agg(F.concat(F.lit("<html><body>" + before), html, F.lit(after + "</body></html>")).alias("html"))
+    rows = B.spread(rows, "page_id").groupBy("page_id").agg(F.concat(F.lit("<html><body>" + before), html, F.lit(after + "</body></html>")).alias("html"))
     return rows.select("page_id", F.lit(_SHOP + "/search").alias("url"), F.lit("shop.example").alias("domain"), "html")
 
 

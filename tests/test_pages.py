@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricecompass.functions import markup, web
 from pricecompass.operators import events, extraction, stores
+from pricecompass.plans import pages as queries
 from pricecompass.streaming import windows
 
 PAGE = "page_id long, url string, domain string, html string"
@@ -176,3 +177,11 @@ def test_sse_records(spark):
     stream = spark.createDataFrame([("data: 1\n\ndata: 2\r\n\r\n: ping\n\ndata:a\ndata:b\n\n",)], "s string")
     data = stream.select(F.transform(web.sse_records(F.col("s")), web.sse_data)).first()[0]
     assert data == ["1", "2", None, "a\nb"]
+
+
+def test_pages_are_never_broadcast_and_meet_in_as_many_tasks_as_shuffles_have(spark):
+    """Files of pages are small beside their rows, so their size says nothing of what a driver can hold."""
+    cards = queries.card_pages(spark, "/root/testdata/sf0.001")
+    assert cards.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = extraction.from_proximity(cards)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
