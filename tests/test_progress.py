@@ -1,8 +1,10 @@
 """Streams of a search against their batch twins: progress, deadlines, records."""
 
+import inspect
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pricecompass.operators import budgets, progress
@@ -142,3 +144,36 @@ def test_records_are_written_once_though_the_stream_is_restarted(spark, tmp_path
         text = file.read_text()
         places = [(k, seq) for k, seq in ((int(x.split('"search_id":')[1].split(",")[0]), int(x.split('"seq":')[1].split(",")[0])) for x in text.split("\n\n") if x)]
         assert places == sorted(places) and text.endswith("\n\n")
+
+
+def test_a_search_asks_its_state_once_a_batch_and_a_stream_has_no_time_limit_of_its_own():
+    class Counted:
+        def __init__(self):
+            self.calls, self.kept = [], {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                self.calls.append(name)
+                if name == "updateValue":
+                    self.kept[a[0]] = a[1]
+                return {"exists": False, "listTimers": [], "iterator": iter(self.kept.items())}.get(name)
+
+            return call
+
+    def reducer():
+        r = streams._Reducer()
+        r.handle, r.domains, r.ended = Counted(), Counted(), Counted()
+        return r
+
+    def event(seq, kind, state="done"):
+        return Row(search_id=1, seq=seq, ts=T0, ms=seq, kind=kind, domain=f"d{seq % 3}", state=state, found=seq, failure=None, took_ms=seq, message=None)
+
+    told = [event(k, "domain") for k in range(40)]
+    r = reducer()
+    out = list(r.handleInputRows((1,), iter([event(40, "results"), *told]), None))
+    assert [(x.domain, x.place, x.found, x.ended) for x in out] == [("d0", 1, 39, "results"), ("d1", 2, 37, "results"), ("d2", 3, 38, "results")]
+    assert "updateValue" not in r.domains.calls and len(r.domains.calls) == 2
+    r = reducer()
+    assert not list(r.handleInputRows((1,), iter(told), None)) and r.domains.calls == ["iterator"] + ["updateValue"] * 3
+    assert [x.found for x in r.handleInputRows((1,), iter([event(40, "domain", "start"), event(41, "error")]), None)] == [39, 0, 38]
+    assert inspect.signature(streams.run_once).parameters["wait_s"].default is None
