@@ -107,13 +107,18 @@ def relevant_titles(html: Column, terms: tuple[str, ...], url: Column) -> Column
         attributes, content = link["attributes"], link["content"]
         closed = attributes.isNotNull() & (link["unclosed"] == "")
         href = _attribute(attributes, "href", "+")
-        url_of = absolute(href, url)
-        path = _path(url_of)
-        last = F.regexp_extract(path, "([^/]+)/*$", 1)
-        product = path.rlike(PRODUCT_PATH) | last.rlike(r"\d") | last.rlike("(?i)[a-z0-9]+(?:-[a-z0-9]+){2,}")
-        title = web.strip_tags(content)
-        fine = closed & (F.length(content) <= LINK_CHARS) & ~href.rlike(NO_PRODUCT) & (_host(url_of) == _host(url)) & product
-        return F.coalesce(fine & (F.length(title) >= 3) & let(F.lower(normalise(title)), names), F.lit(False))
+
+        def leads(url_of: Column) -> Column:
+            return (_host(url_of) == _host(url)) & let(_path(url_of), to_product)
+
+        def to_product(path: Column) -> Column:
+            last = F.regexp_extract(path, "([^/]+)/*$", 1)
+            return path.rlike(PRODUCT_PATH) | last.rlike(r"\d") | last.rlike("(?i)[a-z0-9]+(?:-[a-z0-9]+){2,}")
+
+        # a link's address and title are read once, the address only of those whose title fits
+        titled = let(web.strip_tags(content), lambda title: (F.length(title) >= 3) & let(F.lower(normalise(title)), names))
+        fine = closed & (F.length(content) <= LINK_CHARS) & ~href.rlike(NO_PRODUCT)
+        return F.coalesce(fine & titled & let(absolute(href, url), leads), F.lit(False))
 
     return F.least(F.size(F.filter(markup.elements(html, "a"), fits)), F.lit(ENOUGH_TITLES))
 

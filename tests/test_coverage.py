@@ -75,6 +75,12 @@ def test_a_page_of_forms_is_written_into_the_plan_once(spark):
     assert 0 < plan.count("regexp_") < 250
 
 
+def test_a_judged_page_has_its_links_addresses_in_the_plan_once(spark):
+    page = spark.createDataFrame([], "html string, landed string").select(discovery.judged(F.col("html"), F.col("landed"), F.lit("https://shop.example/s"), ("widget", "15")))
+    plan = page._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("%2e") < 12, plan.count("%2e")
+
+
 def test_pages_written_from_few_rows_are_many_tasks(spark):
     plan = outcomes.search_endpoints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [p_partkey" in plan
